@@ -22,19 +22,22 @@ def lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str,
-                how: str = "left", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                how: str = "left", hot_rows: int = HOT_KEY_ROWS, count_on: DataFrame | None = None) -> DataFrame:
     """Equi-join a possibly skewed ``left`` to a ``right`` with unique keys.
 
     Keys above ``hot_rows`` get ``ceil(n / hot_rows)`` salts: their left rows are
     spread by a hash of the unique column ``spread_by`` (stable under task
-    retries) and only their right rows are replicated. There can be at most
-    rows / hot_rows such keys, which is what makes the salt table broadcastable.
+    retries) and only their right rows are replicated. AQE cannot do this here,
+    because ``right`` usually ends in an aggregation rather than a plain shuffle.
+
+    The salt table holds at most rows / hot_rows keys - that bound is what makes
+    broadcasting it safe. Counting reads the key columns only; ``count_on`` names
+    the base table to count when ``left`` is itself derived.
     """
-    salts = (
-        left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
-    salts = lookup(salts, 1_000_000)
+    counted = left if count_on is None else count_on
+    salts = F.broadcast(
+        counted.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
     salted = (
         left.join(salts, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_salts", F.lit(1))).cast("int"))
@@ -49,19 +52,26 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: s
 
 
 def packed_rows(df: DataFrame, order: list[str], limit: int) -> list[Column]:
-    """A small table as array columns usable inside row expressions.
+    """A small reference table as constant array columns for row expressions.
 
-    Each slice is one scalar subquery of at most ``limit`` structs, so no array
-    grows past a checked bound; a table larger than that yields more slices.
+    The table is measured first. Up to ``limit`` rows become one constant array
+    (a JSON literal Catalyst folds once); a larger table is cut into slices of
+    bounded size, each fetched on its own, so no single constant grows past it.
     """
     rows = df.count()
     entry = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in df.columns if c not in order])
-    pack = lambda part: part.agg(F.array_sort(F.collect_list(entry)).alias("p")).scalar()
+    packed = lambda part: part.agg(F.array_sort(F.collect_list(entry)).alias("p"))
+
+    def constant(part: DataFrame) -> Column:
+        frame = packed(part)
+        text = frame.select(F.to_json("p", {"ignoreNullFields": "false"})).first()[0]
+        return F.from_json(F.lit(text), frame.schema["p"].dataType.json())
+
     if rows <= limit:
-        return [pack(df)]
+        return [constant(df)]
     slices = -(-rows // limit) * 2
     spread = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
-    return [pack(spread.where(F.col("_slice") == i).drop("_slice")) for i in range(slices)]
+    return [constant(spread.where(F.col("_slice") == i).drop("_slice")) for i in range(slices)]
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
