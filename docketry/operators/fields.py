@@ -50,7 +50,7 @@ def labeled_candidates(df: DataFrame, registry: DataFrame, text: str = "normaliz
     joined = df.join(lookup(field_lists(registry)), "request_type_id", "left")
     found = F.transform("definitions", lambda d: F.struct(
         d["field_id"].alias("key"),
-        F.regexp_extract(F.col(text), F.concat(F.lit(r"(?iumdU)^"), quote_pattern(d["field_id"]), F.lit(r"\s*:\s*(.+)$")), F.lit(1)).alias("raw")))
+        F.call_function("regexp_extract", F.col(text), F.concat(F.lit(r"(?iumdU)^"), quote_pattern(d["field_id"]), F.lit(r"\s*:\s*(.+)$")), F.lit(1)).alias("raw")))
     kept = F.filter(found, lambda e: e["raw"] != "")
     labeled = F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), _candidate(strip(e["raw"]), fixed.LABEL_CONFIDENCE).alias("value"))))
     return joined.withColumn("candidates", merge_maps(rule_candidates(F.col(text), patterns), F.coalesce(labeled, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{CANDIDATE}>")))))
