@@ -21,6 +21,31 @@ def lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A constant reference table in one partition: one task instead of one per core."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table over the cores when its files split into fewer pieces than that.
+
+    Large inputs arrive in more splits than there are cores and pass untouched,
+    so this costs a shuffle only where the whole table is a few small files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    Catalyst inlines a projected expression wherever it is used - into pushed
+    filters and into the bodies of lambdas, where it would run per element. A
+    one-row generator is not inlined, costs no shuffle and stays in codegen.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str,
                 how: str = "left", hot_rows: int = HOT_KEY_ROWS, count_on: DataFrame | None = None) -> DataFrame:
     """Equi-join a possibly skewed ``left`` to a ``right`` with unique keys.
@@ -58,20 +83,22 @@ def packed_rows(df: DataFrame, order: list[str], limit: int) -> list[Column]:
     (a JSON literal Catalyst folds once); a larger table is cut into slices of
     bounded size, each fetched on its own, so no single constant grows past it.
     """
-    rows = df.count()
     entry = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in df.columns if c not in order])
-    packed = lambda part: part.agg(F.array_sort(F.collect_list(entry)).alias("p"))
 
-    def constant(part: DataFrame) -> Column:
-        frame = packed(part)
-        text = frame.select(F.to_json("p", {"ignoreNullFields": "false"})).first()[0]
-        return F.from_json(F.lit(text), frame.schema["p"].dataType.json())
+    def constant(part: DataFrame) -> Column | None:
+        frame = part.limit(limit + 1).agg(F.array_sort(F.collect_list(entry)).alias("p"))
+        found = frame.select(F.size("p").alias("n"), F.to_json("p", {"ignoreNullFields": "false"}).alias("text")).first()
+        return None if found.n > limit else F.from_json(F.lit(found.text), frame.schema["p"].dataType.json())
 
-    if rows <= limit:
-        return [constant(df)]
-    slices = -(-rows // limit) * 2
+    whole = constant(df)
+    if whole is not None:
+        return [whole]
+    slices = -(-df.count() // limit) * 2
     spread = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
-    return [constant(spread.where(F.col("_slice") == i).drop("_slice")) for i in range(slices)]
+    parts = [constant(spread.where(F.col("_slice") == i).drop("_slice")) for i in range(slices)]
+    if any(p is None for p in parts):
+        raise ValueError("a slice of the reference table exceeds its bound")
+    return parts
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:

@@ -14,6 +14,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 COMBINING_DOT = "\u0307"
 LOOSE_FROM, LOOSE_TO = "ışğüöçâîûêô", "isguocaiueo"
@@ -27,7 +28,7 @@ WORD = r"\p{L}\p{N}_"
 NFC_SUSPECT = r"[^\u0000-\u02FF\u2010-\u2027\u2030-\u205E\u20A0-\u20C0]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc_batch(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
@@ -59,12 +60,12 @@ def casefold(col: Column) -> Column:
     return F.replace(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
-def text_fold(col: Column) -> Column:
-    return F.replace(casefold(nfc(col)), F.lit(COMBINING_DOT), F.lit(""))
+def text_fold(col: Column, is_nfc: bool = False) -> Column:
+    return F.replace(casefold(col if is_nfc else nfc(col)), F.lit(COMBINING_DOT), F.lit(""))
 
 
-def loose_fold(col: Column) -> Column:
-    return F.translate(text_fold(col), LOOSE_FROM, LOOSE_TO)
+def loose_fold(col: Column, is_nfc: bool = False) -> Column:
+    return F.translate(text_fold(col, is_nfc), LOOSE_FROM, LOOSE_TO)
 
 
 def marker_fold(col: Column) -> Column:

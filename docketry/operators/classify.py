@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docketry.functions.scale import packed_rows
+from docketry.functions.scale import once, packed_rows
 from docketry.functions.text import LETTER, loose_fold, round_half_even, text_fold, token_line
 from docketry.sources import fixed
 from docketry.sources.loaders import attach_chain
@@ -35,9 +35,13 @@ def keyword_lexicon(tax: dict[str, DataFrame]) -> list[Column]:
     return packed_rows(types, ["request_type_id"], LEXICON_ROWS)
 
 
-def classify_keyword(docs: DataFrame, tax: dict[str, DataFrame], text: str = "normalized_text") -> DataFrame:
-    """Matched keywords over list length; best language per type, best type per document."""
-    folded = docs.withColumn("_folded", text_fold(F.col(text)))
+def classify_keyword(docs: DataFrame, tax: dict[str, DataFrame], text: str = "normalized_text", is_nfc: bool = False) -> DataFrame:
+    """Matched keywords over list length; best language per type, best type per document.
+
+    ``is_nfc``: the text went through intake normalisation already.
+    """
+    folded = once(docs, _folded=text_fold(F.col(text), is_nfc))
+    lexicon = keyword_lexicon(tax)
 
     def best_language(entry: Column) -> Column:
         coverage = lambda lang: round_half_even(
@@ -48,7 +52,7 @@ def classify_keyword(docs: DataFrame, tax: dict[str, DataFrame], text: str = "no
         with_best = F.transform(lexicon, lambda t: F.struct(t["request_type_id"].alias("id"), best_language(t).alias("best")))
         return F.transform(with_best, lambda t: F.struct((-t["best"]["score"]).alias("miss"), t["id"].alias("id"), t["best"]["language"].alias("language")))
 
-    won = folded.withColumn("_won", F.array_min(_concat([scored(part) for part in keyword_lexicon(tax)])))
+    won = once(folded, _won=F.array_min(_concat([scored(part) for part in lexicon])))
     score = F.coalesce(-F.col("_won.miss"), F.lit(0.0))
     found = score > 0
     decided = (
@@ -60,7 +64,7 @@ def classify_keyword(docs: DataFrame, tax: dict[str, DataFrame], text: str = "no
     )
     reason = F.when(F.col("confidence") == 0, "No taxonomy keyword matched").otherwise(
         F.format_string("Best matching taxonomy chain selected from %s keywords", F.col("keyword_language")))
-    return attach_chain(decided, tax).withColumn("reason", reason).withColumn("classifier_version", F.lit(fixed.KEYWORD_CLASSIFIER_VERSION))
+    return attach_chain(decided, tax, len(lexicon) == 1).withColumn("reason", reason).withColumn("classifier_version", F.lit(fixed.KEYWORD_CLASSIFIER_VERSION))
 
 
 def signal_lexicon(tax: dict[str, DataFrame]) -> list[Column]:
@@ -123,11 +127,12 @@ def rank_types(coverage: Column) -> Column:
         t["label"].alias("label"), t["best"].alias("best"))))
 
 
-def classify_semantic(docs: DataFrame, tax: dict[str, DataFrame], text: str = "normalized_text") -> DataFrame:
+def classify_semantic(docs: DataFrame, tax: dict[str, DataFrame], text: str = "normalized_text", is_nfc: bool = False) -> DataFrame:
     """Concept classification with its evidence: matched forms, runner-up, reason."""
-    prepared = docs.withColumn("_folded", loose_fold(F.col(text))).withColumn("_tokens", token_line(F.col("_folded")))
-    coverage = _concat([signal_coverage(part, F.col("_tokens"), F.col("_folded")) for part in signal_lexicon(tax)])
-    ranked = prepared.withColumn("_ranked", rank_types(coverage))
+    prepared = once(once(docs, _folded=loose_fold(F.col(text), is_nfc)), _tokens=token_line(F.col("_folded")))
+    lexicon = signal_lexicon(tax)
+    coverage = _concat([signal_coverage(part, F.col("_tokens"), F.col("_folded")) for part in lexicon])
+    ranked = once(prepared, _ranked=rank_types(coverage))
     top = F.col("_ranked")[0]
     runner = F.get(F.filter(F.slice("_ranked", 2, 1_000_000), lambda t: t["best"]["miss"] < 0), F.lit(0))
     score = -top["best"]["miss"]
@@ -143,7 +148,7 @@ def classify_semantic(docs: DataFrame, tax: dict[str, DataFrame], text: str = "n
         .withColumn("runner_up_score", -runner["best"]["miss"])
         .drop("_folded", "_tokens", "_ranked")
     )
-    return attach_chain(decided, tax).withColumn("reason", semantic_reason()).withColumn("classifier_version", F.lit(fixed.SIGNAL_CLASSIFIER_VERSION))
+    return attach_chain(decided, tax, len(lexicon) == 1).withColumn("reason", semantic_reason()).withColumn("classifier_version", F.lit(fixed.SIGNAL_CLASSIFIER_VERSION))
 
 
 def semantic_reason() -> Column:
@@ -158,8 +163,8 @@ def semantic_reason() -> Column:
         F.concat(detail, runner, weak))
 
 
-def classify(docs: DataFrame, tax: dict[str, DataFrame], model: str = "semantic-v3", text: str = "normalized_text") -> DataFrame:
+def classify(docs: DataFrame, tax: dict[str, DataFrame], model: str = "semantic-v3", text: str = "normalized_text", is_nfc: bool = False) -> DataFrame:
     """The configured model's current classification row."""
     run = classify_keyword if model == "keyword-v2" else classify_semantic
     version = tax["request_types"].agg(F.max("taxonomy_version")).scalar()
-    return run(docs, tax, text).withColumn("taxonomy_version", version)
+    return run(docs, tax, text, is_nfc).withColumn("taxonomy_version", version)

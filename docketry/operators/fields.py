@@ -6,8 +6,9 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
-from docketry.functions.scale import lookup
+from docketry.functions.scale import lookup, once
 from docketry.functions.text import collapse_spaces, nfc, quote_pattern, strip
 from docketry.sources import fixed
 
@@ -56,7 +57,7 @@ def labeled_candidates(df: DataFrame, registry: DataFrame, text: str = "normaliz
     return joined.withColumn("candidates", merge_maps(rule_candidates(F.col(text), patterns), F.coalesce(labeled, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{CANDIDATE}>")))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json_object(answers: pd.Series) -> pd.Series:
     """First decodable JSON object inside noisy text, re-serialised; null if none."""
     decoder = json.JSONDecoder()
@@ -85,7 +86,7 @@ def answer_candidates(df: DataFrame, registry: DataFrame, answer: str = "answer"
     allowed = free.groupBy("request_type_id").agg(F.collect_set("field_id").alias("allowed"))
     parsed = df.withColumn("_json", first_json_object(F.col(answer))).join(lookup(allowed), "request_type_id", "left")
     values = F.from_json("_json", "map<string,variant>")
-    parsed = parsed.withColumn("_values", values)
+    parsed = once(parsed, _values=values)
     is_text = lambda v: F.schema_of_variant(v) == "STRING"
     keys_ok = F.size(F.array_except(F.map_keys("_values"), F.coalesce("allowed", F.array().cast("array<string>")))) == 0
     all_text = F.forall(F.map_values("_values"), lambda v: F.coalesce(is_text(v), F.lit(False)))
@@ -214,7 +215,7 @@ def evaluate_fields(df: DataFrame, registry: DataFrame, candidates: str = "candi
                         result["error"].alias("code"), F.when(attached, 1.0).otherwise(F.coalesce(offered["confidence"], F.lit(0.5))).alias("confidence"),
                         F.try_element_at(F.col(prior), d["field_id"]).alias("prior"))
 
-    judged_df = base.withColumn("_judged", F.transform("definitions", judged))
+    judged_df = once(base, _judged=F.transform("definitions", judged))
     taken = F.filter("_judged", lambda f: (f["code"].isNull() & f["value"].isNotNull()) | f["prior"].isNotNull())
     fresh = lambda f: f["code"].isNull() & f["value"].isNotNull()
     accepted = F.transform(taken, lambda f: F.struct(

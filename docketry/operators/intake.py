@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docketry.functions.scale import spread_join
+from docketry.functions.scale import once, spread_join
 from docketry.functions.text import LETTER, casefold, collapse_spaces, normalize_text, strip
 from docketry.sources import fixed
 
 
 def normalize(df: DataFrame, text: str = "text", out: str = "normalized_text") -> DataFrame:
-    return df.withColumn(out, normalize_text(F.col(text)))
+    return once(df, **{out: normalize_text(F.col(text))})
 
 
 def accepted_length(col: Column, minimum: int = fixed.MIN_TEXT_CHARACTERS) -> Column:
     """Code points, not bytes; white space alone does not count as text."""
-    return (F.length(strip(col)) > 0) & (F.length(col) >= minimum)
+    return F.regexp_like(col, F.lit(r"(?U)\S")) & (F.length(col) >= minimum)
 
 
 def length_gate(df: DataFrame, text: str = "normalized_text", minimum: int = fixed.MIN_TEXT_CHARACTERS) -> DataFrame:
@@ -63,13 +63,17 @@ def ingest(arrivals: DataFrame, existing: DataFrame | None = None, facts: tuple[
     return joined.withColumn("outcome", outcome).drop("_print", "_first")
 
 
-def marker_scores(text: Column, markers: dict[str, tuple[str, ...]], orthography: str | None = "tr") -> Column:
-    """array<struct<miss, language, score>> sorted best first, ties by code."""
+def marker_tokens(text: Column) -> Column:
     tokens = F.filter(F.split(text, f"[^{fixed.TOKEN_CHARACTERS}]+", -1), lambda t: t != "")
-    folded = F.transform(tokens, lambda t: casefold(F.replace(t, F.lit("İ"), F.lit("i"))))
+    return F.transform(tokens, lambda t: casefold(F.replace(t, F.lit("İ"), F.lit("i"))))
+
+
+def marker_scores(folded: Column, text: Column, markers: dict[str, tuple[str, ...]], orthography: str | None = "tr") -> Column:
+    """array<struct<miss, language, score>> sorted best first, ties by code."""
     scores = []
     for language, words in markers.items():
-        hits = F.size(F.filter(folded, lambda t, w=words: t.isin(list(w))))
+        listed = list(words)
+        hits = F.size(F.filter(folded, lambda t: t.isin(listed)))
         if language == orthography:
             spelled = f"(?<![{fixed.TOKEN_CHARACTERS}])(?![\\p{{Lu}}])[{fixed.TOKEN_CHARACTERS}]*?[{fixed.TURKISH_LETTERS}]"
             hits = hits + F.regexp_count(text, F.lit(spelled))
@@ -80,13 +84,15 @@ def marker_scores(text: Column, markers: dict[str, tuple[str, ...]], orthography
 def detect_language(df: DataFrame, text: str = "normalized_text", markers=fixed.LANGUAGE_MARKERS,
                     orthography: str | None = "tr", out: str = "language", keep_scores: bool = False) -> DataFrame:
     """Leading language by function words, "unknown" when the lead is too thin."""
-    ranked = df.withColumn("_ranked", marker_scores(F.coalesce(F.col(text), F.lit("")), markers, orthography))
+    source = F.coalesce(F.col(text), F.lit(""))
+    tokens = once(df, _folded=marker_tokens(source))
+    ranked = once(tokens, _ranked=marker_scores(F.col("_folded"), source, markers, orthography))
     lead, next_best = F.col("_ranked")[0], F.coalesce(F.get("_ranked", F.lit(1))["score"], F.lit(0))
     sure = (lead["score"] >= 1) & (lead["score"] >= fixed.MARKER_MARGIN * next_best)
     result = ranked.withColumn(out, F.when(sure, lead["language"]).otherwise("unknown"))
     if keep_scores:
         result = result.withColumn("lead_score", lead["score"]).withColumn("next_score", next_best)
-    return result.drop("_ranked")
+    return result.drop("_folded", "_ranked")
 
 
 def derive_title(text: Column, salutation: str = fixed.SALUTATION_PATTERN, default: str = fixed.DEFAULT_TITLE) -> Column:

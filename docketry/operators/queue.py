@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docketry.functions.scale import once
 from docketry.functions.text import ascii_fold, round_half_even, strip
 from docketry.operators.cases import metadata_text
 from docketry.operators.routing import applicant_name
@@ -96,7 +97,7 @@ def related_cases(cases: DataFrame, identity: str = "identity", text: str = "tex
     candidates = newest.join(F.broadcast(places), key).where(c(identity).isNotNull() & (c(identity) != ""))
     grouped = candidates.groupBy(identity).agg(F.collect_list(F.struct(c(key).alias("key"), c(created).alias("at"), "place", "tokens")).alias("candidates"))
     keys = places.where(c("place") < pool).select(key).withColumn("_inside", F.lit(True))
-    probes = (cases.withColumn("_mine", similarity_tokens(c(text))).join(F.broadcast(grouped), identity, "left").join(F.broadcast(keys), key, "left"))
+    probes = (once(cases, _mine=similarity_tokens(c(text))).join(F.broadcast(grouped), identity, "left").join(F.broadcast(keys), key, "left"))
     visible = F.filter("candidates", lambda x: (x["key"] != c(key)) & ((x["place"] < pool) | F.coalesce("_inside", F.lit(False))))
 
     def scored(x: Column) -> Column:
@@ -107,7 +108,7 @@ def related_cases(cases: DataFrame, identity: str = "identity", text: str = "tex
 
     matched = F.filter(F.transform(visible, scored), lambda m: m["score"] >= threshold)
     named = c(identity).isNotNull() & (c(identity) != "")
-    result = probes.withColumn("_matched", F.when(named, F.array_sort(matched)))
+    result = once(probes, _matched=F.when(named, F.array_sort(matched)))
     return (result.withColumn("history_scope", F.when(named, "same_validated_applicant").otherwise("unavailable"))
             .withColumn("similar_count", F.coalesce(F.array_size("_matched"), F.lit(0)))
             .withColumn("related", F.coalesce(F.transform(F.slice("_matched", 1, limit), lambda m: F.struct(m["case"].alias("case_id"), m["score"].alias("score"))),

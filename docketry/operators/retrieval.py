@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from docketry.functions.scale import lookup
+from docketry.functions.scale import lookup, once
 from docketry.functions.text import strip, tokenize_tr
 from docketry.sources import fixed
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docketry.functions.scale import once
 from docketry.functions.text import round_half_even, strip
 from docketry.sources import fixed
 
@@ -41,8 +42,8 @@ def document_type(text: Column, rules=fixed.DOCUMENT_TYPE_RULES, salutation=fixe
 
 def score_document_type(df: DataFrame, text: str = "text", rules=fixed.DOCUMENT_TYPE_RULES, default: str | None = None, **bonus) -> DataFrame:
     default = default or rules[0][0]
-    blank = F.length(strip(F.col(text))) == 0
-    scored = df.withColumn("_t", document_type(F.col(text), rules, **bonus))
+    blank = ~F.regexp_like(F.col(text), F.lit(r"(?U)\S"))
+    scored = once(df, _t=document_type(F.col(text), rules, **bonus))
     none = blank | (F.col("_t.miss") == 0)
     return (scored.withColumn("document_type", F.when(none, default).otherwise(F.col("_t.name")))
             .withColumn("document_type_score", F.when(none, 0.0).otherwise(-F.col("_t.miss"))).drop("_t"))
@@ -50,7 +51,7 @@ def score_document_type(df: DataFrame, text: str = "text", rules=fixed.DOCUMENT_
 
 def find_department(df: DataFrame, text: str = "text", rules=fixed.DEPARTMENT_RULES, default: str = fixed.DEFAULT_DEPARTMENT) -> DataFrame:
     lowered = F.lower(F.col(text))
-    scored = df.withColumn("_d", _first_best([(name, coverage(lowered, words)) for name, words in rules]))
+    scored = once(df, _d=_first_best([(name, coverage(lowered, words)) for name, words in rules]))
     found = F.col("_d.miss") < 0
     return (scored.withColumn("department", F.when(found, F.col("_d.name")).otherwise(default))
             .withColumn("department_score", F.when(found, -F.col("_d.miss")).otherwise(0.0)).drop("_d"))

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docketry.functions.scale import once
 from docketry.functions.text import WORD, ascii_fold, marker_fold, round_half_even
 from docketry.sources import fixed
 
@@ -22,7 +23,7 @@ def priority(text: Column, rules=fixed.PRIORITY_RULES, default=fixed.DEFAULT_PRI
 
 
 def with_priority(df: DataFrame, text: str = "text", rules=fixed.PRIORITY_RULES, default=fixed.DEFAULT_PRIORITY) -> DataFrame:
-    return (df.withColumn("_p", priority(F.col(text), rules, default))
+    return (once(df, _p=priority(F.col(text), rules, default))
             .withColumn("priority_level", F.col("_p.level")).withColumn("priority_score", F.col("_p.score"))
             .withColumn("priority_reason", F.col("_p.reason")).drop("_p"))
 
@@ -50,11 +51,11 @@ def behavior_signals(df: DataFrame, text: str = "text", language: str | None = N
     spoken = F.col(language) if language else F.lit(None).cast("string")
     reads_english = F.coalesce(spoken, F.lit("")).isin("", "unknown", "en")
     hits = F.filter(listed, lambda m: F.contains(F.col("_bounded"), m["probe"]) & (~m["english"] | F.col("_english")))
-    scored = df.withColumn("_bounded", bounded).withColumn("_english", reads_english).withColumn("_hits", hits)
+    scored = once(once(df, _bounded=bounded, _english=reads_english), _hits=hits)
     raw = F.least(F.lit(1.0), F.aggregate("_hits", F.lit(0.0), lambda acc, m: acc + m["weight"]))
     level = F.when(F.col("_raw") >= fixed.HIGH_BEHAVIOR, "high").when(F.col("_raw") > 0, "elevated").otherwise("normal")
     return (
-        scored.withColumn("_raw", raw)
+        once(scored, _raw=raw)
         .withColumn("aggression_score", round_half_even(F.col("_raw"), 3))
         .withColumn("aggression_level", level)
         .withColumn("marker_count", F.size("_hits"))

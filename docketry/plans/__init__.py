@@ -1 +1,6 @@
 """Registered queries: operators bound to tables, with their SQL twins."""
+
+from docketry.plans import text_queries  # noqa: F401
+from docketry.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

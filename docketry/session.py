@@ -20,7 +20,7 @@ SETTINGS = {
 
 
 def get_spark(master: str | None = None, partitions: int | None = None, memory: str = "8g") -> SparkSession:
-    builder = SparkSession.builder.appName("docketry").config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName("docketry").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master).config("spark.driver.memory", memory)
     for key, value in SETTINGS.items():

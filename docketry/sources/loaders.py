@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from docketry.functions.scale import lookup
+from docketry.functions.scale import lookup, small_table, spread_small
 from docketry.functions.text import text_fold
 from docketry.sources import fixed
 
@@ -30,8 +30,10 @@ CORPUS_SCHEMA = (
 )
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: str | None = None) -> DataFrame:
+    """A table of the folder; ``spread`` names a key to hash few small files over the cores."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_small(df, spread) if spread else df
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "json", stream: bool = False) -> DataFrame:
@@ -87,15 +89,15 @@ def load_taxonomy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def default_taxonomy(spark: SparkSession) -> dict[str, DataFrame]:
     """The built-in chain and keyword lists; concept signals come from a file."""
-    departments = spark.createDataFrame([(i, l, True) for i, l in fixed.DEPARTMENTS], "department_id string, department_label string, active boolean")
-    units = spark.createDataFrame([(i, l, d, True) for i, l, d in fixed.UNITS], "unit_id string, unit_label string, department_id string, active boolean")
-    types = spark.createDataFrame(
+    departments = small_table(spark, [(i, l, True) for i, l in fixed.DEPARTMENTS], "department_id string, department_label string, active boolean")
+    units = small_table(spark, [(i, l, d, True) for i, l, d in fixed.UNITS], "unit_id string, unit_label string, department_id string, active boolean")
+    types = small_table(spark, 
         [(n, r[0], r[1], r[2], fixed.TAXONOMY_VERSION) for n, r in enumerate(fixed.REQUEST_TYPES)],
         "type_ord int, request_type_id string, request_type_label string, unit_id string, taxonomy_version string")
-    keywords = spark.createDataFrame(
+    keywords = small_table(spark, 
         [(r[0], lang, n, w) for r in fixed.REQUEST_TYPES for lang, words in (("tr", r[3]), ("en", r[4])) for n, w in enumerate(words)],
         "request_type_id string, language string, keyword_ord int, keyword string")
-    empty = spark.createDataFrame([], "request_type_id string, language string, group_ord int, form_ord int, form string")
+    empty = small_table(spark, [], "request_type_id string, language string, group_ord int, form_ord int, form string")
     return {"departments": departments, "units": units, "request_types": types, "keywords": keywords,
             "signals": with_keyword_signals(keywords, empty)}
 
@@ -148,7 +150,7 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 
 def default_registry(spark: SparkSession) -> DataFrame:
     rows = [(t, n, *f, fixed.FIELD_SCHEMA_VERSION) for t, fields in fixed.FIELD_REGISTRY.items() for n, f in enumerate(fields)]
-    return spark.createDataFrame(rows, "request_type_id string, ord int, field_id string, label string, kind string, required boolean, schema_version string")
+    return small_table(spark, rows, "request_type_id string, ord int, field_id string, label string, kind string, required boolean, schema_version string")
 
 
 def registry_violations(registry: DataFrame, expected_types: int = fixed.REGISTRY_TYPES) -> DataFrame:
@@ -195,7 +197,7 @@ def build_chunks(articles: DataFrame) -> DataFrame:
 def load_policy(spark: SparkSession, path: str | None = None) -> DataFrame:
     """field_id -> redact / task_required / exclude."""
     if path is None:
-        return spark.createDataFrame(list(fixed.FIELD_HANDLING.items()), "field_id string, handling string")
+        return small_table(spark, list(fixed.FIELD_HANDLING.items()), "field_id string, handling string")
     return spark.read.schema("fieldHandling string").json(path, multiLine=True).select(
         F.explode(F.from_json("fieldHandling", "map<string,string>")).alias("field_id", "handling"))
 
@@ -211,14 +213,17 @@ def staff_registry(units: DataFrame) -> DataFrame:
 
 
 def default_staff(spark: SparkSession) -> DataFrame:
-    return staff_registry(spark.createDataFrame(list(fixed.STAFF_UNITS), "unit_id string, unit_name string"))
+    return staff_registry(small_table(spark, list(fixed.STAFF_UNITS), "unit_id string, unit_name string"))
 
 
-def attach_chain(df: DataFrame, tax: dict[str, DataFrame]) -> DataFrame:
-    """request type -> unit -> department, ids and labels."""
+def attach_chain(df: DataFrame, tax: dict[str, DataFrame], bounded: bool = False) -> DataFrame:
+    """request type -> unit -> department, ids and labels.
+
+    ``bounded`` tells that the caller has measured the taxonomy already.
+    """
     chain = (
         tax["request_types"].select("request_type_id", "request_type_label", "unit_id")
         .join(tax["units"].select("unit_id", "unit_label", "department_id"), "unit_id", "left")
         .join(tax["departments"].select("department_id", "department_label"), "department_id", "left")
     )
-    return df.join(lookup(chain), "request_type_id", "left")
+    return df.join(F.broadcast(chain) if bounded else lookup(chain), "request_type_id", "left")
