@@ -76,6 +76,16 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: s
     return salted.join(replicated, [*keys, "_salt"], how).drop("_salt")
 
 
+def ordered_stream(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of one key together in one partition and in order, ready to be folded.
+
+    Hashing a digest column keeps the exchange: a union of inputs that are each
+    hashed by ``key`` already would otherwise be taken as co-partitioned, which
+    does not survive AQE coalescing its branches differently.
+    """
+    return df.withColumn("_slot", F.xxhash64(key)).repartition("_slot").sortWithinPartitions(key, *order).drop("_slot")
+
+
 def packed_rows(df: DataFrame, order: list[str], limit: int) -> list[Column]:
     """A small reference table as constant array columns for row expressions.
 

@@ -49,12 +49,17 @@ def field_lists(registry: DataFrame) -> DataFrame:
 def labeled_candidates(df: DataFrame, registry: DataFrame, text: str = "normalized_text", patterns=fixed.RULE_FIELD_PATTERNS) -> DataFrame:
     """``field-id: value`` lines of the row's request type, over rule matches."""
     joined = df.join(lookup(field_lists(registry)), "request_type_id", "left")
+    # One pass lists every labelled line; the look-ahead keeps a line available
+    # as a label of its own even when the label above it has an empty rest.
+    labels = lambda group: F.regexp_extract_all(F.col(text), F.lit(r"(?umdU)^(?=([\w-]+)\s*:\s*(.+)$)"), F.lit(group))
+    lined = once(joined, _lines=F.arrays_zip(F.transform(labels(1), lambda k: F.lower(k)).alias("key"), labels(2).alias("value")))
     found = F.transform("definitions", lambda d: F.struct(
-        d["field_id"].alias("key"),
-        F.call_function("regexp_extract", F.col(text), F.concat(F.lit(r"(?iumdU)^"), quote_pattern(d["field_id"]), F.lit(r"\s*:\s*(.+)$")), F.lit(1)).alias("raw")))
-    kept = F.filter(found, lambda e: e["raw"] != "")
+        d["field_id"].alias("key"), F.get(F.filter("_lines", lambda line: line["key"] == d["field_id"]), F.lit(0))["value"].alias("raw")))
+    kept = F.filter(found, lambda e: e["raw"].isNotNull())
     labeled = F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), _candidate(strip(e["raw"]), fixed.LABEL_CONFIDENCE).alias("value"))))
-    return joined.withColumn("candidates", merge_maps(rule_candidates(F.col(text), patterns), F.coalesce(labeled, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{CANDIDATE}>")))))
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{CANDIDATE}>"))
+    layered = once(lined, _rules=rule_candidates(F.col(text), patterns), _labels=F.coalesce(labeled, nothing))
+    return once(layered, candidates=merge_maps(F.col("_rules"), F.col("_labels"))).drop("_lines", "_rules", "_labels")
 
 
 @F.pandas_udf(StringType())

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docketry.functions.scale import lookup, spread_join
+from docketry.functions.scale import lookup, ordered_stream, spread_join
 from docketry.functions.text import strip
 from docketry.operators.fields import field_lists, validate_attachments, validate_value
 from docketry.sources import fixed
@@ -143,7 +143,7 @@ def apply_supplements(requests: DataFrame, state: DataFrame, registry: DataFrame
         rows = rows.unionByName(replays.select(
             "case_id", F.lit(-1).cast("long").alias("seq"), "idempotency_key", *nothing("long", "revision"), F.lit("replay").alias("problem"),
             F.lit(False).alias("unknown"), *nothing("string", "payload"), "fingerprint"))
-    return rows.repartition("case_id").sortWithinPartitions("case_id", "seq").mapInPandas(_fold_supplements, SUPPLEMENT_RESULT)
+    return ordered_stream(rows, "case_id", "seq").mapInPandas(_fold_supplements, SUPPLEMENT_RESULT)
 
 
 def _next_state(state: dict, answers: dict) -> dict:

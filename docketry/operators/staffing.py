@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from docketry.functions.scale import lookup
+from docketry.functions.scale import lookup, ordered_stream
 from docketry.functions.text import round_half_even
 from docketry.sources import fixed
 
@@ -106,7 +106,7 @@ def assign_batch(cases: DataFrame, load: DataFrame, topics: DataFrame) -> DataFr
     body = cases.select("unit_id", c("seq").cast("long").alias("seq"), c("case_id").cast("long").alias("case_id"), "topic", "priority_mode",
                         *nothing("string", "staff_id"), *nothing("long", "open_count"), *nothing("string", "last", "topics"))
     rows = opening.unionByName(body)
-    return rows.repartition("unit_id").sortWithinPartitions("unit_id", "seq", "staff_id").mapInPandas(_fold_units, BATCH_RESULT)
+    return ordered_stream(rows, "unit_id", "seq", "staff_id").mapInPandas(_fold_units, BATCH_RESULT)
 
 
 def _fold_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
