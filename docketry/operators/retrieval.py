@@ -138,7 +138,7 @@ def _batch_top(scores: np.ndarray, chunk_ids: np.ndarray, query_ids, k: int, pos
     order = np.argsort(chunk_ids, kind="stable")
     for q, query_id in enumerate(query_ids):
         column = rounded[order, q]
-        top = order[np.argsort(-column, kind="stable")[:k]]
+        top = order[np.argsort(-column, kind="stable")[:k]]  # k None keeps every row
         if positive:
             top = top[rounded[top, q] > 0]
         frames.append(pd.DataFrame({"query_id": query_id, "chunk_id": chunk_ids[top], "score": scores[top, q]}))
@@ -151,15 +151,16 @@ def top_k(pairs: DataFrame, score: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every pair's dot product for a pinned corpus: (query_id, chunk_id, dense_score).
+def dense_scores(queries: DataFrame, chunks: DataFrame, pinned_rows: int = 10_000) -> DataFrame:
+    """Every pair's dot product: (query_id, chunk_id, dense_score).
 
-    The corpus rides along as one bounded array, so the cases stream through a
-    single projection; a corpus beyond the bound must go through ``dense_top_k``.
+    A pinned corpus is measured and rides along as one bounded array, so the
+    cases stream through a single projection. A larger one is paired block-wise.
     """
-    size = chunks.limit(10_001).count()
-    if size > 10_000:
-        raise ValueError("corpus too large for scored pairs; use dense_top_k")
+    if chunks.limit(pinned_rows + 1).count() > pinned_rows:
+        stats = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+        pairs = _blocked_dense(queries, chunks, None, stats.n, stats.width, SHIPPED_CELLS, _pair_schema(queries, chunks))
+        return pairs.withColumnRenamed("score", "dense_score")
     corpus = chunks.agg(F.array_sort(F.collect_list(F.struct("chunk_id", F.col("embedding").cast("array<double>").alias("v"))))).scalar()
     dot = lambda v: F.aggregate(F.zip_with(F.col("_q"), v, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     return (queries.withColumn("_q", F.col("embedding").cast("array<double>")).withColumn("_c", F.explode(corpus))
@@ -186,7 +187,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, shi
     return top_k(pairs.withColumnRenamed("score", "dense_score"), "dense_score", k)
 
 
-def _blocked_dense(queries: DataFrame, chunks: DataFrame, k: int, n: int, width: int, cells: int, schema: str) -> DataFrame:
+def _blocked_dense(queries: DataFrame, chunks: DataFrame, k: int | None, n: int, width: int, cells: int, schema: str) -> DataFrame:
     """Fragment-and-replicate: every (query block, chunk block) meets in one bounded group."""
     query_blocks = 2 * -(-n * width // cells)
     chunk_blocks = 2 * -(-chunks.count() * width // cells)
@@ -238,6 +239,76 @@ def retrieval_context(fused: DataFrame, top: int = fixed.TOP_K, gate: float = fi
     return grouped.withColumn("source_status", F.when(F.size("chunks") > 0, "relevant_source_found").otherwise("no_relevant_source"))
 
 
+def hybrid_retrieve(cases: DataFrame, corpus: DataFrame, top: int = fixed.TOP_K, gate: float = fixed.MIN_SIMILARITY, k: int = fixed.RRF_K,
+                    stopwords=fixed.STOPWORDS, charset: str = "a-zçğıöşü0-9", k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
+                    pinned_cells: int = SHIPPED_CELLS) -> DataFrame:
+    """The best ``top`` chunks of a pinned corpus for every case, in one map-only pass.
+
+    cases(query_id, text, embedding), corpus(chunk_id, text, embedding) ->
+    (query_id, rank, chunk_id, score, lexical_score, rank_score, evident,
+    source_status). The corpus is measured and shipped as two matrices; each
+    Arrow batch of cases is scored, fused and cut in place, so nothing about the
+    cases is ever shuffled. A corpus beyond the bound takes the scored-pairs way.
+    """
+    tokens = corpus.select("chunk_id", "embedding", tokenize_tr(F.col("text"), stopwords, charset).alias("tokens")).withColumn("len", F.size("tokens"))
+    postings = tokens.select("chunk_id", "len", F.explode(term_counts(F.col("tokens"))).alias("t")).select("chunk_id", "len", "t.term", "t.tf")
+    shape = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("a"), F.max(F.size("embedding")).alias("d")).first()
+    vocabulary = postings.agg(F.countDistinct("term")).first()[0]
+    if shape.n * max(vocabulary, shape.d or 1) > pinned_cells:
+        pairs = fuse(dense_scores(cases, corpus), bm25(cases, corpus, stopwords, charset, k1, b), k)
+        order = W.partitionBy("query_id").orderBy(F.round("rank_score", 12).desc(), "chunk_id")
+        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        best = best.withColumn("evident", (F.col("score") >= gate) | (F.col("lexical_score") >= gate))
+        found = best.groupBy("query_id").agg(F.bool_or("evident").alias("_found"))
+        status = F.when(F.col("_found"), "relevant_source_found").otherwise("no_relevant_source")
+        return best.join(found, "query_id").select("query_id", "rank", "chunk_id", "score", "lexical_score", "rank_score", "evident", status.alias("source_status"))
+    vectors = tokens.select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).toPandas().sort_values("chunk_id")
+    ids = pd.Index(vectors["chunk_id"])
+    dense = np.vstack(vectors["v"].to_list()).T
+    listed = postings.toPandas()
+    terms = pd.Index(sorted(listed["term"].unique()))
+    df = listed.groupby("term")["chunk_id"].count().reindex(terms).to_numpy(dtype=float)
+    idf = np.log(1 + (shape.n - df + 0.5) / (df + 0.5))
+    row, column, tf = terms.get_indexer(listed["term"]), ids.get_indexer(listed["chunk_id"]), listed["tf"].to_numpy()
+    weights = np.zeros((len(terms), len(ids)))
+    weights[row, column] = idf[row] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * listed["len"].to_numpy() / (shape.a or 1.0)))
+
+    def positions(scores: np.ndarray) -> np.ndarray:
+        """1-based rank of every column per row; columns are in id order, so ties are stable."""
+        order = np.argsort(-np.round(scores, RANK_DIGITS), axis=1, kind="stable")
+        ranks = np.empty_like(order)
+        np.put_along_axis(ranks, order, np.arange(1, order.shape[1] + 1)[None, :], axis=1)
+        return ranks
+
+    def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch["tokens"].map(len).to_numpy()
+            rows = np.repeat(np.arange(len(batch)), lengths)
+            flat = np.concatenate(batch["tokens"].to_list()) if lengths.sum() else np.array([], dtype=object)
+            found = terms.get_indexer(flat)
+            lexical = np.zeros((len(batch), len(ids)))
+            np.add.at(lexical, rows[found >= 0], weights[found[found >= 0]])
+            best = lexical.max(axis=1, keepdims=True)
+            lexical = np.divide(lexical, best, out=np.zeros_like(lexical), where=best > 0)
+            scores = np.vstack(batch["embedding"].to_list()).astype(float) @ dense
+            fused = 1.0 / (k + positions(scores)) + np.where(lexical > 0, 1.0 / (k + positions(lexical)), 0.0)
+            picked = np.argsort(-np.round(fused, 12), axis=1, kind="stable")[:, :top]
+            take = lambda m: np.take_along_axis(m, picked, axis=1)
+            evident = (take(scores) >= gate) | (take(lexical) >= gate)
+            width = picked.shape[1]
+            yield pd.DataFrame({
+                "query_id": np.repeat(batch["query_id"].to_numpy(), width), "rank": np.tile(np.arange(1, width + 1), len(batch)),
+                "chunk_id": ids.to_numpy()[picked].ravel(), "score": take(scores).ravel(), "lexical_score": take(lexical).ravel(), "rank_score": take(fused).ravel(),
+                "evident": evident.ravel(),
+                "source_status": np.repeat(np.where(evident.any(axis=1), "relevant_source_found", "no_relevant_source"), width)})
+
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    schema = (f"query_id {kind(cases, 'query_id')}, rank int, chunk_id {kind(corpus, 'chunk_id')}, score double, lexical_score double, rank_score double, "
+              "evident boolean, source_status string")
+    words = cases.select("query_id", "embedding", tokenize_tr(F.col("text"), stopwords, charset).alias("tokens"))
+    return words.mapInPandas(retrieve, schema)
+
+
 def retrieval_query(unit_label: Column, request_type: Column, values: Column, document: Column, maximum: int = fixed.MAX_QUERY_CHARACTERS) -> Column:
     """The case's own words as the query: unit, type words, task fields, sanitised text."""
     words = F.concat(F.array(unit_label, F.replace(request_type, F.lit("-"), F.lit(" "))), values, F.array(document))
