@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from docketry.functions.scale import lookup, once
 from docketry.functions.text import strip, tokenize_tr
 from docketry.sources import fixed
 
@@ -46,7 +45,7 @@ def term_counts(tokens: Column) -> Column:
         return _let(starts, lambda at: F.transform(at, lambda i, n: F.struct(
             F.get(ordered, i - 1).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(ordered) + 1) - i).cast("double").alias("tf"))))
 
-    return F.when(F.size(tokens) > 0, _let(F.array_sort(tokens), counted)).otherwise(F.array().cast("array<struct<term:string,tf:double>>"))
+    return F.when(F.size(tokens) > 0, _let(F.sort_array(tokens), counted)).otherwise(F.array().cast("array<struct<term:string,tf:double>>"))
 
 
 def query_terms(queries: DataFrame, stopwords, charset: str) -> DataFrame:
@@ -67,15 +66,18 @@ def bm25(queries: DataFrame, chunks: DataFrame, stopwords=fixed.STOPWORDS, chars
     tokens = chunks.select("chunk_id", tokenize_tr(F.col("text"), stopwords, charset).alias("tokens")).withColumn("len", F.size("tokens"))
     stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     postings = tokens.select("chunk_id", "len", F.explode(term_counts(F.col("tokens"))).alias("t")).select("chunk_id", "len", "t.term", "t.tf")
-    postings = postings.join(lookup(wanted.select("term").distinct()), "term", "left_semi")
+    # Sizes are left to AQE: it broadcasts whichever side turns out small, and
+    # counting here would run the tokeniser once more per question.
+    postings = postings.join(wanted.select("term").distinct(), "term", "left_semi")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     n, average = stats.select("n").scalar(), stats.select("avg_len").scalar()
-    weighted = wanted.join(lookup(frequency), "term").withColumn("w", F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    pairs = postings.join(lookup(weighted.select("query_id", "term", "w")), "term")
+    weighted = wanted.join(frequency, "term").withColumn("w", F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    pairs = postings.join(weighted.select("query_id", "term", "w"), "term")
     gain = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
     raw = pairs.groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
-    best = raw.groupBy("query_id").agg(F.max("raw").alias("top"))
-    return raw.join(lookup(best), "query_id").select("query_id", "chunk_id", (F.col("raw") / F.col("top")).alias("lexical_score"))
+    # One query's window is at most the pinned corpus.
+    top = F.max("raw").over(W.partitionBy("query_id"))
+    return raw.select("query_id", "chunk_id", (F.col("raw") / top).alias("lexical_score"))
 
 
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, stopwords=fixed.STOPWORDS, charset: str = "a-zçğıöşü0-9",

@@ -39,7 +39,7 @@ def select_routes(cases: DataFrame, tax: dict[str, DataFrame], fallback=(fixed.F
 
 
 def create_routes(jobs: DataFrame, state: DataFrame, classification: DataFrame, generations: DataFrame, tax: dict[str, DataFrame],
-                  existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                  existing: DataFrame | None = None, fallback=(fixed.FALLBACK_DEPARTMENT, fixed.FALLBACK_UNIT)) -> tuple[DataFrame, DataFrame]:
     """Routing jobs -> (routes or refusals, queued notifications).
 
     jobs(case_id, source_case_revision, source_generation_id). A job must aim at
@@ -56,7 +56,7 @@ def create_routes(jobs: DataFrame, state: DataFrame, classification: DataFrame,
         .join(generation, "source_generation_id", "left"))
     requested = c("source_generation_id").isNotNull()
     facts = facts.withColumn("result_status", F.when(requested, c("_result")).otherwise("not_requested")).drop("_result")
-    judged = select_routes(facts, tax)
+    judged = select_routes(facts, tax, fallback)
     stale = c("revision").isNull() | (c("revision") != c("source_case_revision"))
     unusable = requested & ~F.coalesce((c("generation_status") == "completed") & c("result_status").isin("draft_ready", "review_required"), F.lit(False))
     routes = judged.withColumn("rejection_code", F.when(stale, "CASE_REVISION_CONFLICT").when(unusable, "CORRESPONDENCE_NOT_ROUTEABLE").otherwise(c("rejection_code")))
@@ -131,4 +131,5 @@ def close_assignments(assignments: DataFrame, changes: DataFrame) -> DataFrame:
     done = (c("_state") == "completed") & (c("source_case_revision") == c("_rev"))
     superseded = (c("_state") != "completed") & (c("_rev") > 1) & (c("source_case_revision") < c("_rev"))
     closes = F.coalesce((c("assignment_status") == "assigned") & (done | superseded), F.lit(False))
-    return joined.withColumn("assignment_status", F.when(closes, "completed").otherwise(c("assignment_status"))).withColumn("closed_now", closes).drop("_rev", "_state")
+    marked = joined.withColumn("closed_now", closes).drop("_rev", "_state")
+    return marked.withColumn("assignment_status", F.when(c("closed_now"), "completed").otherwise(c("assignment_status")))
