@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docketry.functions.scale import once
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,12 +43,21 @@ CLASSIFICATION_RESULT = (
 )
 
 
-def first_error(payload: Column, contract: tuple[Rule, ...]) -> Column:
-    """Message of the first broken rule, null for a conforming payload."""
-    document = F.try_parse_json(payload)
-    keys = F.json_object_keys(payload)
-    kind = lambda name: F.schema_of_variant(F.try_variant_get(document, f"$.{name}", "variant"))
-    text = lambda name: F.get_json_object(payload, f"$.{name}")
+def with_first_error(df: DataFrame, contract: tuple[Rule, ...], payload: str = "payload", out: str = "error") -> DataFrame:
+    """Add the message of the first broken rule, null for a conforming payload.
+
+    The payload is parsed once, then the type of every named field is read once;
+    the rules themselves only compare those small columns.
+    """
+    names = sorted({rule.field for rule in contract if rule.field})
+    parsed = once(df, _doc=F.try_parse_json(payload), _keys=F.json_object_keys(payload))
+    kind_of = lambda name: F.schema_of_variant(F.try_variant_get("_doc", f"$.{name}", "variant"))
+    text_of = lambda name: F.try_variant_get("_doc", f"$.{name}", "string")
+    read = once(parsed, _kinds=F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(kind_of, names))),
+                _texts=F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(text_of, names))))
+    keys = F.col("_keys")
+    kind = lambda name: F.try_element_at(F.col("_kinds"), F.lit(name))
+    text = lambda name: F.try_element_at(F.col("_texts"), F.lit(name))
 
     def holds(rule: Rule) -> Column:
         allowed = F.array(*[F.lit(v) for v in rule.values])
@@ -69,13 +80,14 @@ def first_error(payload: Column, contract: tuple[Rule, ...]) -> Column:
         fails = ~F.coalesce(holds(rule), F.lit(False))
         return fails & F.array_contains(keys, rule.field) if rule.optional else fails
 
-    not_object = F.when(document.isNull(), "Invalid JSON").when(keys.isNull(), contract[0].message)
-    return F.coalesce(not_object, *[F.when(broken(rule), rule.message) for rule in contract])
+    not_object = F.when(F.col("_doc").isNull(), "Invalid JSON").when(keys.isNull(), contract[0].message)
+    error = F.coalesce(not_object, *[F.when(broken(rule), rule.message) for rule in contract])
+    return once(read, **{out: error}).drop("_doc", "_keys", "_kinds", "_texts")
 
 
 def conform(df: DataFrame, contract: tuple[Rule, ...], payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Split records into conforming rows and quarantined rows with the reason."""
-    checked = df.withColumn("error", first_error(F.col(payload), contract))
+    checked = with_first_error(df, contract, payload)
     return checked.where(F.col("error").isNull()).drop("error"), checked.where(F.col("error").isNotNull())
 
 
