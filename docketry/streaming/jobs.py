@@ -96,7 +96,7 @@ class CaseProjector(StatefulProcessor):
         if stage == "failed":
             if attempts < fixed.MAX_START_ATTEMPTS:
                 state = "ready_for_processing"
-                if timerValues.getCurrentProcessingTimeInMs() >= 0 and self.cooldown_ms:
+                if self.cooldown_ms:
                     for armed in list(self.handle.listTimers()):
                         self.handle.deleteTimer(armed)
                     self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.cooldown_ms)
@@ -117,11 +117,15 @@ class CaseProjector(StatefulProcessor):
 
 
 def stream_case_states(facts: DataFrame, cooldown_ms: int = fixed.RETRY_COOLDOWN_SECONDS * 1000) -> DataFrame:
-    """facts(case_id, seq, stage, state) -> changed states and retry requests."""
+    """facts(case_id, seq, stage, state) -> changed states and retry requests.
+
+    With a cooldown the query needs a processing-time trigger: pending timers keep
+    an ``availableNow`` run from ending. Without one no timers are armed.
+    """
     _use_rocksdb(facts.sparkSession)
     return facts.groupBy("case_id").transformWithStateInPandas(
         statefulProcessor=CaseProjector(cooldown_ms), outputStructType="case_id long, seq long, state string, attempts int, event string",
-        outputMode="Append", timeMode="ProcessingTime")
+        outputMode="Append", timeMode="ProcessingTime" if cooldown_ms else "None")
 
 
 def drain(result: DataFrame, sink: str, checkpoint: str) -> None:
