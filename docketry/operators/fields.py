@@ -30,7 +30,7 @@ def _present(entries: list[tuple[str, Column]], confidence: float) -> Column:
 
 def rule_candidates(text: Column, patterns=fixed.RULE_FIELD_PATTERNS) -> Column:
     """First match per built-in pattern, confidence 1."""
-    found = [(field, F.when(F.regexp_like(text, F.lit(p)), F.regexp_extract(text, p, group))) for field, p, group in patterns]
+    found = [(field, F.nullif(F.regexp_extract(text, p, group), F.lit(""))) for field, p, group in patterns]
     return _present(found, fixed.RULE_CONFIDENCE)
 
 

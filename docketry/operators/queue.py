@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docketry.functions.scale import once
 from docketry.functions.text import ascii_fold, round_half_even, strip
 from docketry.operators.cases import metadata_text
 from docketry.operators.routing import applicant_name
@@ -82,38 +85,58 @@ def related_cases(cases: DataFrame, identity: str = "identity", text: str = "tex
                   pool: int = fixed.RELATED_POOL, threshold: int = fixed.RELATED_THRESHOLD, limit: int = fixed.RELATED_LIMIT) -> DataFrame:
     """Same-applicant history of every case: similar_count and the best ``limit``.
 
-    Only the ``pool`` newest other cases are ever compared, so the candidate side
-    is the ``pool + 1`` newest cases: a top-k of proven size, grouped by identity
-    and broadcast. Each case scores its candidates inside its own row; nothing is
-    exploded and a hot identity costs no more than ``pool`` comparisons per case.
+    Only the ``pool`` newest *other* cases are ever compared, so all candidates
+    are among the ``pool + 1`` newest cases: a top-k whose size is proven. They
+    are shipped as one token table and every Arrow batch of cases is scored
+    against them at once. Nothing is joined, exploded or shuffled, and a hot
+    identity costs no more than ``pool`` comparisons per case.
+
+    Returns (key, history_scope, similar_count, related array<struct<case_id, score>>).
     """
     c = F.col
-    newest = (cases.select(key, identity, created, text).orderBy(F.desc(created), key).limit(pool + 1)
-              .withColumn("tokens", similarity_tokens(c(text))))
-    # Position among the newest: the last one only counts for a probe that is itself inside.
-    ordered = newest.agg(F.array_sort(F.collect_list(F.struct(c(created).alias("at"), c(key).alias("key"))),
-                                      lambda a, b: F.when(a["at"] > b["at"], -1).when(a["at"] < b["at"], 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)).alias("l"))
-    places = ordered.select(F.posexplode("l").alias("place", "e")).select(c("e.key").alias(key), "place")
-    candidates = newest.join(F.broadcast(places), key).where(c(identity).isNotNull() & (c(identity) != ""))
-    grouped = candidates.groupBy(identity).agg(F.collect_list(F.struct(c(key).alias("key"), c(created).alias("at"), "place", "tokens")).alias("candidates"))
-    keys = places.where(c("place") < pool).select(key).withColumn("_inside", F.lit(True))
-    probes = (once(cases, _mine=similarity_tokens(c(text))).join(F.broadcast(grouped), identity, "left").join(F.broadcast(keys), key, "left"))
-    visible = F.filter("candidates", lambda x: (x["key"] != c(key)) & ((x["place"] < pool) | F.coalesce("_inside", F.lit(False))))
-
-    def scored(x: Column) -> Column:
-        both, either = F.size(F.array_intersect(c("_mine"), x["tokens"])), F.size(F.array_union(c("_mine"), x["tokens"]))
-        empty = (F.size(c("_mine")) == 0) | (F.size(x["tokens"]) == 0)
-        score = F.when(empty, 0).otherwise(round_half_even(F.lit(100.0) * both / either).cast("int"))
-        return F.struct((-score).alias("miss"), x["at"].alias("at"), x["key"].cast("string").alias("case"), score.alias("score"))
-
-    matched = F.filter(F.transform(visible, scored), lambda m: m["score"] >= threshold)
-    named = c(identity).isNotNull() & (c(identity) != "")
-    result = once(probes, _matched=F.when(named, F.array_sort(matched)))
-    return (result.withColumn("history_scope", F.when(named, "same_validated_applicant").otherwise("unavailable"))
-            .withColumn("similar_count", F.coalesce(F.array_size("_matched"), F.lit(0)))
-            .withColumn("related", F.coalesce(F.transform(F.slice("_matched", 1, limit), lambda m: F.struct(m["case"].alias("case_id"), m["score"].alias("score"))),
-                                              F.array().cast("array<struct<case_id:string,score:int>>")))
-            .drop("_mine", "_matched", "_inside", "candidates"))
+    newest = (cases.select(key, identity, created, similarity_tokens(c(text)).alias("tokens"))
+              .orderBy(F.desc(created), key).limit(pool + 1).toPandas())
+    newest = newest.sort_values([created, key], ascending=[False, True], kind="stable").reset_index(drop=True)
+    keys, owners = newest[key].to_numpy(), newest[identity].to_numpy()
+    # Equal scores list the older case first, then the smaller id as text.
+    shown = np.array([str(v) for v in keys], dtype=object)
+    order = pd.DataFrame({"at": newest[created], "id": shown}).sort_values(["at", "id"], kind="stable").index.to_numpy()
+    words = pd.Index(sorted({w for tokens in newest["tokens"] for w in tokens}))
+    holds = np.zeros((len(words), len(newest)), dtype=np.int32)
+    for n, tokens in enumerate(newest["tokens"]):
+        holds[words.get_indexer(tokens), n] = 1
+    sizes = holds.sum(axis=0)
+    place = {v: n for n, v in enumerate(keys)}
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts, related = [], []
+            for case, owner, tokens in zip(batch["key"], batch["identity"], batch["tokens"]):
+                if owner is None or owner == "":
+                    counts.append(None)
+                    related.append([])
+                    continue
+                found = words.get_indexer(tokens)
+                both = holds[found[found >= 0]].sum(axis=0)
+                either = len(tokens) + sizes - both
+                score = np.where((sizes > 0) & (len(tokens) > 0), np.rint(100.0 * both / np.maximum(either, 1)), 0).astype(int)
+                mine = place.get(case)
+                seen = (owners == owner) & (score >= threshold)
+                if mine is None or mine >= pool:
+                    seen[pool:] = False
+                if mine is not None:
+                    seen[mine] = False
+                counts.append(int(seen.sum()))
+                picked = order[seen[order]]
+                picked = picked[np.argsort(-score[picked], kind="stable")][:limit]
+                related.append([{"case_id": shown[p], "score": int(score[p])} for p in picked])
+            yield pd.DataFrame({"key": batch["key"], "history_scope": ["unavailable" if n is None else "same_validated_applicant" for n in counts],
+                                "similar_count": [n or 0 for n in counts], "related": related})
+
+    kind = cases.schema[key].dataType.simpleString()
+    probes = cases.select(c(key).alias("key"), c(identity).alias("identity"), similarity_tokens(c(text)).alias("tokens"))
+    compared = probes.mapInPandas(compare, f"key {kind}, history_scope string, similar_count int, related array<struct<case_id:string,score:int>>")
+    return compared.withColumnRenamed("key", key)
 
 
 # --- display measures -------------------------------------------------------

@@ -109,16 +109,12 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, stop
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lengths = batch["len"].to_numpy()
-            rows = np.repeat(np.arange(len(batch)), lengths)
-            flat = np.concatenate(batch["tokens"].to_list()) if lengths.sum() else np.array([], dtype=object)
-            columns = terms.get_indexer(flat)
-            known = columns >= 0
-            counts = np.zeros((len(batch), len(terms)))
-            np.add.at(counts, (rows[known], columns[known]), 1.0)
-            damp = k1 * (1 - b + b * lengths / average)
-            gain = counts * (k1 + 1) / (counts + damp[:, None])
-            yield _batch_top(gain @ matrix, batch["chunk_id"].to_numpy(), query_ids, k, positive=True)
+            scores = np.zeros((len(batch), len(query_ids)))
+            for row, known in enumerate(_term_codes(terms, batch["tokens"])):
+                found, counts = np.unique(known, return_counts=True)
+                damp = k1 * (1 - b + b * batch["len"].iat[row] / average)
+                scores[row] = (counts * (k1 + 1) / (counts + damp)) @ matrix[found]
+            yield _batch_top(scores, batch["chunk_id"].to_numpy(), query_ids, k, positive=True)
 
     partial = tokens.mapInPandas(score, _pair_schema(queries, chunks))
     best = partial.groupBy("query_id").agg(F.max("score").alias("top"))
@@ -133,6 +129,13 @@ def _pair_schema(queries: DataFrame, chunks: DataFrame) -> str:
     return f"query_id {kind(queries, 'query_id')}, chunk_id {kind(chunks, 'chunk_id')}, score double"
 
 
+def _term_codes(terms: pd.Index, tokens: pd.Series) -> list[np.ndarray]:
+    """Per row the vocabulary positions of its known tokens, looked up in one go."""
+    ends = np.cumsum(tokens.map(len).to_numpy())
+    flat = np.concatenate(tokens.to_list()) if len(ends) and ends[-1] else np.array([], dtype=object)
+    return [part[part >= 0] for part in np.split(terms.get_indexer(flat), ends[:-1])]
+
+
 def _batch_top(scores: np.ndarray, chunk_ids: np.ndarray, query_ids, k: int, positive: bool = False) -> pd.DataFrame:
     """k best rows of every column; ties go to the smaller id."""
     frames = []
@@ -284,12 +287,7 @@ def hybrid_retrieve(cases: DataFrame, corpus: DataFrame, top: int = fixed.TOP_K,
 
     def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lengths = batch["tokens"].map(len).to_numpy()
-            rows = np.repeat(np.arange(len(batch)), lengths)
-            flat = np.concatenate(batch["tokens"].to_list()) if lengths.sum() else np.array([], dtype=object)
-            found = terms.get_indexer(flat)
-            lexical = np.zeros((len(batch), len(ids)))
-            np.add.at(lexical, rows[found >= 0], weights[found[found >= 0]])
+            lexical = np.vstack([weights[known].sum(axis=0) for known in _term_codes(terms, batch["tokens"])])
             best = lexical.max(axis=1, keepdims=True)
             lexical = np.divide(lexical, best, out=np.zeros_like(lexical), where=best > 0)
             scores = np.vstack(batch["embedding"].to_list()).astype(float) @ dense

@@ -94,7 +94,8 @@ def repeat_counts(cases: DataFrame, identity: str = "identity", topic: str = "to
     """
     named = cases.where(F.col(identity) != "")
     counts = named.groupBy(identity, topic).agg(F.count("*").alias("repeat_count"))
-    joined = spread_join(cases, counts, [identity, topic], key, **spread)
+    # Counting the same rows for hot keys lets Spark reuse this exchange.
+    joined = spread_join(cases, counts, [identity, topic], key, **{"count_on": named, **spread})
     return joined.withColumn("repeat_count", F.coalesce("repeat_count", F.lit(0)))
 
 

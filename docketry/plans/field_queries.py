@@ -46,7 +46,7 @@ SELECT k AS case_id, kind, CASE WHEN ok THEN val END AS value, CASE WHEN NOT ok
 def field_validate(spark, folder):
     """Every field kind over values derived from the customers, good and bad."""
     k = F.col("k")
-    base = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    base = table(spark, folder, "customer", spread="c_custkey").select(F.col("c_custkey").alias("k"), "c_name")
     body = _padded(k, 8)
     head = F.when(k % 5 == 0, "5").when(k % 5 == 1, "0(5").when(k % 5 == 2, " +90 5").when(k % 5 == 3, "02").otherwise("55")
     phone = F.concat(head, body, F.when(k % 5 < 3, "7").otherwise(""))
@@ -65,7 +65,7 @@ def field_validate(spark, folder):
 def case_texts(spark, folder):
     """Filled-in forms derived from the orders: ``field-id: value`` lines."""
     k, cust = F.col("k"), F.col("cust")
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"))
+    orders = table(spark, folder, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"))
     form = F.when(k % 2 == 0, "adres-bildirimi").otherwise("fatura-islemi")
     line = lambda field, value, keep: F.when(keep, F.concat(F.lit(f"{field}: "), value))
     lines = F.when(k % 2 == 0, F.array(
@@ -133,7 +133,7 @@ SELECT k AS case_id, CASE WHEN k % 4 < 2 THEN NULL ELSE 'invalid_answer' END AS
 def answer_candidates(spark, folder):
     """Noisy model answers: fenced, prefixed with broken JSON, off-schema, no object."""
     k, cust = F.col("case_id"), F.col("cust")
-    base = table(spark, folder, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("cust"))
+    base = table(spark, folder, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("cust"))
     street = F.concat(F.lit('"new-address":"Street '), k.cast("string"), F.lit('"'))
     answer = (
         F.when(k % 4 == 0, F.concat(F.lit('Sure:\n```json\n{"applicant-name":"Customer '), cust.cast("string"), F.lit('",'), street, F.lit("}\n``` done {x")))

@@ -56,7 +56,7 @@ def dense_topk(spark, folder):
 def _cases_and_corpus(spark, folder):
     """Documents with a vector are the cases; benchmark items with one are the pinned corpus."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    cases = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(vectors, "vec_id").withColumnRenamed("vec_id", "query_id")
+    cases = table(spark, folder, "documents", spread="doc_id").select(F.col("doc_id").alias("vec_id"), "text").join(vectors, "vec_id").withColumnRenamed("vec_id", "query_id")
     corpus = table(spark, folder, "benchmark").select(F.col("item_id").alias("vec_id"), "text").join(vectors, "vec_id").withColumnRenamed("vec_id", "chunk_id")
     return cases, corpus
 

@@ -89,7 +89,7 @@ WITH c AS (SELECT o_orderkey AS k, o_orderpriority AS topic, CASE WHEN o_orderke
 SELECT k AS case_id, replace(who, 'ß', 'ss') AS identity, CASE WHEN who = '' THEN 0 ELSE count(*) OVER (PARTITION BY who, topic) END AS repeat_count FROM c""")
 def repeat_applicants(spark, folder):
     """Names differ in case, spacing and the field that carries them."""
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("topic"), F.floor(F.col("o_custkey") / 3).cast("string").alias("c"))
+    orders = table(spark, folder, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("topic"), F.floor(F.col("o_custkey") / 3).cast("string").alias("c"))
     name = F.when(K() % 2 == 0, F.concat(F.lit("  Straße\tCUST "), "c")).otherwise(F.concat(F.lit("STRASSE  cust  "), "c", F.lit(" ")))
     field = F.when(K() % 3 == 0, "business-name").otherwise("applicant-name")
     value = F.when(K() % 13 == 0, " ").otherwise(name)
