@@ -111,6 +111,15 @@ def packed_rows(df: DataFrame, order: list[str], limit: int) -> list[Column]:
     return parts
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a small, expensive intermediate result so that later questions
+    about it do not scan its inputs again, and lost executors cost nothing."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location."""
     root = spark.conf.get("spark.checkpoint.dir", None)

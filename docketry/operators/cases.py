@@ -54,15 +54,17 @@ def project_cases(classification: DataFrame, validation: DataFrame, generations:
     rev = c("source_case_revision").alias("revision")
     notices = notifications.groupBy("case_id", "source_case_revision").agg(
         F.count_distinct("audience").alias("_notices"), F.count_distinct(F.when(c("generation_status") == "completed", c("audience"))).alias("_done"))
+    # The text is rated where it lies; only its priority travels through the joins.
+    rated = with_priority(intake.select("case_id", "original_text"), "original_text", **priority).drop("original_text")
     joined = (
         classification.select("case_id", c("status").alias("classification_status"))
+        .join(rated, "case_id", "left")
         .join(validation.select("case_id", c("revision").alias("_rev"), "completion_status", "current_generation_id"), "case_id", "left")
         .withColumn("revision", F.coalesce("_rev", F.lit(1).cast("bigint")))
         .join(generations.select(c("generation_id").alias("current_generation_id"), "generation_status", "result_status"), "current_generation_id", "left")
         .join(routes.select("case_id", rev, "routing_status"), ["case_id", "revision"], "left")
         .join(notices.select("case_id", rev, "_notices", "_done"), ["case_id", "revision"], "left")
-        .join(start_jobs.select("case_id", rev, "attempt_count"), ["case_id", "revision"], "left")
-        .join(intake.select("case_id", "original_text"), "case_id", "left"))
+        .join(start_jobs.select("case_id", rev, "attempt_count"), ["case_id", "revision"], "left"))
     state = derive_state(c("classification_status"), c("completion_status"), c("generation_status"), c("result_status"), c("routing_status"),
                          F.coalesce("_done", F.lit(0)), F.coalesce("_notices", F.lit(0)))
     failed = F.coalesce(c("generation_status") == "failed", F.lit(False))
@@ -73,8 +75,10 @@ def project_cases(classification: DataFrame, validation: DataFrame, generations:
     projected = (
         joined.withColumn("state", F.when(failed & ~terminal, "ready_for_processing").otherwise(state))
         .withColumn("completed_steps", steps).withColumn("last_error_code", F.when(terminal, "F04_TERMINAL_FAILURE")))
-    return with_priority(projected, "original_text", **priority).select(
-        "case_id", "revision", "state", "completed_steps", "last_error_code", "priority_level", "priority_score", "priority_reason")
+    level, score, reason = priority.get("default", fixed.DEFAULT_PRIORITY)
+    return projected.select(
+        "case_id", "revision", "state", "completed_steps", "last_error_code", F.coalesce("priority_level", F.lit(level)).alias("priority_level"),
+        F.coalesce("priority_score", F.lit(score)).alias("priority_score"), F.coalesce("priority_reason", F.lit(reason)).alias("priority_reason"))
 
 
 STATE_COLUMNS = ("revision", "state", "completed_steps", "last_error_code", "priority_level", "priority_score", "priority_reason")

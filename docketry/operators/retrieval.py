@@ -93,19 +93,22 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, stop
     if size.q * size.v > SHIPPED_CELLS:
         return top_k(bm25(queries, chunks, stopwords, charset, k1, b), "lexical_score", k)
     tokens = chunks.select("chunk_id", tokenize_tr(F.col("text"), stopwords, charset).alias("tokens")).withColumn("len", F.size("tokens"))
-    # Document frequency of the query vocabulary: one row per term leaves a task.
-    vocabulary = F.broadcast(wanted.select("term").distinct())
-    frequency = (tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(vocabulary, "term", "left_semi")
-                 .groupBy("term").agg(F.count("*").alias("df")))
-    shape = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
-    weights = (wanted.join(F.broadcast(frequency), "term")
-               .select("query_id", "term", (F.col("qtf") * F.log(1 + (shape.n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")).toPandas())
+    # Document frequency of the query vocabulary and the corpus shape in one pass:
+    # the empty term stands for "every chunk". One row per term leaves a task.
+    listed = wanted.toPandas()
+    every = F.array(F.lit(""))
+    vocabulary = F.broadcast(wanted.select("term").distinct().union(wanted.sparkSession.range(1).select(F.lit("").alias("term"))))
+    frequency = (tokens.select("len", F.explode(F.concat(F.array_distinct("tokens"), every)).alias("term")).join(vocabulary, "term", "left_semi")
+                 .groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("length")).toPandas().set_index("term"))
+    n = int(frequency["df"].get("", 0))
+    average = float(frequency["length"].get("", 0)) / max(n, 1) or 1.0
+    weights = listed.merge(frequency.drop(index="", errors="ignore"), left_on="term", right_index=True)
+    weights["w"] = weights["qtf"] * np.log(1 + (n - weights["df"] + 0.5) / (weights["df"] + 0.5))
     if weights.empty:
         return queries.select("query_id", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), F.lit(0.0).alias("lexical_score"), F.lit(0).alias("rank")).limit(0)
     query_ids, terms = pd.Index(sorted(weights["query_id"].unique())), pd.Index(sorted(weights["term"].unique()))
     matrix = np.zeros((len(terms), len(query_ids)))
     matrix[terms.get_indexer(weights["term"]), query_ids.get_indexer(weights["query_id"])] = weights["w"]
-    average = float(shape.a or 1.0) or 1.0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

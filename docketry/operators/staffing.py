@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from docketry.functions.scale import lookup, ordered_stream
+from docketry.functions.scale import lookup, ordered_stream, settle
 from docketry.functions.text import round_half_even
 from docketry.sources import fixed
 
@@ -24,6 +24,8 @@ def staff_load(staff: DataFrame, assignments: DataFrame, candidates: int = fixed
     by_topic = assignments.groupBy("staff_id", "request_type_id").agg(
         F.count("*").alias("topic_total"), F.count_if(F.col("assignment_status") == "completed").alias("topic_resolved"),
         F.count_if(is_open).alias("topic_open"), F.max("assigned_at").alias("topic_last"))
+    # Staff x topics rows: read the assignments once, whatever is asked next.
+    by_topic = settle(by_topic)
     totals = by_topic.groupBy("staff_id").agg(F.sum("topic_open").alias("open_count"), F.max("topic_last").alias("last_assigned_at"))
     members = staff.where("active").select("staff_id", "display_name", "role", "unit_id")
     load = members.join(totals, "staff_id", "left").withColumn("open_count", F.coalesce("open_count", F.lit(0)))

@@ -196,7 +196,7 @@ def _assignments(t):
 
 
 @query("case_status", f"""
-WITH {_T}, lg AS (SELECT l_orderkey AS k, count(*) AS n, arg_max(l_linestatus, l_linenumber * 1000000 + l_partkey) AS last FROM lineitem GROUP BY 1),
+WITH {_T}, lg AS (SELECT l_orderkey AS k, count(*) AS n, arg_max(l_linestatus, (l_linenumber * 1000000 + l_partkey) * 10 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS last FROM lineitem GROUP BY 1),
 op AS (SELECT k % 50 AS s, count(*) AS n FROM proj WHERE routed AND k % 8 = 3 GROUP BY 1)
 SELECT proj.k AS case_id, rev AS revision, state, comp AS validation_status, CASE WHEN routed THEN 'routed' ELSE 'not_routed' END AS routing_status,
   CASE WHEN comp IN ('missing_information', 'invalid_information') THEN comp ELSE '' END AS notices, CASE WHEN has_val AND proj.k % 11 <> 0 THEN c_name END AS applicant_name, 'u' || nk AS unit_id,
@@ -208,7 +208,7 @@ def case_status(spark, folder):
     t = case_tables(spark, folder)
     states = projected(t)
     lines = table(spark, folder, "lineitem")
-    log = lines.select(F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("action_id"), F.struct(F.col("l_linestatus").alias("state")).alias("facts"))
+    log = lines.select(F.col("l_orderkey").alias("case_id"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 10 + F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("action_id"), F.struct(F.col("l_linestatus").alias("state")).alias("facts"))
     behavior = states.select("case_id", F.lit(7).alias("repeat_count"), F.lit("high").alias("aggression_level"), F.lit(1.0).alias("aggression_score"), F.lit(2).alias("marker_count"), F.lit(True).alias("priority_mode"))
     ticket = states.select("case_id", C.ticket_reference(F.md5(F.col("case_id").cast("string"))).alias("ticket_reference"))
     feedback = states.where(F.col("case_id") % 14 == 0).select("case_id", F.col("revision").alias("source_case_revision"), F.lit("candidate").alias("status"))
