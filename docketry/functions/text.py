@@ -25,7 +25,13 @@ LETTER = r"\p{L}\p{Nl}\p{No}"
 WORD = r"\p{L}\p{N}_"
 # Below U+0300 every code point is already NFC-stable on its own, and so is
 # common punctuation; anything else goes through the Arrow normaliser.
-NFC_SUSPECT = r"[^\u0000-\u02FF\u2010-\u2027\u2030-\u205E\u20A0-\u20C0]"
+NFC_SUSPECT = r"[\u0300-\u200F\u2028-\u202F\u205F-\u209F\u20C1-\x{10FFFF}]"
+
+
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``: a local binding for the
+    interpreted bodies of lambdas, where repeated subexpressions are not shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 @F.pandas_udf(StringType())
@@ -36,7 +42,8 @@ def _nfc_batch(values: pd.Series) -> pd.Series:
 def nfc(col: Column) -> Column:
     """NFC form. Only strings that may change are shipped to Python; the rest
     travel as nulls, so Latin text costs no serialisation."""
-    suspect = F.when(F.regexp_like(col, F.lit(NFC_SUSPECT)), col)
+    plain_ascii = F.octet_length(col) == F.length(col)
+    suspect = F.when(~plain_ascii & F.regexp_like(col, F.lit(NFC_SUSPECT)), col)
     return F.coalesce(_nfc_batch(suspect), col)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from docketry.functions.scale import lookup, once
-from docketry.functions.text import collapse_spaces, nfc, quote_pattern, strip
+from docketry.functions.text import let, nfc, strip
 from docketry.sources import fixed
 
 CANDIDATE = "struct<value:string,confidence:double>"
@@ -120,24 +120,25 @@ def compact_phone(value: Column) -> Column:
 
 def normalize_phone(value: Column) -> Column:
     """``+905#########`` or null."""
-    compact = compact_phone(value)
-    digits = F.when(F.startswith(compact, F.lit("+90")), F.substring(compact, 4, 10_000)).when(
+    local = lambda compact: F.when(F.startswith(compact, F.lit("+90")), F.substring(compact, 4, 10_000)).when(
         F.startswith(compact, F.lit("0")), F.substring(compact, 2, 10_000)).otherwise(compact)
-    return F.when(F.regexp_like(digits, F.lit(r"^5\d{9}\z")), F.concat(F.lit("+90"), digits))
+    return let(let(compact_phone(value), local), lambda digits: F.when(F.regexp_like(digits, F.lit(r"^5\d{9}\z")), F.concat(F.lit("+90"), digits)))
 
 
 def normalize_date(value: Column) -> Column:
     """ISO date of ``YYYY-MM-DD``, ``D.M.YYYY`` or ``YYYY.M.D``; null if impossible."""
     iso = F.when(F.regexp_like(value, F.lit(r"^\d{4}-\d{2}-\d{2}\z")), F.try_to_date(value, "yyyy-MM-dd"))
-    parts = F.split(value, r"\.", -1)
+    return F.date_format(F.coalesce(iso, let(F.split(value, r"\.", -1), _dotted_date)), "yyyy-MM-dd")
+
+
+def _dotted_date(parts: Column) -> Column:
     numeric = (F.size(parts) == 3) & F.forall(parts, lambda p: F.regexp_like(p, F.lit(r"^\s*\d{1,9}\s*\z")))
     number = lambda i: strip(F.get(parts, F.lit(i))).try_cast("int")
     year_first = F.length(F.get(parts, F.lit(0))) == 4
     year, day = F.when(year_first, number(0)).otherwise(number(2)), F.when(year_first, number(2)).otherwise(number(0))
     spelled = F.format_string("%04d-%02d-%02d", year, number(1), day)
     sane = numeric & (year >= 1) & F.regexp_like(spelled, F.lit(r"^\d{4}-\d{2}-\d{2}\z"))
-    dotted = F.when(sane, F.try_to_date(spelled, "yyyy-MM-dd"))
-    return F.date_format(F.coalesce(iso, dotted), "yyyy-MM-dd")
+    return F.when(sane, F.try_to_date(spelled, "yyyy-MM-dd"))
 
 
 def validate_text(value: Column) -> Column:
@@ -183,21 +184,20 @@ RESULT = "struct<value:string,error:string>"
 
 def validate_value(kind: Column, raw: Column, metadata: Column) -> Column:
     """struct<value, error> of one typed value."""
-    # NFC of field values is applied when candidates are built (see evaluate_fields).
-    value = strip(raw)
+    # Values are compared as given; ``nfc_candidates`` composes them beforehand.
     ok = lambda v: F.struct(v.cast("string").alias("value"), F.lit(None).cast("string").alias("error"))
     bad = lambda code: F.struct(F.lit(None).cast("string").alias("value"), F.lit(code).alias("error"))
-    phone, day, files = normalize_phone(value), normalize_date(value), validate_attachments(metadata)
-    return (
-        F.when(raw.isNull(), bad("schema_rule"))
-        .when(kind == "tckn", F.when(valid_tckn(value), ok(value)).otherwise(bad("tckn_checksum")))
-        .when(kind == "phone-tr", F.when(phone.isNotNull(), ok(phone)).otherwise(bad("phone_format")))
-        .when(kind == "date", F.when(day.isNotNull(), ok(day)).otherwise(bad("date_format")))
-        .when(kind == "attachment", F.when(files == "absent", ok(F.lit(None))).when(files == "present", ok(files)).otherwise(bad("attachment_missing")))
+    found = lambda result, code: let(result, lambda r: F.when(r.isNotNull(), ok(r)).otherwise(bad(code)))
+    files = lambda f: F.when(f == "absent", ok(F.lit(None))).when(f == "present", ok(f)).otherwise(bad("attachment_missing"))
+    return F.when(raw.isNull(), bad("schema_rule")).otherwise(let(strip(raw), lambda value: (
+        F.when(kind == "tckn", F.when(valid_tckn(value), ok(value)).otherwise(bad("tckn_checksum")))
+        .when(kind == "phone-tr", found(normalize_phone(value), "phone_format"))
+        .when(kind == "date", found(normalize_date(value), "date_format"))
+        .when(kind == "attachment", let(validate_attachments(metadata), files))
         .when(~validate_text(value), bad("schema_rule"))
         .when((kind == "money-try") & ~validate_money(value), bad("money_format"))
         .otherwise(ok(value))
-    )
+    )))
 
 
 # --- evaluation -------------------------------------------------------------
@@ -212,13 +212,13 @@ def evaluate_fields(df: DataFrame, registry: DataFrame, candidates: str = "candi
     base = df if "definitions" in df.columns else df.join(lookup(field_lists(registry)), "request_type_id", "left")
 
     def judged(d: Column) -> Column:
-        offered = F.try_element_at(F.col(candidates), d["field_id"])
-        attached = d["kind"] == "attachment"
-        raw = F.when(attached, "attachment").otherwise(offered["value"])
-        result = F.when(raw.isNull(), F.lit(None).cast(RESULT)).otherwise(validate_value(d["kind"], raw, F.col(metadata)))
-        return F.struct(d["field_id"].alias("id"), d["label"].alias("label"), d["required"].alias("required"), result["value"].alias("value"),
-                        result["error"].alias("code"), F.when(attached, 1.0).otherwise(F.coalesce(offered["confidence"], F.lit(0.5))).alias("confidence"),
-                        F.try_element_at(F.col(prior), d["field_id"]).alias("prior"))
+        file = F.struct(F.lit("attachment").alias("value"), F.lit(1.0).alias("confidence"))
+        offered = F.when(d["kind"] == "attachment", file).otherwise(F.try_element_at(F.col(candidates), d["field_id"]))
+        checked = lambda o: F.when(o["value"].isNull(), F.lit(None).cast(RESULT)).otherwise(validate_value(d["kind"], o["value"], F.col(metadata)))
+        both = let(offered, lambda o: F.struct(checked(o).alias("result"), F.coalesce(o["confidence"], F.lit(0.5)).alias("confidence")))
+        return let(both, lambda b: F.struct(
+            d["field_id"].alias("id"), d["label"].alias("label"), d["required"].alias("required"), b["result"]["value"].alias("value"),
+            b["result"]["error"].alias("code"), b["confidence"].alias("confidence"), F.try_element_at(F.col(prior), d["field_id"]).alias("prior")))
 
     judged_df = once(base, _judged=F.transform("definitions", judged))
     taken = F.filter("_judged", lambda f: (f["code"].isNull() & f["value"].isNotNull()) | f["prior"].isNotNull())

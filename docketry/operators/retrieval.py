@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from docketry.functions.text import strip, tokenize_tr
+from docketry.functions.text import let, strip, tokenize_tr
 from docketry.sources import fixed
 
 # Values (queries x width) that may be shipped to every task.
@@ -32,20 +32,15 @@ RANK_DIGITS = 9
 
 # --- lexical ----------------------------------------------------------------
 
-def _let(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def term_counts(tokens: Column) -> Column:
     """array<struct<term, tf>> of a token array by run lengths of the sorted
     tokens: counted inside the row, without a shuffle."""
     def counted(ordered: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-        return _let(starts, lambda at: F.transform(at, lambda i, n: F.struct(
+        return let(starts, lambda at: F.transform(at, lambda i, n: F.struct(
             F.get(ordered, i - 1).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(ordered) + 1) - i).cast("double").alias("tf"))))
 
-    return F.when(F.size(tokens) > 0, _let(F.sort_array(tokens), counted)).otherwise(F.array().cast("array<struct<term:string,tf:double>>"))
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), counted)).otherwise(F.array().cast("array<struct<term:string,tf:double>>"))
 
 
 def query_terms(queries: DataFrame, stopwords, charset: str) -> DataFrame:
