@@ -79,9 +79,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: s
 def ordered_stream(df: DataFrame, key: str, *order: str) -> DataFrame:
     """Rows of one key together in one partition and in order, ready to be folded.
 
-    Hashing a digest column keeps the exchange: a union of inputs that are each
-    hashed by ``key`` already would otherwise be taken as co-partitioned, which
-    does not survive AQE coalescing its branches differently.
+    Hashing a digest column keeps the exchange in the plan. Repartitioning by
+    the key itself was dropped above a union whose inputs were already hashed by
+    that key, and rows of one key then turned up in different partitions.
     """
     return df.withColumn("_slot", F.xxhash64(key)).repartition("_slot").sortWithinPartitions(key, *order).drop("_slot")
 
