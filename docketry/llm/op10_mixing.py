@@ -130,8 +130,8 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
             carry, rest = carry + due - n * size, rest - due
         return frame.assign(copies=taken).drop(columns=["want"])
 
-    columns = [f"{f.name} {f.dataType.simpleString()}" for f in main.schema.fields]
-    ends = parted.where("in_tail").join(left, "rank").groupBy("rank").applyInPandas(lambda frame: settle(frame)[main.columns], ", ".join(columns))
+    names, columns = main.columns, [f"{f.name} {f.dataType.simpleString()}" for f in main.schema.fields]
+    ends = parted.where("in_tail").join(left, "rank").groupBy("rank").applyInPandas(lambda frame: settle(frame)[names], ", ".join(columns))
     return main.unionByName(ends).select("row", "doc_id", "source", "size", "source_size", "target", (F.col("rate") / UNIT).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

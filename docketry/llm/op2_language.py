@@ -45,7 +45,8 @@ class _Letters:
         blank = chars == 32
         if blank.all():
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        chars = np.concatenate([[32], chars[~(blank & np.concatenate([[True], blank[:-1]]))], [32]]).astype(np.uint64)
+        chars = chars[~(blank & np.concatenate([[True], blank[:-1]]))]
+        chars = np.concatenate([[32], chars, [32][:chars[-1] != 32]]).astype(np.uint64)
         codes = [chars[chars != 32]]
         shift = np.uint64(21)
         for n in ORDERS[1:]:
