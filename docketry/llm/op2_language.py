@@ -46,7 +46,7 @@ class _Letters:
         if blank.all():
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         chars = chars[~(blank & np.concatenate([[True], blank[:-1]]))]
-        chars = np.concatenate([[32], chars, [32][:chars[-1] != 32]]).astype(np.uint64)
+        chars = np.concatenate([[32], chars, [32] if chars[-1] != 32 else []]).astype(np.uint64)
         codes = [chars[chars != 32]]
         shift = np.uint64(21)
         for n in ORDERS[1:]:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docketry.llm import op3_multi_index, op4_rans, op7_packing
 from docketry.llm.common import shared_folder, table
@@ -173,11 +174,11 @@ def test_search_edges(spark, blocks):
     rows += [(300, None), (350, [0.0] * 6), (400, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (450, [float("nan")] * 6), (500, [float("inf")] * 6), (550, []), (600, [2 * x for x in rows[3][1]]), (650, [1e-200] * 6)]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got = {}
-    for r in op3_multi_index.search(frame, frame.vec_id % 50 == 0, **blocks).orderBy("query_id", "rank").collect():
+    for r in op3_multi_index.search(frame, F.col("vec_id") % 50 == 0, **blocks).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = nearest(rows, {i for i, _ in rows if i % 50 == 0})
     assert {i: [j for j, _ in v] for i, v in got.items() if i < 650} == {i: [j for j, _ in v] for i, v in want.items() if i < 650}
     assert max(abs(a[1] - b[1]) for i in want for a, b in zip(got[i], want[i])) < 1e-9
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    assert sorted((r.query_id, r["rank"], r.vec_id) for r in op3_multi_index.search(few, few.vec_id % 50 == 0).collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
-    assert op3_multi_index.search(few.limit(0), few.vec_id % 50 == 0).count() == 0
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in op3_multi_index.search(few, F.col("vec_id") % 50 == 0).collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
+    assert op3_multi_index.search(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
