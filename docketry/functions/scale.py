@@ -76,6 +76,19 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: s
     return salted.join(replicated, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_optional(left: DataFrame, right: DataFrame, key: str, spread_by: str, right_key: str | None = None) -> DataFrame:
+    """Left join on a reference that many left rows lack.
+
+    Rows without the reference would all meet in one reducer; they are hashed by
+    ``spread_by`` instead, under a mark that no right row carries.
+    """
+    missing = F.col(key).isNull()
+    marked = left.withColumn("_none", F.when(missing, F.xxhash64(spread_by)))
+    told = right.withColumnRenamed(right_key or key, "_ref").withColumn("_none_ref", F.lit(None).cast("long"))
+    joined = marked.join(told, F.col(key).eqNullSafe(F.col("_ref")) & F.col("_none").eqNullSafe(F.col("_none_ref")), "left")
+    return joined.drop("_none", "_none_ref", "_ref")
+
+
 def ordered_stream(df: DataFrame, key: str, *order: str) -> DataFrame:
     """Rows of one key together in one partition and in order, ready to be folded.
 
@@ -124,7 +137,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if spark.sparkContext.master.startswith("local") else None
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if spark.sparkContext.master.startswith("local[") else None
     if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docketry.functions.scale import join_optional
 from docketry.operators.routing import applicant_name
 from docketry.operators.triage import with_priority
 from docketry.sources import fixed
@@ -60,9 +61,10 @@ def project_cases(classification: DataFrame, validation: DataFrame, generations:
         classification.select("case_id", c("status").alias("classification_status"))
         .join(rated, "case_id", "left")
         .join(validation.select("case_id", c("revision").alias("_rev"), "completion_status", "current_generation_id"), "case_id", "left")
-        .withColumn("revision", F.coalesce("_rev", F.lit(1).cast("bigint")))
-        .join(generations.select(c("generation_id").alias("current_generation_id"), "generation_status", "result_status"), "current_generation_id", "left")
-        .join(routes.select("case_id", rev, "routing_status"), ["case_id", "revision"], "left")
+        .withColumn("revision", F.coalesce("_rev", F.lit(1).cast("bigint"))))
+    joined = join_optional(joined, generations.select("generation_id", "generation_status", "result_status"), "current_generation_id", "case_id", "generation_id")
+    joined = (
+        joined.join(routes.select("case_id", rev, "routing_status"), ["case_id", "revision"], "left")
         .join(notices.select("case_id", rev, "_notices", "_done"), ["case_id", "revision"], "left")
         .join(start_jobs.select("case_id", rev, "attempt_count"), ["case_id", "revision"], "left"))
     state = derive_state(c("classification_status"), c("completion_status"), c("generation_status"), c("result_status"), c("routing_status"),
@@ -206,7 +208,9 @@ def case_status(states: DataFrame, validation: DataFrame, routes: DataFrame, not
         .join(classification.select("case_id", "department_id", "unit_id", "request_type_id"), "case_id", "left")
         .join(routes.select("case_id", rev, "routing_status", "target_unit_id"), ["case_id", "revision"], "left")
         .join(notice_list.select("case_id", rev, "applicant_notifications"), ["case_id", "revision"], "left")
-        .join(owner, ["case_id", "revision"], "left").join(open_count, "staff_id", "left")
+        .join(owner, ["case_id", "revision"], "left"))
+    joined = (
+        join_optional(joined, open_count, "staff_id", "case_id")
         .join(behavior.select("case_id", "repeat_count", "aggression_level", "aggression_score", "marker_count", "priority_mode"), "case_id", "left")
         .join(tickets.select("case_id", "ticket_reference"), "case_id", "left").join(actions, "case_id", "left")
         .join(feedback.select("case_id", rev, c("status").alias("feedback_status")), ["case_id", "revision"], "left"))
@@ -230,10 +234,11 @@ def case_trace(intake: DataFrame, states: DataFrame, classification: DataFrame,
     latest = generations.groupBy("case_id").agg(F.max_by(facts, F.struct(c("created_at").isNotNull(), "created_at", "generation_id")).alias("g"))
     route = routes.groupBy("case_id").agg(F.max_by(F.struct("routing_id", "route_kind", "target_unit_label", "routing_status"), "source_case_revision").alias("r"))
     done = notifications.where("generation_status = 'completed'").groupBy("routing_id").agg(F.count("*").alias("notifications_done"))
-    return (
+    traced = (
         intake.select("document_id", "case_id").join(states.select("case_id", "state"), "case_id", "left")
         .join(classification.select("document_id", "request_type_id", "confidence", c("status").alias("classification_status")), "document_id", "left")
         .join(validation.select("document_id", "completion_status"), "document_id", "left").join(latest, "case_id", "left").join(route, "case_id", "left")
-        .select("document_id", "state", "request_type_id", "confidence", "classification_status", "completion_status", "g.*", "r.*")
-        .join(done, "routing_id", "left")
+        .select("document_id", "state", "request_type_id", "confidence", "classification_status", "completion_status", "g.*", "r.*"))
+    return (
+        join_optional(traced, done, "routing_id", "document_id")
         .withColumn("citations", F.coalesce("citations", F.lit(0))).withColumn("notifications_done", F.coalesce("notifications_done", F.lit(0))).drop("routing_id"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docketry.functions.text import ascii_fold, round_half_even, strip
 from docketry.operators.cases import metadata_text
@@ -81,62 +79,68 @@ def similarity_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_fold(text), F.lit("[a-z0-9]{3,}"), F.lit(0)))
 
 
-def related_cases(cases: DataFrame, identity: str = "identity", text: str = "text", created: str = "created_at", key: str = "case_id",
-                  pool: int = fixed.RELATED_POOL, threshold: int = fixed.RELATED_THRESHOLD, limit: int = fixed.RELATED_LIMIT) -> DataFrame:
+RELATED_BLOCK = 256
+
+
+def related_cases(cases: DataFrame, identity: str = "identity", text: str = "text", created: str = "created_at", key: str = "case_id", pool: int | None = None,
+                  threshold: int = fixed.RELATED_THRESHOLD, limit: int = fixed.RELATED_LIMIT, block: int = RELATED_BLOCK) -> DataFrame:
     """Same-applicant history of every case: similar_count and the best ``limit``.
 
-    Only the ``pool`` newest *other* cases are ever compared, so all candidates
-    are among the ``pool + 1`` newest cases: a top-k whose size is proven. They
-    are shipped as one token table and every Arrow batch of cases is scored
-    against them at once. Nothing is joined, exploded or shuffled, and a hot
-    identity costs no more than ``pool`` comparisons per case.
+    Cases of one applicant meet in blocks of at most about ``block`` rows each, so an
+    applicant with many cases is spread over many tasks; a task returns counts and
+    its best few per case, never pairs. ``pool`` compares only with that many newest
+    *other* cases of the whole table, as an interactive screen may want.
 
-    Returns (key, history_scope, similar_count, related array<struct<case_id, score>>).
+    Returns (key, history_scope, similar_count, related array<struct<case_id, score>>);
+    equal scores list the older case first, then the smaller id as text.
     """
     c = F.col
-    newest = (cases.select(key, identity, created, similarity_tokens(c(text)).alias("tokens"))
-              .orderBy(F.desc(created), key).limit(pool + 1).toPandas())
-    newest = newest.sort_values([created, key], ascending=[False, True], kind="stable").reset_index(drop=True)
-    keys, owners = newest[key].to_numpy(), newest[identity].to_numpy()
-    # Equal scores list the older case first, then the smaller id as text.
-    shown = np.array([str(v) for v in keys], dtype=object)
-    order = pd.DataFrame({"at": newest[created], "id": shown}).sort_values(["at", "id"], kind="stable").index.to_numpy()
-    words = pd.Index(sorted({w for tokens in newest["tokens"] for w in tokens}))
-    holds = np.zeros((len(words), len(newest)), dtype=np.int32)
-    for n, tokens in enumerate(newest["tokens"]):
-        holds[words.get_indexer(tokens), n] = 1
-    sizes = holds.sum(axis=0)
-    place = {v: n for n, v in enumerate(keys)}
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts, related = [], []
-            for case, owner, tokens in zip(batch["key"], batch["identity"], batch["tokens"]):
-                if owner is None or owner == "":
-                    counts.append(None)
-                    related.append([])
-                    continue
-                found = words.get_indexer(tokens)
-                both = holds[found[found >= 0]].sum(axis=0)
-                either = len(tokens) + sizes - both
-                score = np.where((sizes > 0) & (len(tokens) > 0), np.rint(100.0 * both / np.maximum(either, 1)), 0).astype(int)
-                mine = place.get(case)
-                seen = (owners == owner) & (score >= threshold)
-                if mine is None or mine >= pool:
-                    seen[pool:] = False
-                if mine is not None:
-                    seen[mine] = False
-                counts.append(int(seen.sum()))
-                picked = order[seen[order]]
-                picked = picked[np.argsort(-score[picked], kind="stable")][:limit]
-                related.append([{"case_id": shown[p], "score": int(score[p])} for p in picked])
-            yield pd.DataFrame({"key": batch["key"], "history_scope": ["unavailable" if n is None else "same_validated_applicant" for n in counts],
-                                "similar_count": [n or 0 for n in counts], "related": related})
-
+    named = F.coalesce(c(identity) != "", F.lit(False))
+    lean = cases.select(c(key).alias("key"), c(identity).alias("identity"), c(created).alias("at"), similarity_tokens(c(text)).alias("tokens"))
+    mine = lean.where(F.coalesce(c("identity") != "", F.lit(False)))
+    if pool is not None:
+        newest = lean.orderBy(F.desc("at"), "key").limit(pool + 1).select("key", F.row_number().over(W.orderBy(F.desc("at"), "key")).alias("place"))
+        mine = mine.join(F.broadcast(newest), "key", "left")
+    else:
+        mine = mine.withColumn("place", F.lit(None).cast("int"))
+    blocks = mine.groupBy("identity").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), c("blocks")).cast("int")
+    placed = mine.join(blocks, "identity").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    # Each block meets each block: once as the side that asks, once as the side that answers.
+    sides = placed.withColumn("asks", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+        "identity", F.when(c("asks"), c("own")).otherwise(c("other")).alias("i"), F.when(c("asks"), c("other")).otherwise(c("own")).alias("j"), "asks", "key", "at", "tokens", "place")
     kind = cases.schema[key].dataType.simpleString()
-    probes = cases.select(c(key).alias("key"), c(identity).alias("identity"), similarity_tokens(c(text)).alias("tokens"))
-    compared = probes.mapInPandas(compare, f"key {kind}, history_scope string, similar_count int, related array<struct<case_id:string,score:int>>")
-    return compared.withColumnRenamed("key", key)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["asks"].to_numpy()
+        left, right = frame[asks].reset_index(drop=True), frame[~asks].reset_index(drop=True)
+        right = right.assign(shown=[str(k) for k in right["key"]]).sort_values(["at", "shown"], kind="stable").reset_index(drop=True)
+        words = {w: n for n, w in enumerate(sorted({w for tokens in right["tokens"] for w in tokens}))}
+        holds = np.zeros((len(words), len(right)), dtype=np.float32)
+        for n, tokens in enumerate(right["tokens"]):
+            holds[[words[w] for w in tokens], n] = 1
+        sizes = np.array([len(t) for t in right["tokens"]])
+        counts, related = [], []
+        for case, place, tokens in zip(left["key"], left["place"], left["tokens"]):
+            found = [words[w] for w in tokens if w in words]
+            both = holds[found].sum(axis=0)
+            score = np.where((sizes > 0) & (len(tokens) > 0), np.rint(100.0 * both / np.maximum(len(tokens) + sizes - both, 1)), 0).astype(int)
+            seen = (score >= threshold) & (right["key"] != case).to_numpy()
+            if pool is not None:
+                seen &= (right["place"] <= pool + (place <= pool)).to_numpy()
+            counts.append(int(seen.sum()))
+            picked = np.flatnonzero(seen)
+            picked = picked[np.argsort(-score[picked], kind="stable")][:limit]
+            related.append([{"score": -int(score[p]), "at": right["at"].iloc[p], "case_id": right["shown"].iloc[p]} for p in picked])
+        return pd.DataFrame({"key": left["key"], "n": counts, "best": related})
+
+    when = cases.schema[created].dataType.simpleString()
+    met = sides.groupBy("identity", "i", "j").applyInPandas(compare, f"key {kind}, n long, best array<struct<score:int,at:{when},case_id:string>>")
+    found = met.groupBy("key").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, limit).alias("best"))
+    out = cases.select(key, named.alias("_named")).join(found.withColumnRenamed("key", key), key, "left")
+    return out.select(
+        key, F.when(c("_named"), "same_validated_applicant").otherwise("unavailable").alias("history_scope"), F.coalesce("n", F.lit(0)).cast("int").alias("similar_count"),
+        F.coalesce(F.transform("best", lambda b: F.struct(b["case_id"].alias("case_id"), (-b["score"]).alias("score"))), F.array().cast("array<struct<case_id:string,score:int>>")).alias("related"))
 
 
 # --- display measures -------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docketry.functions.scale import lookup, spread_join
+from docketry.functions.scale import join_optional, lookup, spread_join
 from docketry.functions.text import ascii_fold, casefold, collapse_spaces, strip
 from docketry.sources import fixed
 
@@ -46,14 +46,15 @@ def create_routes(jobs: DataFrame, state: DataFrame, classification: DataFrame,
     the current revision; each (case, revision) is routed once.
     """
     c = F.col
-    wanted = jobs.dropDuplicates(["case_id", "source_case_revision"])
+    # Of jobs for the same revision the one with the smallest draft id counts, none last.
+    wanted = jobs.groupBy("case_id", "source_case_revision").agg(F.min("source_generation_id").alias("source_generation_id"))
     if existing is not None:
         wanted = wanted.join(existing.select("case_id", "source_case_revision"), ["case_id", "source_case_revision"], "left_anti")
     generation = generations.select(c("generation_id").alias("source_generation_id"), "generation_status", c("result_status").alias("_result"), "source_status")
     facts = (
         wanted.join(state.select("case_id", "revision", "completion_status", "request_type_id"), "case_id", "left")
-        .join(classification.select("case_id", c("status").alias("classification_status"), "department_id", "unit_id"), "case_id", "left")
-        .join(generation, "source_generation_id", "left"))
+        .join(classification.select("case_id", c("status").alias("classification_status"), "department_id", "unit_id"), "case_id", "left"))
+    facts = join_optional(facts, generation, "source_generation_id", "case_id")
     requested = c("source_generation_id").isNotNull()
     facts = facts.withColumn("result_status", F.when(requested, c("_result")).otherwise("not_requested")).drop("_result")
     judged = select_routes(facts, tax, fallback)
@@ -93,10 +94,12 @@ def repeat_counts(cases: DataFrame, identity: str = "identity", topic: str = "to
     third of all cases never becomes one window partition.
     """
     named = cases.where(F.col(identity) != "")
+    unnamed = cases.where(F.coalesce(F.col(identity) == "", F.lit(True)))  # beside the join, not one hot key of it
     counts = named.groupBy(identity, topic).agg(F.count("*").alias("repeat_count"))
     # Counting the same rows for hot keys lets Spark reuse this exchange.
-    joined = spread_join(cases, counts, [identity, topic], key, **{"count_on": named, **spread})
-    return joined.withColumn("repeat_count", F.coalesce("repeat_count", F.lit(0)))
+    joined = spread_join(named, counts, [identity, topic], key, **{"count_on": named, **spread})
+    counted = joined.withColumn("repeat_count", F.coalesce("repeat_count", F.lit(0)))
+    return counted.unionByName(unnamed.withColumn("repeat_count", F.lit(0).cast("long")))
 
 
 def overlooked(state: DataFrame, classification: DataFrame, generations: DataFrame, routes: DataFrame, start_jobs: DataFrame) -> DataFrame:
@@ -105,8 +108,8 @@ def overlooked(state: DataFrame, classification: DataFrame, generations: DataFra
     ready = (
         state.where("completion_status = 'complete'")
         .join(classification.where("status = 'classified'").select("case_id"), "case_id", "left_semi")
-        .join(routes.select("case_id", c("source_case_revision").alias("revision")), ["case_id", "revision"], "left_anti")
-        .join(generations.select(c("generation_id").alias("current_generation_id"), "generation_status"), "current_generation_id", "left"))
+        .join(routes.select("case_id", c("source_case_revision").alias("revision")), ["case_id", "revision"], "left_anti"))
+    ready = join_optional(ready, generations.select("generation_id", "generation_status"), "current_generation_id", "case_id", "generation_id")
     given_up = start_jobs.where((c("state") == "failed") | ((c("state") == "waiting") & (c("attempt_count") >= fixed.MAX_START_ATTEMPTS)))
     given_up = given_up.select("case_id", c("source_case_revision").alias("revision")).distinct().withColumn("_given_up", F.lit(True))
     joined = ready.join(given_up, ["case_id", "revision"], "left")

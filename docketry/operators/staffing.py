@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docketry.functions.scale import lookup, ordered_stream, settle
 from docketry.functions.text import round_half_even
-from docketry.sources import fixed
 
 
-def staff_load(staff: DataFrame, assignments: DataFrame, candidates: int = fixed.STAFF_CANDIDATES) -> tuple[DataFrame, DataFrame]:
+def staff_load(staff: DataFrame, assignments: DataFrame, candidates: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(load, topics) of active staff.
 
-    load: one row per member with open_count, last_assigned_at, kept to the
-    ``candidates`` least loaded of each unit. topics: (staff, topic) totals.
+    load: one row per member with open_count, last_assigned_at and its rank in the
+    unit; ``candidates`` keeps only that many of the least loaded. topics: (staff, topic) totals.
     Assignments are counted map-side by (staff, topic) first; one busy member or
     topic does not concentrate rows.
     """
@@ -30,7 +29,9 @@ def staff_load(staff: DataFrame, assignments: DataFrame, candidates: int = fixed
     members = staff.where("active").select("staff_id", "display_name", "role", "unit_id")
     load = members.join(totals, "staff_id", "left").withColumn("open_count", F.coalesce("open_count", F.lit(0)))
     order = W.partitionBy("unit_id").orderBy("open_count", F.col("last_assigned_at").asc_nulls_first(), "staff_id")
-    load = load.withColumn("candidate_rank", F.row_number().over(order)).where(F.col("candidate_rank") <= candidates)
+    load = load.withColumn("candidate_rank", F.row_number().over(order))
+    if candidates is not None:
+        load = load.where(F.col("candidate_rank") <= candidates)
     topics = by_topic.where(F.col("request_type_id").isNotNull()).select(
         "staff_id", F.col("request_type_id").alias("topic"), "topic_total", "topic_resolved",
         (F.col("topic_resolved") / F.col("topic_total")).alias("resolution_rate"))
@@ -40,7 +41,7 @@ def staff_load(staff: DataFrame, assignments: DataFrame, candidates: int = fixed
 def unit_choices(load: DataFrame, topics: DataFrame) -> DataFrame:
     """Both answers per (unit, topic): the least loaded member and the best resolver.
 
-    Only units x topics x 25 candidates are ranked; cases merely look them up.
+    Members are ranked per unit and topic; cases merely look them up.
     """
     member = F.struct("staff_id", "display_name", "role")
     absent = F.col("last_assigned_at").isNotNull()
@@ -88,54 +89,74 @@ def assignment_rows(chosen: DataFrame, states: DataFrame) -> DataFrame:
                          reason.alias("selection_reason"), status.alias("assignment_status"))
 
 
-BATCH_RESULT = "case_id long, seq long, unit_id string, staff_id string, policy string, open_before long"
-
-
 def assign_batch(cases: DataFrame, load: DataFrame, topics: DataFrame) -> DataFrame:
     """Assign a batch in arrival order, each pick raising the load the next one sees.
 
-    cases(case_id, seq, unit_id, topic, priority_mode). The choice inside a unit
-    is a chain by definition, so units run in parallel and each unit is a sorted
-    stream: a task keeps at most 25 candidates and their topic counts in memory,
-    never the cases. Rows are reduced to five narrow columns before the exchange.
+    cases(case_id, seq, unit_id, topic, priority_mode); ids of any simple type. The
+    choice inside a unit is a chain by definition, so units run in parallel and each
+    unit is a sorted stream: a task keeps the unit's members and their topic counts
+    in memory, never the cases. Rows are reduced to narrow columns before the exchange.
     """
     c = F.col
+    kind = cases.schema["case_id"].dataType.simpleString()
     nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    members = load.join(topics.groupBy("staff_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", F.struct("topic_total", "topic_resolved")))).alias("topics")), "staff_id", "left")
+    members = load.select("unit_id", "staff_id", "open_count", "last_assigned_at")
     opening = members.select(
-        "unit_id", F.lit(-1).cast("long").alias("seq"), *nothing("long", "case_id"), *nothing("string", "topic"), F.lit(False).alias("priority_mode"), "staff_id",
-        c("open_count").cast("long").alias("open_count"), c("last_assigned_at").cast("string").alias("last"), F.to_json("topics").alias("topics"))
-    body = cases.select("unit_id", c("seq").cast("long").alias("seq"), c("case_id").cast("long").alias("case_id"), "topic", "priority_mode",
-                        *nothing("string", "staff_id"), *nothing("long", "open_count"), *nothing("string", "last", "topics"))
-    rows = opening.unionByName(body)
-    return ordered_stream(rows, "unit_id", "seq", "staff_id").mapInPandas(_fold_units, BATCH_RESULT)
+        "unit_id", F.lit(-2).cast("long").alias("seq"), *nothing(kind, "case_id"), *nothing("string", "topic"), F.lit(False).alias("priority_mode"), "staff_id",
+        c("open_count").cast("long").alias("open_count"), c("last_assigned_at").cast("string").alias("last"), *nothing("long", "total", "resolved"))
+    # A member's topics are rows of their own, so that no value grows with their number.
+    history = topics.join(members.select("unit_id", "staff_id"), "staff_id").select(
+        "unit_id", F.lit(-1).cast("long").alias("seq"), *nothing(kind, "case_id"), "topic", F.lit(False).alias("priority_mode"), "staff_id",
+        *nothing("long", "open_count"), *nothing("string", "last"), c("topic_total").cast("long").alias("total"), c("topic_resolved").cast("long").alias("resolved"))
+    body = cases.select("unit_id", c("seq").cast("long").alias("seq"), "case_id", "topic", "priority_mode",
+                        *nothing("string", "staff_id"), *nothing("long", "open_count"), *nothing("string", "last"), *nothing("long", "total", "resolved"))
+    # Arrival numbers may be negative; members and history come first all the same.
+    rows = opening.withColumn("kind", F.lit(0)).unionByName(history.withColumn("kind", F.lit(1))).unionByName(body.withColumn("kind", F.lit(2)))
+    return ordered_stream(rows, "unit_id", "kind", "seq", "staff_id").mapInPandas(
+        _fold_units, f"case_id {kind}, seq long, unit_id string, staff_id string, policy string, open_before long")
 
 
 def _fold_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import json
+    """Idle members wait in a heap (an entry is stale once its member's turn number
+    moved on); flagged cases look through the members that know their topic."""
+    import heapq
+
+    unit, pool, idle, skilled = None, {}, [], {}
+    rank = lambda m: (m["open"], m["last"], m["id"])
+
+    def wait(member):
+        member["turn"] += 1
+        heapq.heappush(idle, (*rank(member), member["turn"]))
 
-    unit, pool = None, []
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
             if row.unit_id != unit:
-                unit, pool = row.unit_id, []
-            if row.seq < 0:
+                unit, pool, idle, skilled = row.unit_id, {}, [], {}
+            if row.kind == 0:
                 # A pick of this batch is later than any recorded assignment.
-                pool.append({"id": row.staff_id, "open": int(row.open_count), "last": (0, "", 0) if row.last is None else (1, row.last, 0),
-                             "topics": {k: [v["topic_total"], v["topic_resolved"]] for k, v in json.loads(row.topics or "{}").items()}})
+                pool[row.staff_id] = {"id": row.staff_id, "open": int(row.open_count), "last": (0, "", 0) if row.last is None else (1, row.last, 0), "topics": {}, "turn": 0}
+                wait(pool[row.staff_id])
+                continue
+            if row.kind == 1:
+                if row.total > 0:
+                    pool[row.staff_id]["topics"][row.topic] = [int(row.total), int(row.resolved)]
+                    skilled.setdefault(row.topic, set()).add(row.staff_id)
                 continue
-            idle = lambda m: (m["open"], m["last"], m["id"])
-            seen = [m for m in pool if m["topics"].get(row.topic, (0, 0))[0] > 0] if row.priority_mode else []
+            seen = [pool[i] for i in skilled.get(row.topic, ())] if row.priority_mode else []
             if seen:
-                picked = min(seen, key=lambda m: (-m["topics"][row.topic][1] / m["topics"][row.topic][0], -m["topics"][row.topic][0], *idle(m)))
+                picked = min(seen, key=lambda m: (-m["topics"][row.topic][1] / m["topics"][row.topic][0], -m["topics"][row.topic][0], *rank(m)))
             else:
-                picked = min(pool, key=idle, default=None)
+                while idle and pool[idle[0][2]]["turn"] != idle[0][3]:
+                    heapq.heappop(idle)
+                picked = pool[idle[0][2]] if idle else None
             if picked is None:
-                out.append((int(row.case_id), int(row.seq), unit, None, "least_open_assignments", 0))
+                out.append((row.case_id, int(row.seq), unit, None, "least_open_assignments", 0))
                 continue
-            out.append((int(row.case_id), int(row.seq), unit, picked["id"], "topic_resolution_rate" if seen else "least_open_assignments", picked["open"]))
+            out.append((row.case_id, int(row.seq), unit, picked["id"], "topic_resolution_rate" if seen else "least_open_assignments", picked["open"]))
             picked["open"] += 1
             picked["last"] = (2, "", int(row.seq))
             picked["topics"].setdefault(row.topic, [0, 0])[0] += 1
+            skilled.setdefault(row.topic, set()).add(picked["id"])
+            wait(picked)
         yield pd.DataFrame(out, columns=["case_id", "seq", "unit_id", "staff_id", "policy", "open_before"])

@@ -168,14 +168,15 @@ def automation_rate(spark, folder):
 
 
 @query("related_cases", r"""
-WITH d AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(translate(lower(text), 'ığüşöç', 'igusoc'), '[a-z0-9]{3,}')) AS ts, row_number() OVER (ORDER BY doc_id DESC) AS n FROM documents),
+WITH d AS (SELECT doc_id, lang || '/' || source AS who, list_distinct(regexp_extract_all(translate(lower(text), 'ığüşöç', 'igusoc'), '[a-z0-9]{3,}')) AS ts FROM documents),
 x AS (SELECT a.doc_id, b.doc_id AS other, CASE WHEN len(a.ts) = 0 OR len(b.ts) = 0 THEN 0 ELSE CAST(round_even(100.0::DOUBLE * len(list_intersect(a.ts, b.ts)) / len(list_distinct(a.ts || b.ts)), 0) AS INTEGER) END AS s
-  FROM d a JOIN d b ON a.lang = b.lang AND a.doc_id <> b.doc_id AND (b.n <= 200 OR (b.n = 201 AND a.n <= 200))),
+  FROM d a JOIN d b ON a.who = b.who AND a.doc_id <> b.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, other) AS p FROM x WHERE s >= 20)
 SELECT d.doc_id AS case_id, CAST(count(r.other) AS BIGINT) AS similar_count, coalesce(string_agg(other || ':' || s, ',' ORDER BY p) FILTER (WHERE p <= 5), '') AS related FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY 1""")
 def related_cases(spark, folder):
-    """Same-language history of every document among the 200 newest others."""
-    cases = table(spark, folder, "documents", spread="doc_id").select(F.col("doc_id").alias("case_id"), F.col("lang").alias("identity"), F.col("doc_id").alias("created_at"), "text")
+    """History of every document among all others of its language and source."""
+    cases = table(spark, folder, "documents", spread="doc_id").select(
+        F.col("doc_id").alias("case_id"), F.concat_ws("/", "lang", "source").alias("identity"), F.col("doc_id").alias("created_at"), "text")
     out = Q.related_cases(cases)
     return out.select("case_id", F.col("similar_count").cast("bigint").alias("similar_count"),
                       F.array_join(F.transform("related", lambda m: F.concat_ws(":", m["case_id"], m["score"].cast("string"))), ",").alias("related"))

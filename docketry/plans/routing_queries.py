@@ -122,7 +122,7 @@ SELECT ld.sid AS staff_id, unit_id, open_count, last_at AS last_assigned_at, row
   coalesce(total, 0) AS topic_total, coalesce(resolved, 0) AS topic_resolved, round(coalesce(resolved / total, 0), 6) AS resolution_rate FROM ld LEFT JOIN tp ON tp.sid = ld.sid AND topic = 'R'""")
 def staff_load(spark, folder):
     """Workload of every active member, with the record on topic R."""
-    load, topics = S.staff_load(_staff(spark, folder), _assignments(spark, folder), candidates=1_000)
+    load, topics = S.staff_load(_staff(spark, folder), _assignments(spark, folder))
     one = topics.where("topic = 'R'").drop("topic")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return load.join(one, "staff_id", "left").select("staff_id", "unit_id", "open_count", "last_assigned_at", F.col("candidate_rank").cast("bigint").alias("candidate_rank"),
@@ -138,7 +138,7 @@ def _assignable(spark, folder):
 @query("staff_choice", f"""
 WITH {_CASES}, {_LOAD},
 c AS (SELECT k, unit_id, CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'X' END AS topic, k % 4 = 0 AS pri, o_orderstatus FROM cases),
-cand AS (SELECT * FROM ld QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY open_count, last_at NULLS FIRST, sid) <= 25),
+cand AS (SELECT * FROM ld),
 least_ AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY open_count, last_at NULLS FIRST, sid) = 1),
 best AS (SELECT cand.*, topic FROM cand JOIN tp USING (sid) QUALIFY row_number() OVER (PARTITION BY unit_id, topic ORDER BY resolved / total DESC, total DESC, open_count, last_at NULLS FIRST, sid) = 1),
 p AS (SELECT c.*, CASE WHEN pri AND best.sid IS NOT NULL THEN best.sid ELSE least_.sid END AS sid, CASE WHEN pri AND best.sid IS NOT NULL THEN best.s_name ELSE least_.s_name END AS nm, pri AND best.sid IS NOT NULL AS by_rate

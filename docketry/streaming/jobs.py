@@ -32,18 +32,18 @@ class FirstRecord(StatefulProcessor):
         self.first = handle.getValueState("first", "print string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # One trigger may hand the rows of a key over in several frames: order them all first.
+        batch = pd.concat([b[["document_id", "arrival", "print"]] for b in rows]).sort_values("arrival", kind="stable")
         known = self.first.get()[0] if self.first.exists() else None
-        for batch in rows:
-            batch = batch.sort_values("arrival")
-            outcomes = []
-            for digest in batch["print"]:
-                if known is None:
-                    known = digest
-                    self.first.update((known,))
-                    outcomes.append("accepted")
-                else:
-                    outcomes.append("replay" if digest == known else "conflict")
-            yield pd.DataFrame({"document_id": batch["document_id"].to_numpy(), "arrival": batch["arrival"].to_numpy(), "outcome": outcomes})
+        outcomes = []
+        for digest in batch["print"]:
+            if known is None:
+                known = digest
+                self.first.update((known,))
+                outcomes.append("accepted")
+            else:
+                outcomes.append("replay" if digest == known else "conflict")
+        yield pd.DataFrame({"document_id": batch["document_id"].to_numpy(), "arrival": batch["arrival"].to_numpy(), "outcome": outcomes})
 
     def close(self) -> None:
         pass
@@ -57,7 +57,7 @@ def stream_intake(documents: DataFrame, facts: tuple[str, ...] = INTAKE_FACTS, t
     _use_rocksdb(documents.sparkSession)
     marked = length_gate(documents, text).select("document_id", F.col("arrival").cast("long").alias("arrival"), intake_fingerprint(facts).alias("print"))
     return marked.groupBy("document_id").transformWithStateInPandas(
-        statefulProcessor=FirstRecord(), outputStructType="document_id string, arrival long, outcome string", outputMode="Append", timeMode="None")
+        statefulProcessor=FirstRecord(), outputStructType=f"document_id {marked.schema['document_id'].dataType.simpleString()}, arrival long, outcome string", outputMode="Append", timeMode="None")
 
 
 def stream_classification(documents: DataFrame, tax: dict[str, DataFrame], root: str, checkpoint: str, model: str = "semantic-v3",
@@ -86,13 +86,16 @@ class CaseProjector(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seq, stage, state, attempts = self.facts.get() if self.facts.exists() else (-1, None, None, 0)
         before = state
+        # Every failure counts, also one that arrives late; the latest fact decides the state.
+        seen = {seq}
         for batch in rows:
-            batch = batch[batch["seq"] > seq].sort_values("seq")
-            failures = int((batch["stage"] == "failed").sum())
-            attempts += failures
-            if len(batch):
-                last = batch.iloc[-1]
-                seq, stage, state = int(last["seq"]), str(last["stage"]), str(last["state"])
+            for fact in batch[["seq", "stage", "state"]].itertuples(index=False):
+                if fact.seq in seen:
+                    continue  # the same fact again
+                seen.add(fact.seq)
+                attempts += fact.stage == "failed"
+                if fact.seq > seq:
+                    seq, stage, state = int(fact.seq), str(fact.stage), str(fact.state)
         if stage == "failed":
             if attempts < fixed.MAX_START_ATTEMPTS:
                 state = "ready_for_processing"
@@ -123,8 +126,9 @@ def stream_case_states(facts: DataFrame, cooldown_ms: int = fixed.RETRY_COOLDOWN
     an ``availableNow`` run from ending. Without one no timers are armed.
     """
     _use_rocksdb(facts.sparkSession)
+    kind = facts.schema["case_id"].dataType.simpleString()
     return facts.groupBy("case_id").transformWithStateInPandas(
-        statefulProcessor=CaseProjector(cooldown_ms), outputStructType="case_id long, seq long, state string, attempts int, event string",
+        statefulProcessor=CaseProjector(cooldown_ms), outputStructType=f"case_id {kind}, seq long, state string, attempts int, event string",
         outputMode="Append", timeMode="ProcessingTime" if cooldown_ms else "None")
 
 

@@ -1,12 +1,14 @@
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.functions.scale import once, packed_rows, spread_join
+from docketry.functions.scale import join_optional, once, packed_rows, spread_join
 from docketry.operators import cases as C, intake as I, queue as K, routing as R, staffing as S
 from docketry.plans import QUERIES
+from docketry.streaming import jobs as J
 
 DAY = lambda n: dt.datetime(2026, 8, n)
 
@@ -121,6 +123,24 @@ def test_related_cases_boundaries_and_pool(frame):
     assert got == {1: ["4"], 2: ["4"], 3: [], 4: []}
 
 
+def test_related_cases_of_a_hot_identity_in_blocks(frame):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(n, "hot" if n % 3 else f"p{n % 4}", n % 11, " ".join(rng.sample(words, rng.randint(1, 5)))) for n in range(90)]
+    cases = frame(rows, "case_id long, identity string, created_at long, text string")
+    pick = lambda df: {r.case_id: (r.similar_count, [(x.case_id, x.score) for x in r.related]) for r in df.collect()}
+    want = {}
+    for n, who, _, text in rows:
+        near = []
+        for m, other, at, shown in rows:
+            a, b = set(text.split()), set(shown.split())
+            score = round(100 * len(a & b) / len(a | b))
+            if m != n and other == who and score >= 20:
+                near.append((-score, at, str(m)))
+        want[n] = (len(near), [(i, -s) for s, _, i in sorted(near)[:5]])
+    assert pick(K.related_cases(cases, block=7)) == want == pick(K.related_cases(cases))
+
+
 def test_identity(frame):
     schema = "f map<string,struct<value:string,confidence:double>>"
     rows = frame([({"business-name": ("  ACME  Ltd\t", 1.0)},), ({"applicant-name": (" ", 1.0), "supplier-name": ("X", 1.0)},), ({},)], schema)
@@ -138,6 +158,75 @@ def test_route_codes(frame):
     assert {r.case_id: (r.route_kind, r.target_unit_id) for r in got if r.case_id < 3} == {1: ("classified", "u"), 2: ("fallback", "siniflandirilmamis")}
 
 
+def test_batch_uses_every_member_of_a_large_unit(frame):
+    rng = random.Random(1)
+    members = [(f"s{n:02d}", "u", rng.randint(0, 3), None if n % 5 == 0 else f"2026-01-{1 + n % 20:02d}") for n in range(34)]
+    history = [(f"s{n:02d}", t, rng.randint(1, 4)) for n in range(0, 34, 3) for t in "AB"]
+    history = [(i, t, total, rng.randint(0, total), 0.0) for i, t, total in history]
+    cases = [(f"id-{n}", n, "u" if n % 9 else "empty", rng.choice("ABC"), n % 4 == 0) for n in range(120)]
+    load = frame(members, "staff_id string, unit_id string, open_count long, last_assigned_at string")
+    topics = frame(history, "staff_id string, topic string, topic_total long, topic_resolved long, resolution_rate double")
+    got = {r.case_id: (r.staff_id, r.policy, r.open_before) for r in S.assign_batch(frame(cases, "case_id string, seq long, unit_id string, topic string, priority_mode boolean"), load, topics).collect()}
+    state = {i: [open_, (0, "") if last is None else (1, last), {}] for i, _, open_, last in members}
+    for i, t, total, done, _ in history:
+        state[i][2][t] = [total, done]
+    want = {}
+    for case, seq, unit, topic, flagged in cases:
+        if unit != "u":
+            want[case] = (None, "least_open_assignments", 0)
+            continue
+        idle = lambda i: (state[i][0], state[i][1], i)
+        seen = [i for i in state if state[i][2].get(topic, [0])[0] > 0] if flagged else []
+        if seen:
+            best = min(seen, key=lambda i: (-state[i][2][topic][1] / state[i][2][topic][0], -state[i][2][topic][0], *idle(i)))
+        else:
+            best = min(state, key=idle)
+        want[case] = (best, "topic_resolution_rate" if seen else "least_open_assignments", state[best][0])
+        state[best][0] += 1
+        state[best][1] = (2, f"{seq:09d}")
+        state[best][2].setdefault(topic, [0, 0])[0] += 1
+    assert got == want
+    assert len({v[0] for v in got.values()}) == 35
+
+
+def test_unnamed_and_missing_references_are_spread(spark, frame):
+    cases = frame([(n, "" if n % 10 else f"p{n % 3}", "t") for n in range(300)], "case_id long, identity string, topic string")
+    counted = R.repeat_counts(cases, hot_rows=20)
+    assert counted.where("identity = '' AND repeat_count <> 0").count() == 0 and counted.count() == 300
+    left = frame([(n, None if n % 10 else f"g{n % 3}") for n in range(300)], "case_id long, ref string")
+    right = frame([("g0", 1), ("g1", 2), (None, 9)], "id string, v int")
+    joined = join_optional(left, right, "ref", "case_id", "id")
+    assert {(r.ref, r.v) for r in joined.collect()} == {(None, None), ("g0", 1), ("g1", 2), ("g2", None)} and joined.count() == 300
+
+
+def test_stream_processors_take_a_key_in_several_frames():
+    import types
+
+    import pandas as pd
+
+    class Cell:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        def update(self, v):
+            self.value = v
+
+    handle = types.SimpleNamespace(getValueState=lambda *a: Cell())
+    facts = [(10, "failed"), (11, "failed"), (1, "failed"), (2, "failed")]
+    for order in ([0, 1, 2, 3], [2, 3, 0, 1], [3, 0, 2, 1]):
+        p = J.CaseProjector(0)
+        p.init(handle)
+        frames = [pd.DataFrame({"seq": [facts[i][0]], "stage": [facts[i][1]], "state": ["x"]}) for i in order]
+        out = list(p.handleInputRows(("k",), iter(frames), None))
+        assert out[-1].iloc[0].to_dict() == {"case_id": "k", "seq": 11, "state": "failed", "attempts": 4, "event": "state"}
+        assert not list(p.handleInputRows(("k",), iter(frames[:2]), None))  # repeats change nothing
+    first = J.FirstRecord()
+    first.init(handle)
+    frames = [pd.DataFrame({"document_id": ["d"], "arrival": [a], "print": [p]}) for a, p in ((9, "late"), (1, "early"))]
+    got = pd.concat(first.handleInputRows(("d",), iter(frames), None))
+    assert dict(zip(got.arrival, got.outcome)) == {1: "accepted", 9: "conflict"}
+
+
 # --- scale helpers ----------------------------------------------------------
 
 def test_spread_join_equals_plain_join(spark):
