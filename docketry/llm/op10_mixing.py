@@ -99,14 +99,16 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     rate = (F.when(F.col("target") >= CAP * F.col("source_size"), F.lit(float(CAP)))
             .when(F.col("target") <= 0, F.lit(0.0)).otherwise(CAP / (1 + F.exp(-lift))))
     rated = tagged.join(lookup(solved), "rank", "left").withColumn("rate", F.round(rate * UNIT).cast("long")).drop("scale", "l")
-    mixer = F.xxhash64("doc_id", "size", "row")
+    # Ties are broken by what a document is, so reruns over other partitions agree;
+    # ``row`` only tells repeated rows apart, which are alike.
+    mixer = F.xxhash64("doc_id", "size")
     last = Window.partitionBy("rank").orderBy("_h", "row")
     rated = keep(rated.withColumn("_h", mixer), "rates")
     # The tail: the `tail` documents of each source that come first by hash.
     chosen = rated.select("rank", "_h", "row").withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= tail)
     bound = chosen.groupBy("rank").agg(F.max("_h").alias("_last"), F.max_by("row", F.struct("_h", "row")).alias("_row"))
-    parted = keep(rated.join(lookup(bound), "rank").withColumn("in_tail", (F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & (F.col("row") <= F.col("_row")))).drop("_h", "_last", "_row"), "parted")
-    order = ["rank", "size", "row"]
+    parted = keep(rated.join(lookup(bound), "rank").withColumn("in_tail", (F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & (F.col("row") <= F.col("_row")))).drop("_last", "_row"), "parted")
+    order = ["rank", "size", "_h", "row"]
     summed = ranked(parted.where("NOT in_tail"), order, "before", "rate")
     copies = (F.floor((F.col("before") + F.col("rate") + UNIT // 2) / F.lit(float(UNIT))) - F.floor((F.col("before") + UNIT // 2) / F.lit(float(UNIT)))).cast("int")
     main = keep(summed.withColumn("copies", copies).drop("before"), "rounded")
@@ -116,7 +118,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
 
     def settle(frame):
         """At most ``tail`` documents of one source: largest first, each as near its rate as the rest allows."""
-        frame = frame.sort_values(["size", "row"], ascending=[False, True])
+        frame = frame.sort_values(["size", "_h", "row"], ascending=[False, True, True])
         want = float(frame["want"].iloc[0])
         plan = frame["size"].to_numpy() * frame["rate"].to_numpy() / UNIT
         carry, rest, taken = want - plan.sum(), plan.sum(), []

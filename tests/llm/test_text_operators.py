@@ -247,7 +247,10 @@ def test_mixing(spark):
 def test_mixing_rates_tilt_and_meet_targets(spark):
     rng = np.random.default_rng(2)
     rows = [(n, "ab"[n % 3 == 0], "w " * int(rng.integers(1, 300))) for n in range(1500)]
-    got = op10_mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), tail=20).collect()
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = op10_mixing.mix(frame, tail=20).collect()
+    again = op10_mixing.mix(frame.repartition(5, "text"), tail=20).collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
     gaps = check_mix(rows, got)
     for s, (gap, largest, goal) in gaps.items():
         assert abs(gap) <= 0.01 * goal
