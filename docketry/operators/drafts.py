@@ -109,9 +109,10 @@ def letter_subject(summary: Column, document: Column) -> Column:
     return F.when(F.length(base) > 120, cut).otherwise(base)
 
 
-def render_letter(kind: Column, subject: Column, routing: Column, document: Column, missing: Column, bodies=fixed.LETTER_BODIES) -> Column:
+def render_letter(kind: Column, subject: Column, routing: Column, document: Column, missing: Column, bodies=fixed.LETTER_BODIES, excerpt: int | None = None) -> Column:
+    """The whole document is quoted; ``excerpt`` quotes only that many characters."""
     listed = F.when(F.size(missing) > 0, F.array_join(missing, ", ")).otherwise("ilgili evrak için gerekli detaylar")
-    extra = F.when(kind == "eksik_bilgi_talebi", listed).otherwise(strip(F.substring(document, 1, 300)))
+    extra = F.when(kind == "eksik_bilgi_talebi", listed).otherwise(strip(document if excerpt is None else F.substring(document, 1, excerpt)))
     opening = F.format_string(fixed.LETTER_OPENING, F.when(F.length(strip(routing)) > 0, strip(routing)).otherwise(fixed.DEFAULT_ROUTE_NAME))
     body = None
     for name, template in bodies.items():

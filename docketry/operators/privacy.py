@@ -71,8 +71,12 @@ def sanitize_fields(fields: Column, handling=fixed.FIELD_HANDLING, patterns=fixe
 
 
 def learning_candidates(states: DataFrame, validation: DataFrame, intake: DataFrame, existing: DataFrame | None = None,
-                        handling=fixed.FIELD_HANDLING, patterns=fixed.RESIDUAL_PATTERNS) -> DataFrame:
-    """Completed, complete cases at their current revision as sanitised candidates."""
+                        handling=fixed.FIELD_HANDLING, patterns=fixed.RESIDUAL_PATTERNS, maximum: int | None = None) -> DataFrame:
+    """Completed, complete cases at their current revision as sanitised candidates.
+
+    Texts stay whole; ``maximum`` cuts them (``fixed.MAX_LEARNING_CHARACTERS`` for a
+    prompt). ``handling`` is a map or what ``loaders.policy_map`` makes of a policy table.
+    """
     done = states.where("state = 'completed'").select("case_id", F.col("revision").alias("source_case_revision"))
     complete = validation.where("completion_status = 'complete'").select(
         "case_id", F.col("revision").alias("source_case_revision"), "document_id", "request_type_id", "accepted_fields")
@@ -83,5 +87,5 @@ def learning_candidates(states: DataFrame, validation: DataFrame, intake: DataFr
     clean = sanitize_text(F.col("normalized_text"), known_values(F.col("accepted_fields"), handling), handling, patterns)
     return full.select(
         "case_id", "source_case_revision", "document_id", "request_type_id",
-        F.substring(clean, 1, fixed.MAX_LEARNING_CHARACTERS).alias("sanitized_text"),
+        (clean if maximum is None else F.substring(clean, 1, maximum)).alias("sanitized_text"),
         sanitize_fields(F.col("accepted_fields"), handling, patterns).alias("validated_fields"), F.lit("candidate").alias("status"))

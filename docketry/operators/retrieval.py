@@ -307,11 +307,13 @@ def hybrid_retrieve(cases: DataFrame, corpus: DataFrame, top: int = fixed.TOP_K,
     return words.mapInPandas(retrieve, schema)
 
 
-def retrieval_query(unit_label: Column, request_type: Column, values: Column, document: Column, maximum: int = fixed.MAX_QUERY_CHARACTERS) -> Column:
-    """The case's own words as the query: unit, type words, task fields, sanitised text."""
+def retrieval_query(unit_label: Column, request_type: Column, values: Column, document: Column, maximum: int | None = None) -> Column:
+    """The case's own words as the query: unit, type words, task fields, sanitised text;
+    at most ``maximum`` characters if given (``fixed.MAX_QUERY_CHARACTERS`` for a prompt)."""
     words = F.concat(F.array(unit_label, F.replace(request_type, F.lit("-"), F.lit(" "))), values, F.array(document))
     trimmed = F.transform(words, strip)
-    return F.substring(F.array_join(F.filter(trimmed, lambda w: w.isNotNull() & (w != "")), " "), 1, maximum)
+    query = F.array_join(F.filter(trimmed, lambda w: w.isNotNull() & (w != "")), " ")
+    return query if maximum is None else F.substring(query, 1, maximum)
 
 
 # --- relabelling ------------------------------------------------------------

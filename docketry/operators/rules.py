@@ -93,9 +93,11 @@ def select_letter_type(doc_type: Column, department: Column, table=fixed.LETTER_
                       F.try_element_at(letters, F.concat(doc_type, F.lit("|*"))), F.lit(default))
 
 
-def purpose(text: Column) -> Column:
+def purpose(text: Column, maximum: int | None = None) -> Column:
+    """First non-blank sentence, whole or at most ``maximum`` characters of it."""
     parts = F.filter(F.transform(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"\.", -1), strip), lambda p: p != "")
-    return F.substring(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), 1, 100)
+    first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+    return first if maximum is None else F.substring(first, 1, maximum)
 
 
 def analyze_with_rules(df: DataFrame, text: str = "text", doc_rules=fixed.DOCUMENT_TYPE_RULES, departments=fixed.DEPARTMENT_RULES,

@@ -220,7 +220,7 @@ _REQ = "req AS (SELECT conv_id * 1000 + turn AS seq, conv_id, CAST(conv_id AS VA
 
 @query("supplement_outcomes", rf"""
 WITH RECURSIVE {_REQ},
-r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n, regexp_replace(body[1:30], '^\s+|\s+$', '', 'g') AS v FROM req),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n, regexp_replace(body, '^\s+|\s+$', '', 'g') AS v FROM req),
 st AS (
   SELECT case_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, CASE WHEN conv_id % 10 <> 9 THEN CAST(1 + conv_id % 2 AS BIGINT) END AS cur, CAST(NULL AS VARCHAR) AS adr, MAP {{}}::MAP(VARCHAR, VARCHAR) AS rec, '' AS outcome FROM (SELECT DISTINCT case_id, conv_id FROM r)
   UNION ALL
@@ -236,7 +236,7 @@ def supplement_outcomes(spark, folder):
     requests = _requests(spark, folder)
     turn = F.col("seq") % 1000
     odd_field = (F.col("case_id").cast("long") % 7 == 3) & ((turn + 1) % 3 == 0)
-    value = F.substring(Q.strip(F.col("text")), 1, 30)
+    value = Q.strip(F.col("text"))
     requests = requests.withColumn("fields", F.create_map(F.when(odd_field, "colour").otherwise("new-address"), value)).drop("text")
     cases = requests.select("case_id").distinct().where(F.col("case_id").cast("long") % 10 != 9)
     gaps = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(l).alias("label")) for i, l, _k, need in fixed.FIELD_REGISTRY["adres-bildirimi"] if need])

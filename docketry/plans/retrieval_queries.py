@@ -97,7 +97,7 @@ def evidence_gate(spark, folder):
 
 
 @query("retrieval_queries", r"""
-SELECT doc_id, regexp_replace(concat_ws(' ', 'Unit ' || source, 'noise report', CASE WHEN lang <> 'en' THEN lang END, regexp_replace(text, '^\s+|\s+$', '', 'g')), '^$', '')[1:1200] AS query FROM documents""")
+SELECT doc_id, regexp_replace(concat_ws(' ', 'Unit ' || source, 'noise report', CASE WHEN lang <> 'en' THEN lang END, regexp_replace(text, '^\s+|\s+$', '', 'g')), '^$', '') AS query FROM documents""")
 def retrieval_queries(spark, folder):
     docs = table(spark, folder, "documents")
     values_ = F.array(F.when(F.col("lang") != "en", F.concat(F.lit(" "), "lang")), F.lit("  "))
@@ -175,7 +175,7 @@ def known_redaction(spark, folder):
 WITH d AS (SELECT doc_id, text, 'Mail me at m' || doc_id || '@x.org' AS note, {_NAME} AS name FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0),
 r0 AS (SELECT doc_id, CASE WHEN name = '' THEN text ELSE regexp_replace(text, '(?i)' || name, '{{{{APPLICANT_NAME}}}}', 'g') END AS t FROM d),
 {', '.join(_REDACT_STEPS[1:])}
-SELECT doc_id AS case_id, md5(t[1:12000]) AS digest, 'applicant-name=' || CASE WHEN name = '' THEN '' ELSE '{{{{APPLICANT_NAME}}}}' END || ';incident-description=Mail me at {{{{REDACTED_EMAIL_1}}}}' AS fields
+SELECT doc_id AS case_id, md5(t) AS digest, 'applicant-name=' || CASE WHEN name = '' THEN '' ELSE '{{{{APPLICANT_NAME}}}}' END || ';incident-description=Mail me at {{{{REDACTED_EMAIL_1}}}}' AS fields
 FROM r{len(B.PII_PATTERNS)} JOIN d USING (doc_id)""")
 def learning_export(spark, folder):
     docs = table(spark, folder, "documents", spread="doc_id").select("doc_id", "text")
@@ -208,7 +208,7 @@ def legal_guard(spark, folder):
 
 
 @query("draft_checks", f"""
-WITH d AS (SELECT conv_id, turn, text, text[1:(300 + 100 * (turn % 6))] AS summary, conv_id % 11 = 0 AS extra, conv_id % 13 = 0 AS short,
+WITH d AS (SELECT conv_id, turn, text, text AS summary, conv_id % 11 = 0 AS extra, conv_id % 13 = 0 AS short,
   CASE role WHEN 'user' THEN 'response_letter' WHEN 'assistant' THEN 'other' ELSE 'memo' END AS kind, CASE WHEN turn % 3 = 0 THEN 'Detail' WHEN turn % 5 = 1 THEN ' ' END AS detail,
   CASE conv_id % 4 WHEN 0 THEN ['c1'] WHEN 1 THEN []::VARCHAR[] WHEN 2 THEN ['c2', 'c2'] ELSE ['c9'] END AS refs,
   CASE WHEN conv_id % 3 = 0 THEN 'relevant_source_found' ELSE 'no_relevant_source' END AS st, CASE WHEN conv_id % 3 = 0 THEN ['c1', 'c2'] ELSE []::VARCHAR[] END AS ctx FROM conversations)
@@ -225,7 +225,7 @@ def draft_checks(spark, folder):
     keys = F.when(conv % 11 == 0, strings(*fixed.DRAFT_REQUIRED, "note")).when(conv % 13 == 0, strings(*fixed.DRAFT_REQUIRED[1:])).otherwise(
         strings(*fixed.DRAFT_REQUIRED, *fixed.DRAFT_OPTIONAL))
     drafts = turns.select(
-        conv, turn, keys.alias("keys"), F.substring(F.col("text"), F.lit(1), 300 + 100 * (turn % 6).cast("int")).alias("document_summary"), F.col("text").alias("draft_text"),
+        conv, turn, keys.alias("keys"), F.col("text").alias("document_summary"), F.col("text").alias("draft_text"),
         F.when(F.col("role") == "user", "response_letter").when(F.col("role") == "assistant", "other").otherwise("memo").alias("recommended_correspondence_type"),
         F.when(turn % 3 == 0, "Detail").when(turn % 5 == 1, " ").alias("correspondence_type_detail"),
         F.when(conv % 4 == 0, strings("c1")).when(conv % 4 == 1, strings()).when(conv % 4 == 2, strings("c2", "c2")).otherwise(strings("c9")).alias("used_source_refs"),
@@ -265,7 +265,7 @@ _ROUTE_SQL = "CASE doc_id % 5 " + " ".join(f"WHEN {n} THEN '{r}'" for n, r in en
 
 
 @query("letters", rf"""
-WITH d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS document, regexp_replace(text[1:(40 + doc_id % 120)], '^\s+|\s+$', '', 'g') AS summary, {_ROUTE_SQL} AS routing, doc_id % 6 = 5 AS gaps FROM documents),
+WITH d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS document, regexp_replace(text, '^\s+|\s+$', '', 'g') AS summary, {_ROUTE_SQL} AS routing, doc_id % 6 = 5 AS gaps FROM documents),
 t AS (SELECT *, CASE WHEN gaps THEN 'eksik_bilgi_talebi' WHEN contains(x, 'yönlendir') THEN 'yönlendirme' WHEN contains(x, 'bilgilendirme') OR contains(x, 'duyuru') OR (contains(x, 'bilgi') AND contains(x, 'güncelleme')) THEN 'bilgilendirme'
   WHEN contains(x, 'üst yazı') OR contains(x, 'üst yazi') OR (contains(x, 'kurum') AND contains(x, 'gönder')) THEN 'üst_yazı' ELSE 'cevap' END AS letter_type,
   CASE WHEN length(summary) > 120 THEN regexp_replace(summary[1:117], '\s+$', '') || '...' ELSE summary END AS subject FROM (SELECT *, lower(summary || ' ' || routing) AS x FROM d))
@@ -274,7 +274,7 @@ SELECT doc_id, letter_type, subject, md5('Sayın ' || routing || ',' || chr(10)
   WHEN 'yönlendirme' THEN subject || ' konulu dosya, ilgili iş akışı kapsamında tarafınıza yönlendirilmiştir. İşlem ve gerekli takip için ilgili birim tarafından değerlendirme yapılacaktır.'
   WHEN 'bilgilendirme' THEN subject || ' konusu kapsamında bilgilendirme yapılmıştır. Belge içeriğinde yer alan hususların dikkate alınması ve gerekli işlemlerin yürütülmesi önem arz etmektedir.'
   WHEN 'üst_yazı' THEN subject || ' konusu ilişiğinde tarafımıza ulaştırılan evrak değerlendirilmiş olup, ilgili kurum/kuruluş bilgileri dikkate alınarak üst yazı kapsamında gerekli işlemler yapılacaktır.'
-  ELSE subject || ' konusundaki talep/başvurunuz incelenmiş olup, aşağıdaki şekilde cevap verilmiştir.' || chr(10) || chr(10) || regexp_replace(document[1:300], '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || 'Gerekli işlemler çerçevesinde tarafınıza dönüş sağlanacaktır.' END
+  ELSE subject || ' konusundaki talep/başvurunuz incelenmiş olup, aşağıdaki şekilde cevap verilmiştir.' || chr(10) || chr(10) || document || chr(10) || chr(10) || 'Gerekli işlemler çerçevesinde tarafınıza dönüş sağlanacaktır.' END
   || chr(10) || chr(10) || 'Saygılarımla,') AS draft_digest FROM t""")
 def letters(spark, folder):
     docs = table(spark, folder, "documents", spread="doc_id")
@@ -283,7 +283,7 @@ def letters(spark, folder):
     for n, name in reversed(list(enumerate(_ROUTES[:-1]))):
         routing = F.when(doc % 5 == n, name).otherwise(routing)
     requests = docs.select(
-        doc, F.col("text").alias("document"), F.substring(F.col("text"), F.lit(1), (40 + doc % 120).cast("int")).alias("summary"), routing.alias("routing"),
+        doc, F.col("text").alias("document"), F.col("text").alias("summary"), routing.alias("routing"),
         F.array().cast("array<string>").alias("regulations"), F.when(doc % 6 == 5, F.array(F.lit("Adres"), F.lit(" "), F.lit("Telefon "))).alias("missing_info"))
     return D.generate_letters(requests).select("doc_id", "letter_type", "subject", F.md5("draft").alias("draft_digest"))
 

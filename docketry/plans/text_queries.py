@@ -195,7 +195,7 @@ _LETTER = "CASE " + " ".join(
 
 @query("rule_analysis", rf"""
 WITH {_TYPE_SCORES},
-pur AS (SELECT doc_id, text, coalesce(list_filter(list_transform(string_split(replace(text, chr(10), ' '), '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], '')[1:100] AS purpose FROM documents),
+pur AS (SELECT doc_id, text, coalesce(list_filter(list_transform(string_split(replace(text, chr(10), ' '), '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], '') AS purpose FROM documents),
 src AS (SELECT doc_id, purpose, purpose || ' ' || text AS text FROM pur), ds AS ({_DEP_SCORES('lower(text)')}),
 dep AS (SELECT doc_id, CASE WHEN s > 0 THEN name ELSE 'Genel Sekreterlik' END AS department, s AS department_score FROM ds QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, o) = 1),
 a AS (SELECT dt.doc_id, document_type, department, department_score, src.purpose, src.text AS ctx FROM dt JOIN dep USING (doc_id) JOIN src USING (doc_id)),

@@ -202,6 +202,15 @@ def load_policy(spark: SparkSession, path: str | None = None) -> DataFrame:
         F.explode(F.from_json("fieldHandling", "map<string,string>")).alias("field_id", "handling"))
 
 
+def policy_map(policy: DataFrame, most: int = 10_000) -> dict[str, str]:
+    """A policy table as the map that redaction takes. One row per field: a table
+    with more than ``most`` is refused, not cut."""
+    rows = policy.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a policy names at most {most} fields")
+    return {r["field_id"]: r["handling"] for r in rows}
+
+
 # --- staff ------------------------------------------------------------------
 
 def staff_registry(units: DataFrame) -> DataFrame:
