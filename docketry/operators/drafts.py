@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docketry.functions.scale import once
 from docketry.functions.text import strip
+from docketry.operators.retrieval import greedy_match
 from docketry.sources import fixed
 
 
@@ -49,6 +51,45 @@ def check_drafts(drafts: DataFrame, retrieved: str = "retrieved_refs", source_st
     return drafts.withColumn("error_code", draft_error(F.col(retrieved), F.col(source_status), **kw))
 
 
+def repair_drafts(drafts: DataFrame, key_scores: DataFrame, type_scores: DataFrame, threshold: float = fixed.MIN_SIMILARITY, **kw) -> DataFrame:
+    """Guard model answers; relabel the keys of those that miss the schema and guard again.
+
+    drafts(draft_id, payload map<string,string>, retrieved_refs, source_status); list
+    values of a payload are JSON arrays. key_scores(draft_id, target, key, score) and
+    type_scores(draft_id, type_id, score) hold the similarities of a payload's keys and
+    of its type label to the descriptions. Text is never invented: values move as they
+    are, a missing summary takes whole sentences of ``sanitized_document``, and a legal
+    claim without a source is final. Returns the drafts with lane and error_code.
+    """
+    c = F.col
+    items = lambda v: F.from_json(v, "array<string>")
+    value = lambda name: F.try_element_at(c("payload"), F.lit(name))
+    strict = drafts.select(
+        "*", F.map_keys("payload").alias("keys"), *[value(k).alias(k) for k in fixed.DRAFT_REQUIRED if k != "used_source_refs"],
+        value("correspondence_type_detail").alias("correspondence_type_detail"), items(value("used_source_refs")).alias("used_source_refs"))
+    judged = once(strict, error_code=draft_error(c("retrieved_refs"), c("source_status"), **kw))
+    final = c("error_code").isNull() | (c("error_code") == "UNVERIFIED_LEGAL_CLAIM")
+    good = judged.where(final).withColumn("lane", F.lit("strict"))
+    failed = judged.where(~final).select("draft_id", "payload", "retrieved_refs", "source_status")
+    wanted = key_scores.join(failed.select("draft_id"), "draft_id", "left_semi")
+    matched = greedy_match(wanted, threshold, "draft_id").groupBy("draft_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "key"))).alias("names"))
+    # The first of equally similar types in the fixed order wins.
+    order = F.map_from_arrays(F.array(*map(F.lit, fixed.CORRESPONDENCE_DESCRIPTIONS)), F.array(*map(F.lit, range(len(fixed.CORRESPONDENCE_DESCRIPTIONS)))))
+    choice = type_scores.groupBy("draft_id").agg(F.max_by(F.struct("type_id", "score"), F.struct("score", (-F.try_element_at(order, "type_id")).alias("place"))).alias("choice"))
+    told = failed.join(matched, "draft_id", "left").join(choice, "draft_id", "left")
+    moved = lambda target: F.try_element_at(c("payload"), F.try_element_at(c("names"), F.lit(target)))
+    recovered = sentence_prefix(F.try_element_at(c("payload"), F.lit("sanitized_document")), fixed.MAX_SUMMARY)
+    summary = F.coalesce(moved("document_summary"), F.when(recovered != "", recovered))
+    kind = moved("recommended_correspondence_type")
+    mapped = F.when(kind.isNotNull() & ~kind.isin(*fixed.CORRESPONDENCE_TYPES) & (c("choice.score") >= threshold), c("choice.type_id")).otherwise(kind)
+    repaired = told.select(
+        "draft_id", "payload", "retrieved_refs", "source_status", summary.alias("document_summary"), mapped.alias("recommended_correspondence_type"), moved("draft_text").alias("draft_text"),
+        value("correspondence_type_detail").alias("correspondence_type_detail"), items(moved("used_source_refs")).alias("used_source_refs"))
+    present = F.array_compact(F.array(*[F.when(c(k).isNotNull(), F.lit(k)) for k in (*fixed.DRAFT_REQUIRED, *fixed.DRAFT_OPTIONAL)]))
+    again = once(repaired.withColumn("keys", present), error_code=draft_error(c("retrieved_refs"), c("source_status"), **kw)).withColumn("lane", F.lit("repaired"))
+    return good.unionByName(again).drop("payload", "keys")
+
+
 def citations(context: Column, used: Column, keys=fixed.CITATION_KEYS) -> Column:
     """Retrieved chunks the draft really used, reduced to the citation keys."""
     return F.transform(F.filter(context, lambda c: F.array_contains(used, c["chunk_id"])), lambda c: F.struct(*[c[k].alias(k) for k in keys]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry.functions.scale import once, spread_join
-from docketry.functions.text import LETTER, casefold, collapse_spaces, normalize_text, strip
+from docketry.functions.text import casefold, collapse_spaces, normalize_text, strip
 from docketry.sources import fixed
 
 
@@ -28,7 +28,7 @@ def text_issues(col: Column, minimum: int = fixed.MIN_TEXT_CHARACTERS, maximum:
     findings = F.array_compact(F.array(
         F.when(size < minimum, "below_minimum"),
         F.when(size > maximum, "above_maximum"),
-        F.when(~F.regexp_like(col, F.lit(f"[{LETTER}]{{3,}}")), "no_words"),
+        F.when(~F.regexp_like(col, F.lit("[A-Za-z]{3,}")), "no_words"),
     ))
     return F.when(size == 0, F.array(F.lit("empty"))).otherwise(findings)
 

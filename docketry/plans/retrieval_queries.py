@@ -234,6 +234,61 @@ def draft_checks(spark, folder):
     return D.check_drafts(drafts, patterns=_CLAIMS).select("conv_id", "turn", "error_code")
 
 
+_TARGETS = tuple(fixed.RELABEL_TARGETS)
+_TYPES = tuple(fixed.CORRESPONDENCE_DESCRIPTIONS)
+_SCORE = "round(((conv_id * 7 + turn * 3 + {0} * 11 + {1} * 29) % 50 + 50) / 100.0, 2)"
+
+
+@query("draft_repairs", f"""
+WITH d AS (SELECT conv_id, turn, conv_id || '-' || turn AS u, text, CASE WHEN conv_id % 3 = 0 THEN 'relevant_source_found' ELSE 'no_relevant_source' END AS st, conv_id % 5 AS style,
+  CASE WHEN turn % 2 = 0 THEN 'cover_letter' ELSE 'Cover note' END AS kind, CASE WHEN conv_id % 3 = 0 THEN ['c1', 'c2'] ELSE []::VARCHAR[] END AS ctx, CASE WHEN conv_id % 3 = 0 THEN ['c1'] ELSE []::VARCHAR[] END AS refs FROM conversations),
+names AS (SELECT d.*, unnest(CASE style WHEN 0 THEN ['document_summary', 'recommended_correspondence_type', 'draft_text', 'used_source_refs'] WHEN 1 THEN ['summary', 'type', 'body', 'sources']
+  WHEN 2 THEN ['sanitized_document', 'type', 'draft_text', 'used_source_refs'] WHEN 3 THEN ['document_summary', 'recommended_correspondence_type', 'draft_text', 'sources'] ELSE ['summary', 'recommended_correspondence_type', 'body'] END) AS key,
+  unnest([0, 1, 2, 3][:CASE WHEN style = 4 THEN 3 ELSE 4 END]) AS part FROM d),
+strict AS (SELECT *, CASE WHEN style <> 0 THEN 'schema_invalid' WHEN length(regexp_replace(text, '\\s', '', 'g')) = 0 OR length(text) > 600 THEN 'document_summary_invalid' WHEN kind <> 'cover_letter' THEN 'type_invalid'
+  WHEN st = 'no_relevant_source' AND {_CLAIM_SQL('text')} THEN 'UNVERIFIED_LEGAL_CLAIM' END AS err FROM d),
+p AS (SELECT n.u, t.target, key, part, {_SCORE.format("t.n", "part").replace("conv_id", "n.conv_id").replace("turn", "n.turn")} AS score FROM names n JOIN strict s ON s.u = n.u AND s.err IS NOT NULL AND s.err <> 'UNVERIFIED_LEGAL_CLAIM' CROSS JOIN (VALUES ('document_summary', 0), ('recommended_correspondence_type', 1), ('draft_text', 2), ('used_source_refs', 3)) t(target, n)),
+{_greedy_rounds(4)},
+got AS (SELECT u, max(part) FILTER (WHERE target = 'document_summary') AS ps, max(part) FILTER (WHERE target = 'recommended_correspondence_type') AS pk, max(part) FILTER (WHERE target = 'draft_text') AS pt, max(part) FILTER (WHERE target = 'used_source_refs') AS pr FROM done GROUP BY 1),
+best AS (SELECT u, arg_max(t.type_id, s * 100 - t.n / 100.0) AS type_id, max(s) AS s FROM (SELECT d.u, y.type_id, y.n, {_SCORE.format("y.n", "3")} AS s FROM d CROSS JOIN (VALUES ('response_letter', 0), ('information_letter', 1), ('referral_letter', 2), ('cover_letter', 3), ('other', 4)) y(type_id, n)) t GROUP BY 1),
+cut AS (SELECT u, list_reduce(list_prepend({{{{'kept': '', 'stop': FALSE, 's': ''}}}}, list_transform(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {{{{'kept': '', 'stop': FALSE, 's': x}}}})),
+  lambda a, x: CASE WHEN a.stop OR x.s = '' OR length(a.kept) + length(x.s) + CASE WHEN a.kept <> '' THEN 1 ELSE 0 END > 600 THEN {{{{'kept': a.kept, 'stop': TRUE, 's': ''}}}}
+  ELSE {{{{'kept': CASE WHEN a.kept = '' THEN x.s ELSE a.kept || ' ' || x.s END, 'stop': FALSE, 's': ''}}}} END).kept AS prefix FROM d),
+v AS (SELECT s.*, got.*EXCLUDE (u), {', '.join(f"CASE p{c} WHEN 0 THEN text WHEN 1 THEN kind WHEN 2 THEN text WHEN 3 THEN '[' || array_to_string(list_transform(refs, lambda x: chr(34) || x || chr(34)), ',') || ']' END AS v{c}" for c in "sktr")}, prefix, best.type_id AS bt, best.s AS bs
+  FROM strict s LEFT JOIN got USING (u) JOIN cut USING (u) JOIN best USING (u)),
+w AS (SELECT *, coalesce(vs, CASE WHEN style = 2 AND prefix <> '' THEN prefix END) AS fs, CASE WHEN vk IS NOT NULL AND vk NOT IN ('response_letter', 'information_letter', 'referral_letter', 'cover_letter', 'other') AND bs >= 0.6 THEN bt ELSE vk END AS fk,
+  CASE WHEN pr = 3 THEN refs END AS fr FROM v)
+SELECT u AS draft_id, CASE WHEN err IS NULL OR err = 'UNVERIFIED_LEGAL_CLAIM' THEN 'strict' ELSE 'repaired' END AS lane,
+  CASE WHEN err IS NULL OR err = 'UNVERIFIED_LEGAL_CLAIM' THEN err WHEN fs IS NULL OR fk IS NULL OR vt IS NULL OR fr IS NULL THEN 'schema_invalid' WHEN length(regexp_replace(fs, '\\s', '', 'g')) = 0 OR length(fs) > 600 THEN 'document_summary_invalid'
+    WHEN length(regexp_replace(vt, '\\s', '', 'g')) = 0 OR length(vt) > 6000 THEN 'draft_text_invalid' WHEN fk NOT IN ('response_letter', 'information_letter', 'referral_letter', 'cover_letter', 'other') THEN 'type_invalid'
+    WHEN NOT list_has_all(ctx, fr) THEN 'refs_invalid' WHEN st = 'relevant_source_found' AND len(fr) = 0 THEN 'citation_required'
+    WHEN st = 'no_relevant_source' AND {_CLAIM_SQL('vt')} THEN 'UNVERIFIED_LEGAL_CLAIM' END AS error_code,
+  CASE WHEN err IS NULL OR err = 'UNVERIFIED_LEGAL_CLAIM' THEN kind ELSE fk END AS kind, CASE WHEN err IS NULL OR err = 'UNVERIFIED_LEGAL_CLAIM' THEN md5(text) ELSE md5(fs) END AS summary_digest FROM w""".replace("{{{{", "{{").replace("}}}}", "}}").replace("{{", "{").replace("}}", "}"))
+def draft_repairs(spark, folder):
+    """Turns as answers in five styles of keys; similarities follow from the row's numbers."""
+    turns = table(spark, folder, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    style = (conv % 5).cast("int")
+    named = (_TARGETS, ("summary", "type", "body", "sources"), ("sanitized_document", "type", "draft_text", "used_source_refs"),
+             ("document_summary", "recommended_correspondence_type", "draft_text", "sources"), ("summary", "recommended_correspondence_type", "body"))
+    sourced = conv % 3 == 0
+    values_ = (F.col("text"), F.when(turn % 2 == 0, "cover_letter").otherwise("Cover note"), F.col("text"), F.when(sourced, '["c1"]').otherwise("[]"))
+    payload, keys = None, None
+    for n, some in enumerate(named):
+        made = F.map_from_arrays(F.array(*map(F.lit, some)), F.array(*values_[:len(some)]))
+        payload = F.when(style == n, made) if payload is None else payload.when(style == n, made)
+    base = turns.select(conv, turn, F.concat_ws("-", conv.cast("string"), turn.cast("string")).alias("draft_id"), payload.alias("payload"), style.alias("style"),
+                        F.when(sourced, F.array(F.lit("c1"), F.lit("c2"))).otherwise(F.array().cast("array<string>")).alias("retrieved_refs"),
+                        F.when(sourced, "relevant_source_found").otherwise("no_relevant_source").alias("source_status"))
+    score = lambda a, b: F.round(((conv * 7 + turn * 3 + a * 11 + b * 29) % 50 + 50) / 100.0, 2).alias("score")
+    numbered = lambda names: F.array(*[F.struct(F.lit(v).alias("name"), F.lit(n).alias("n")) for n, v in enumerate(names)])
+    parts = base.select("draft_id", conv, turn, F.posexplode(F.map_keys("payload")).alias("part", "key"), F.lit(1).alias("one"))
+    key_scores = parts.select("*", F.inline(numbered(_TARGETS))).select("draft_id", F.col("name").alias("target"), "key", score(F.col("n"), F.col("part")))
+    type_scores = base.select("draft_id", conv, turn, F.inline(numbered(_TYPES))).select("draft_id", F.col("name").alias("type_id"), score(F.col("n"), F.lit(3)))
+    out = D.repair_drafts(base.select("draft_id", "payload", "retrieved_refs", "source_status"), key_scores, type_scores, patterns=_CLAIMS)
+    return out.select("draft_id", "lane", "error_code", F.col("recommended_correspondence_type").alias("kind"), F.md5("document_summary").alias("summary_digest"))
+
+
 _TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 

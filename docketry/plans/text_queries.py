@@ -18,7 +18,7 @@ CHAIN = values("chain", "rt, rl, unit_id, unit_label, department_id, department_
 WITH {NORMAL}, sized AS (SELECT *, length(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS n FROM norm)
 SELECT doc_id, CAST(length(t) AS BIGINT) AS characters, doc_id IN (SELECT doc_id FROM gated) AS accepted,
   CASE WHEN n = 0 THEN 'empty' ELSE concat_ws(',', CASE WHEN n < 40 THEN 'below_minimum' END, CASE WHEN n > 20000 THEN 'above_maximum' END,
-  CASE WHEN NOT regexp_matches(t, '[\p{{L}}\p{{Nl}}\p{{No}}]{{3,}}') THEN 'no_words' END) END AS issues FROM sized""")
+  CASE WHEN NOT regexp_matches(t, '[A-Za-z]{{3,}}') THEN 'no_words' END) END AS issues FROM sized""")
 def intake_gate(spark, folder):
     docs = B.normalized_documents(spark, folder).withColumnRenamed("normalized_text", "t")
     return docs.select("doc_id", F.length("t").cast("bigint").alias("characters"), I.accepted_length(F.col("t")).alias("accepted"),
