@@ -1,7 +1,9 @@
 """Substring dedup with sliding sentence spans.
 
 Texts are cut into sentences (at . ! ? before white space, and at line ends; a
-sentence of more than ``LONG`` words counts as several pieces of that many words).
+sentence of more than ``LONG`` words counts as several pieces, which end at words
+chosen by their checksum, one in eight, so that equal passages are cut alike wherever
+they begin; after 2 * ``LONG`` words at the latest).
 Every run of consecutive sentences that has at least ``RUN`` sentences and ``WORDS``
 words is hashed, from every starting sentence. Equal hashes meet once: a first pass
 finds each repeated run's first place, a second marks all its other places. The
@@ -22,6 +24,7 @@ LONG = 16
 def sentences(text: str, long: int = LONG) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences of a text; together they cover all its words."""
     import re
+    import zlib
 
     out, begin = [], 0
     for end in [*[m.end() for m in re.finditer(r"[.!?]+(?=\s)|\n", text)], len(text)]:
@@ -29,9 +32,11 @@ def sentences(text: str, long: int = LONG) -> list[tuple[int, int, list[str]]]:
         if len(words) > long:
             places = [m.span() for m in re.finditer(r"\S+", text[begin:end])]
             words = [text[begin + a:begin + b] for a, b in places]
-            for at in range(0, len(words), long):
-                some = places[at:at + long]
-                out.append((begin + some[0][0], begin + some[-1][1], words[at:at + long]))
+            at = 0
+            for n, word in enumerate(words):
+                if n + 1 == len(words) or n + 1 - at >= 2 * long or zlib.crc32(word.encode("utf-8", "replace")) % 8 == 0:
+                    out.append((begin + places[at][0], begin + places[n][1], words[at:n + 1]))
+                    at = n + 1
         elif words:
             lead = len(text[begin:end]) - len(text[begin:end].lstrip())
             out.append((begin + lead, end, words))
