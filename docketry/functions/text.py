@@ -39,6 +39,11 @@ def _nfc_batch(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
+def nfc_suspect(col: Column) -> Column:
+    """Whether a string may change under NFC."""
+    return F.coalesce((F.octet_length(col) != F.length(col)) & F.regexp_like(col, F.lit(NFC_SUSPECT)), F.lit(False))
+
+
 def nfc(col: Column) -> Column:
     """NFC form. Only strings that may change are shipped to Python; the rest
     travel as nulls, so Latin text costs no serialisation."""

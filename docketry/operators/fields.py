@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from docketry.functions.scale import lookup, once
-from docketry.functions.text import let, nfc, strip
+from docketry.functions.text import let, nfc, nfc_suspect, strip
 from docketry.sources import fixed
 
 CANDIDATE = "struct<value:string,confidence:double>"
@@ -184,7 +184,7 @@ RESULT = "struct<value:string,error:string>"
 
 def validate_value(kind: Column, raw: Column, metadata: Column) -> Column:
     """struct<value, error> of one typed value."""
-    # Values are compared as given; ``nfc_candidates`` composes them beforehand.
+    # Callers compose values (NFC) beforehand: lengths and comparisons count composed letters.
     ok = lambda v: F.struct(v.cast("string").alias("value"), F.lit(None).cast("string").alias("error"))
     bad = lambda code: F.struct(F.lit(None).cast("string").alias("value"), F.lit(code).alias("error"))
     found = lambda result, code: let(result, lambda r: F.when(r.isNotNull(), ok(r)).otherwise(bad(code)))
@@ -209,6 +209,7 @@ def evaluate_fields(df: DataFrame, registry: DataFrame, candidates: str = "candi
     The definitions of a request type (at most eight) travel as an array with the
     case, so the evaluation is one row expression: no explode, no regrouping.
     """
+    df = nfc_candidates(df, candidates)
     base = df if "definitions" in df.columns else df.join(lookup(field_lists(registry)), "request_type_id", "left")
 
     def judged(d: Column) -> Column:
@@ -244,8 +245,10 @@ def accepted_map(extracted: Column) -> Column:
 
 
 def nfc_candidates(df: DataFrame, candidates: str = "candidates") -> DataFrame:
-    """Bring candidate values to NFC (one Arrow pass over the serialised map)."""
-    return df.withColumn(candidates, F.from_json(nfc(F.to_json(candidates)), CANDIDATES))
+    """Bring candidate values to NFC: one Arrow pass over the serialised map, to which
+    only maps that may change are shipped."""
+    written = F.to_json(candidates)
+    return once(df, _text=written).withColumn(candidates, F.when(nfc_suspect(F.col("_text")), F.from_json(nfc(F.col("_text")), CANDIDATES)).otherwise(F.col(candidates))).drop("_text")
 
 
 def eligible(classification: DataFrame, registry: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry.functions.scale import lookup, ordered_stream, spread_join
-from docketry.functions.text import strip
+from docketry.functions.text import nfc, nfc_suspect, strip
 from docketry.operators.fields import field_lists, validate_attachments, validate_value
 from docketry.sources import fixed
 
@@ -113,6 +113,8 @@ def apply_supplements(requests: DataFrame, state: DataFrame, registry: DataFrame
     """
     lists = lookup(field_lists(registry))
     known = state.select("case_id", "request_type_id").join(lists, "request_type_id", "left")
+    composed = F.from_json(nfc(F.to_json("fields")), "map<string,string>")
+    requests = requests.withColumn("fields", F.when(nfc_suspect(F.to_json("fields")), composed).otherwise(F.col("fields")))
     shaped = requests.withColumn("problem", supplement_shape(F.col("fields"))).withColumn(
         "fields", F.map_from_entries(F.when(F.col("problem").isNull(), canonical_fields(F.col("fields")))))
     typed = shaped.join(known, "case_id", "left")

@@ -100,3 +100,19 @@ def test_review_and_start_replays(frame):
     stored = frame([("c", "j", 1)], "case_id string, idempotency_key string, revision long")
     assert [r.outcome for r in Q.complete_reviews(requests, state, stored).orderBy("seq").collect()] == [
         "CASE_REVISION_CONFLICT", "replay", "completed", "replay", "IDEMPOTENCY_KEY_REUSED", "CASE_NOT_REVIEWABLE"]
+
+
+def test_decomposed_letters_are_composed_before_evaluation(spark, frame):
+    import unicodedata
+    plain = "Şişli Çağlayan Öğretmenler Sokağı 5"
+    split = unicodedata.normalize("NFD", plain)
+    case = frame([(1, "adres-bildirimi", split, "{}")], "case_id int, request_type_id string, v string, source_metadata string")
+    case = case.withColumn("candidates", F.create_map(F.lit("new-address"), F.struct(F.col("v").alias("value"), F.lit(0.8).alias("confidence"))))
+    case = case.withColumn("prior_fields", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{V.CANDIDATE}>")))
+    got = V.evaluate_fields(case, loaders.default_registry(spark)).first()
+    assert got.accepted_fields["new-address"].value == plain
+    request = frame([(1, "c", "k", 1, {"new-address": split}), (2, "c", "l", 2, {"new-address": plain})], "seq long, case_id string, idempotency_key string, revision long, fields map<string,string>")
+    state = frame([("c", 1, "adres-bildirimi", {}, [], [], "{}")], f"case_id string, revision long, request_type_id string, accepted_fields {V.CANDIDATES}, missing_fields array<struct<id:string,label:string>>, "
+                  "invalid_fields array<struct<id:string,label:string,code:string>>, source_metadata string")
+    out = Q.apply_supplements(request, state, loaders.default_registry(spark)).orderBy("seq").collect()
+    assert [r.outcome for r in out] == ["applied", "unchanged"]
