@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketry.functions.scale import shared_dir
 from docketry.operators import cases as C, evaluation as E, intake as I, queue as Q, classify as CL
 from docketry.plans import bindings as B
 from docketry.plans.registry import query, values
-from docketry.sources import contracts, fixed, loaders, seeds
+from docketry.sources import contracts, fixed, loaders, seeds, sinks
 from docketry.sources.loaders import table
 
 _PRIORITY = (("critical", 100, "1-urgent", "Urgent"), ("high", 70, "2-high", "High"))
@@ -188,6 +189,25 @@ def role_view(spark, folder):
     return C.project_for_role(rows, "USER")
 
 
+@query("admin_view", f"WITH {_T} SELECT k AS case_id, state, comp AS validation_status, CASE WHEN routed THEN 'routed' ELSE 'not_routed' END AS routing_status, CASE WHEN has_val AND k % 11 <> 0 THEN c_name END AS applicant FROM proj")
+def admin_view(spark, folder):
+    """What an administrator sees more than a user: the validated fields."""
+    rows = list_rows(case_tables(spark, folder)).withColumn("validation_status", F.col("completion_status")).withColumn("validated_fields", F.col("accepted_fields"))
+    shown = C.project_for_role(rows, "ADMIN")
+    return shown.select("case_id", "state", "validation_status", "routing_status", F.try_element_at("validated_fields", F.lit("applicant-name"))["value"].alias("applicant"))
+
+
+@query("event_log", "SELECT user_id, count(*) AS entries, max(event_id) AS last_event, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY 1")
+def event_log(spark, folder):
+    """Events appended to an immutable log in two writes, then read as one."""
+    path = shared_dir(spark, "event-log")
+    events = table(spark, folder, "events").select("user_id", "event_id", "event_type")
+    sinks.append_log(events.where("event_id % 2 = 0"), path)
+    sinks.append_log(events.where("event_id % 2 = 1"), path)
+    log = spark.read.schema(events.schema).parquet(path)
+    return log.groupBy("user_id").agg(F.count("*").alias("entries"), F.max("event_id").alias("last_event"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
 def _assignments(t):
     return t["routes"].select(
         "case_id", "source_case_revision", F.concat(F.lit("s"), (F.col("case_id") % 50).cast("string")).alias("staff_id"),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketry.functions.scale import shared_dir
 from docketry.operators import drafts as D, privacy as P, retrieval as R
 from docketry.plans import bindings as B
 from docketry.plans.registry import query, values
 from docketry.sources import fixed
-from docketry.sources.loaders import table
+from docketry.sources.loaders import load_policy, policy_map, table
 
 _STOP = ", ".join(f"'{w}'" for w in B.STOPWORDS)
 _WORDS = lambda text: (f"list_filter(regexp_extract_all(lower(replace(replace({text}, 'I', 'ı'), 'İ', 'i')), '[{B.CHARSET}]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))")
@@ -171,6 +172,20 @@ def known_redaction(spark, folder):
     return docs.select("doc_id", F.md5(P.redact_known(F.col("text"), F.create_map(F.lit("applicant-name"), F.col("name")))).alias("digest"))
 
 
+@query("policy_redaction", f"""
+WITH n AS (SELECT doc_id, text, {_NAME} AS name FROM documents), r AS (SELECT doc_id, CASE WHEN name = '' THEN text ELSE regexp_replace(text, '(?i)' || name, '{{{{WORD}}}}', 'g') END AS t FROM n)
+SELECT doc_id, md5(t) AS digest FROM r""")
+def policy_redaction(spark, folder):
+    """A policy file decides which of two known values is hidden: one is redacted, one kept."""
+    path = shared_dir(spark, "policy")
+    rules = table(spark, folder, "region").agg(F.count("*").alias("n")).select(F.to_json(F.create_map(F.lit("fieldHandling"), F.create_map(F.lit("word"), F.lit("redact"), F.lit("first-letter"), F.lit("task_required")))).alias("value"))
+    rules.coalesce(1).write.text(path)
+    handling = policy_map(load_policy(spark, path))
+    docs = table(spark, folder, "documents", spread="doc_id").select("doc_id", "text", F.regexp_extract("text", "[A-Za-z]{5,}", 0).alias("name"))
+    known = F.create_map(F.lit("word"), F.col("name"), F.lit("first-letter"), F.substring("name", 1, 1))
+    return docs.select("doc_id", F.md5(P.redact_known(F.col("text"), known, handling)).alias("digest"))
+
+
 @query("learning_export", f"""
 WITH d AS (SELECT doc_id, text, 'Mail me at m' || doc_id || '@x.org' AS note, {_NAME} AS name FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0),
 r0 AS (SELECT doc_id, CASE WHEN name = '' THEN text ELSE regexp_replace(text, '(?i)' || name, '{{{{APPLICANT_NAME}}}}', 'g') END AS t FROM d),

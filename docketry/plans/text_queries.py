@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketry.functions.scale import shared_dir
 from docketry.operators import classify as C, intake as I, rules as R, triage as T
 from docketry.plans import bindings as B
 from docketry.plans.registry import query, values
-from docketry.sources.loaders import table
+from docketry.sources.loaders import read_documents, table
 
 NORMAL = B.SQL_NORMAL
 KW = values("kw", "rt, lang, n, w", B.KEYWORDS)
@@ -25,6 +26,21 @@ def intake_gate(spark, folder):
                        F.concat_ws(",", I.text_issues(F.col("t"))).alias("issues"))
 
 
+@query("document_records", """
+SELECT 'd' || doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'text' END AS source_type, length(text) AS characters, md5(text) AS digest, lang AS language, source AS origin,
+  CASE WHEN doc_id % 4 = 0 THEN 'k' || doc_id END AS correlation_id FROM documents""")
+def document_records(spark, folder):
+    """Documents written as document-input JSON lines and read back by the document source."""
+    doc, path = F.col("doc_id"), shared_dir(spark, "document-input")
+    key = doc.cast("string")
+    table(spark, folder, "documents", spread="doc_id").select(
+        F.lit("2.0").alias("schemaVersion"), F.concat(F.lit("r"), key).alias("requestId"), F.concat(F.lit("d"), key).alias("documentId"), F.when(doc % 3 == 0, "ocr").otherwise("text").alias("sourceType"), "text",
+        F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("sourceMetadata"), F.when(doc % 4 == 0, F.concat(F.lit("k"), key)).alias("correlationId")).write.json(path)
+    read = read_documents(spark, path)
+    return read.select(F.col("documentId").alias("document_id"), F.col("sourceType").alias("source_type"), F.length("text").cast("bigint").alias("characters"), F.md5("text").alias("digest"),
+                       F.col("sourceMetadata")["lang"].alias("language"), F.col("sourceMetadata")["source"].alias("origin"), F.col("correlationId").alias("correlation_id"))
+
+
 @query("intake_outcomes", """
 WITH k AS (SELECT doc_id, md5(text) AS document_id, text, lang,
              CASE WHEN source IN ('src0','src1','src2','src3') THEN 'ocr' ELSE 'text' END AS source_type FROM documents),
