@@ -107,10 +107,11 @@ def apply_projection(previous: DataFrame, projected: DataFrame) -> tuple[DataFra
     return full.select("case_id", *STATE_COLUMNS), full.where("changed").drop("changed")
 
 
-def action_log_rows(changes: DataFrame) -> DataFrame:
-    """Append-only log rows of a change set."""
+def action_log_rows(changes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Append-only log rows of a change set; ``carry`` keeps further columns of it, so
+    that a reader of the log need not join the change set again."""
     return changes.select("case_id", F.lit("state_projected").alias("action_type"), F.lit("system").alias("actor"),
-                          F.struct("revision", "state", "completed_steps", "last_error_code").alias("facts"))
+                          F.struct("revision", "state", "completed_steps", "last_error_code").alias("facts"), *carry)
 
 
 def case_notices(validation: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -104,9 +104,9 @@ def case_changes(spark, folder):
     """Only what really changed against the older snapshot, with its ticket."""
     current = projected(case_tables(spark, folder))
     _snapshot, changes = C.apply_projection(_previous(current), current)
-    log = C.action_log_rows(changes).select("case_id", "facts.revision", "facts.state", "facts.last_error_code")
+    log = C.action_log_rows(changes, ("priority_score", "is_new"))
     ticket = C.ticket_reference(F.md5(F.col("case_id").cast("string"))).alias("ticket")
-    return log.join(changes.select("case_id", "priority_score", "is_new"), "case_id").select("case_id", "revision", "state", "last_error_code", "priority_score", "is_new", ticket)
+    return log.select("case_id", "facts.revision", "facts.state", "facts.last_error_code", "priority_score", "is_new", ticket)
 
 
 @query("start_actions", f"""
@@ -230,9 +230,11 @@ def case_status(spark, folder):
     states = projected(t)
     lines = table(spark, folder, "lineitem")
     log = lines.select(F.col("l_orderkey").alias("case_id"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 10 + F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("action_id"), F.struct(F.col("l_linestatus").alias("state")).alias("facts"))
-    behavior = states.select("case_id", F.lit(7).alias("repeat_count"), F.lit("high").alias("aggression_level"), F.lit(1.0).alias("aggression_score"), F.lit(2).alias("marker_count"), F.lit(True).alias("priority_mode"))
-    ticket = states.select("case_id", C.ticket_reference(F.md5(F.col("case_id").cast("string"))).alias("ticket_reference"))
-    feedback = states.where(F.col("case_id") % 14 == 0).select("case_id", F.col("revision").alias("source_case_revision"), F.lit("candidate").alias("status"))
+    known = t["classification"].select("case_id")  # every case, without the projection
+    behavior = known.select("case_id", F.lit(7).alias("repeat_count"), F.lit("high").alias("aggression_level"), F.lit(1.0).alias("aggression_score"), F.lit(2).alias("marker_count"), F.lit(True).alias("priority_mode"))
+    ticket = known.select("case_id", C.ticket_reference(F.md5(F.col("case_id").cast("string"))).alias("ticket_reference"))
+    feedback = known.where(F.col("case_id") % 14 == 0).join(t["validation"].select("case_id", "revision"), "case_id", "left").select(
+        "case_id", F.coalesce("revision", F.lit(1).cast("bigint")).alias("source_case_revision"), F.lit("candidate").alias("status"))
     out = C.case_status(states, t["validation"], t["routes"], C.case_notices(t["validation"]), t["classification"], _assignments(t), behavior, ticket, log, feedback)
     return out.select("case_id", "revision", "state", "validation_status", "routing_status", F.array_join("applicant_notifications", ",").alias("notices"), "applicant_name", "unit_id", "staff_id",
                       "open_assignment_count", "repeat_count", "aggression_level", "ticket_reference", "action_count", "last_logged_state", "feedback_status")
