@@ -85,7 +85,9 @@ def detect_language(df: DataFrame, text: str = "normalized_text", markers=fixed.
                     orthography: str | None = "tr", out: str = "language", keep_scores: bool = False) -> DataFrame:
     """Leading language by function words, "unknown" when the lead is too thin."""
     source = F.coalesce(F.col(text), F.lit(""))
-    tokens = once(df, _folded=marker_tokens(source))
+    # One pass over all tokens keeps the function words; each language then counts few.
+    known = sorted({w for words in markers.values() for w in words})
+    tokens = once(df, _folded=F.filter(marker_tokens(source), lambda t: t.isin(known)))
     ranked = once(tokens, _ranked=marker_scores(F.col("_folded"), source, markers, orthography))
     lead, next_best = F.col("_ranked")[0], F.coalesce(F.get("_ranked", F.lit(1))["score"], F.lit(0))
     sure = (lead["score"] >= 1) & (lead["score"] >= fixed.MARKER_MARGIN * next_best)
