@@ -75,14 +75,15 @@ t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rs, 12) DESC,
 
 
 @query("hybrid_retrieve", f"""
-WITH {_FUSED}, e AS (SELECT *, d >= {_GATE} OR l >= 0.995 AS ev FROM t WHERE rank <= 5)
-SELECT qid AS query_id, CAST(rank AS BIGINT) AS rank, cid AS chunk_id, round(d, 5) AS score, round(l, 6) AS lexical_score, round(rs, 6) AS rank_score FROM t WHERE rank <= 5""")
+WITH {_FUSED}, e AS (SELECT *, d >= {_GATE} OR l >= {_GATE} AS ev FROM t WHERE rank <= 5)
+SELECT qid AS query_id, CAST(rank AS BIGINT) AS rank, cid AS chunk_id, round(d, 5) AS score, round(l, 6) AS lexical_score, round(rs, 6) AS rank_score,
+  ev AS evident, CASE WHEN bool_or(ev) OVER (PARTITION BY qid) THEN 'relevant_source_found' ELSE 'no_relevant_source' END AS source_status FROM e""")
 def hybrid_retrieve(spark, folder):
     """Map-only hybrid retrieval of every case against the pinned corpus."""
     cases, corpus = _cases_and_corpus(spark, folder)
     out = R.hybrid_retrieve(cases, corpus, 5, _GATE, stopwords=B.STOPWORDS, charset=B.CHARSET)
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.round("score", 5).alias("score"),
-                      F.round("lexical_score", 6).alias("lexical_score"), F.round("rank_score", 6).alias("rank_score"))
+                      F.round("lexical_score", 6).alias("lexical_score"), F.round("rank_score", 6).alias("rank_score"), "evident", "source_status")
 
 
 @query("evidence_gate", f"""
