@@ -223,9 +223,6 @@ ANSWER_EXCLUDED_KINDS = ("tckn", "phone-tr", "date", "attachment")
 APPLICANT_NAME_KEYS = ("applicant-name", "business-name", "supplier-name")
 
 # --- retrieval --------------------------------------------------------------
-RETRIEVAL_CONFIG_VERSION = "municipality-rag-v3-hybrid"
-CORPUS_VERSION = "demo-municipality-regulations-v2"
-PROMPT_SCHEMA_VERSION = "f04-correspondence-v1"
 STOPWORDS = ("ve", "veya", "ile", "için", "bir", "bu", "şu", "da", "de", "mi", "mı", "mu", "mü", "olan", "olarak",
              "sayılı", "kanun", "kanunu", "madde", "maddesi", "kapsamında")
 BM25_K1, BM25_B = 1.2, 0.75
@@ -286,7 +283,6 @@ LEGAL_CLAIM_PATTERNS = (
     r"(?iuU)\b(?:zorunludur|yasaktır|kanunen mümkündür|yasal yükümlülüktür)\b|kurum\s+.+?\s+yükümlüdür",
 )
 CHUNK_CHARACTERS = 900
-LETTER_KINDS = ("cevap", "üst_yazı", "bilgilendirme", "eksik_bilgi_talebi", "yönlendirme")
 DEFAULT_REFERENCE = "İlgili mevzuat ve kurum içi prosedürler doğrultusunda işlem yapılacaktır."
 DEFAULT_ROUTE_NAME = "Yetkili Birim"
 LETTER_OPENING = "Sayın %s,\n\n"
@@ -307,13 +303,13 @@ MAX_NOTICE_TITLE, MAX_NOTICE_BODY = 200, 4000
 FALLBACK_DEPARTMENT, FALLBACK_UNIT = "diger", "siniflandirilmamis"
 MAX_START_ATTEMPTS = 4
 RETRY_COOLDOWN_SECONDS = 30
-STAFF_CANDIDATES = 25
+STAFF_CANDIDATES = 25  # what an interactive screen passes as ``candidates``
 STAFF_UNITS = (
     ("beyaz-masa", "Beyaz Masa"), ("dijital-hizmetler", "Dijital Hizmetler"),
     ("gelir-tahakkuk", "Gelir ve Tahakkuk"), ("ruhsat", "Ruhsat"), ("denetim", "Denetim"),
     ("siniflandirilmamis", "Genel Başvuru"),
 )
-RELATED_POOL, RELATED_THRESHOLD, RELATED_LIMIT = 200, 20, 5
+RELATED_POOL, RELATED_THRESHOLD, RELATED_LIMIT = 200, 20, 5  # the pool is what an interactive screen passes
 PAGE_DEFAULT, PAGE_MAX = 25, 100
 QUEUE_TABS = (
     ("", "Tümü"), ("needs_review", "İnsan incelemesi"), ("waiting_for_user", "Ek bilgi bekleniyor"),
