@@ -16,7 +16,7 @@ from docketry.llm.common import by_bytes
 
 END_ID = 2
 CACHE_WORDS = 350_000
-BATCH_BYTES = 8 << 20
+LONGEST = 100  # longer pieces are not remembered, which bounds the memory in bytes
 
 
 class PieceEncoder:
@@ -48,6 +48,8 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _other(self, text: str) -> bytes:
+        if len(text) > LONGEST:
+            return self._exact(text)
         return self.rest.get(text) or self.rest.setdefault(text, self._exact(text))
 
     def _word(self, word: str, lead: str) -> bytes:
@@ -64,7 +66,8 @@ class PieceEncoder:
                 form = word.encode().decode("latin-1")
                 form = form.translate(self.letters) if self.odd(form) else form
             ids = array.array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(lead + form)]).tobytes()
-            known[word] = ids
+            if len(word) <= LONGEST:
+                known[word] = ids
         return ids
 
     def _piece(self, piece: str, lead: str = "Ġ") -> bytes:
