@@ -91,14 +91,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             owner = pa.array([n for n, f in enumerate(found) for _ in f], pa.int64())
             flat = [r for f in found for r in f]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(owner), batch.column("doc_id").take(owner), pa.array([r[0] for r in flat], pa.int32()), pa.array([r[1] for r in flat], pa.int32()), pa.array([r[2] for r in flat], pa.int64())],
-                names=["row", "doc_id", "first", "after", "hash"])
+                [batch.column("row").take(owner), pa.array([r[0] for r in flat], pa.int32()), pa.array([r[1] for r in flat], pa.int32()), pa.array([r[2] for r in flat], pa.int64())],
+                names=["row", "first", "after", "hash"])
 
-    spans = keep(numbered.mapInArrow(hashed, f"row long, doc_id {kind}, first int, after int, hash long"), "spans")
+    spans = keep(numbered.select("row", "text").mapInArrow(hashed, "row long, first int, after int, hash long"), "spans")
+    # Only hashes travel to be counted; the places of the repeated ones follow.
+    again = spans.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    placed = keep(spans.join(again, "hash").join(numbered.select("row", "doc_id"), "row"), "placed")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "first")
-    repeated = keep(spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("home")).where("n > 1")
-                    .select("hash", F.col("home.row").alias("home_row"), F.col("home.first").alias("home_first")), "repeated")
-    copies = spans.select("row", "first", "after", "hash").join(repeated, "hash").where("row <> home_row OR first <> home_first")
+    homes = keep(placed.groupBy("hash").agg(F.min(place).alias("home")).select("hash", F.col("home.row").alias("home_row"), F.col("home.first").alias("home_first")), "homes")
+    copies = placed.select("row", "first", "after", "hash").join(homes, "hash").where("row <> home_row OR first <> home_first")
     cut = copies.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "after"))).alias("covered"))
 
     def cleaned(batches):
