@@ -12,7 +12,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 OWN: dict[str, str] = {}  # the folder of a session on one machine that names none
 
 
+BATCH_ROWS = 2500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python in Arrow batches. Unless the session asks for fewer,
+    a batch has at most ``BATCH_ROWS`` rows, which bounds what a worker holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -32,6 +45,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there,
     its rows no longer change, and a lost executor costs only its own tasks."""
+    small_batches(df.sparkSession)
     path = shared_folder(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -104,6 +118,7 @@ def by_bytes(batches, column: str, most: int = 8 << 20):
     """Arrow batches cut so that ``column`` holds about ``most`` bytes in each, one
     row at least. This bounds what Python holds at once however long the texts are."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -113,3 +128,4 @@ def by_bytes(batches, column: str, most: int = 8 << 20):
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # the worker process lives on in later stages

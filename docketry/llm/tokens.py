@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from docketry.llm.common import by_bytes
 
 END_ID = 2
-CACHE_WORDS = 350_000
+CACHE_WORDS = 300_000
 LONGEST = 100  # longer pieces are not remembered, which bounds the memory in bytes
 
 
