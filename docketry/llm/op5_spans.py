@@ -1,9 +1,10 @@
 """Substring dedup with sliding sentence spans.
 
 Texts are cut into sentences (at . ! ? before white space, and at line ends; a
-sentence of more than ``LONG`` words counts as several pieces, which end at words
-chosen by their checksum, one in eight, so that equal passages are cut alike wherever
-they begin; after 2 * ``LONG`` words at the latest).
+sentence of more than ``LONG`` words counts as several pieces, which end at words whose
+checksum is smaller than those of the ``NEAR`` words on either side, about one in five,
+so that equal passages are cut alike but for a few words at their ends; where there is
+no such place within 3 * ``NEAR`` words, at the last of the words with the smallest).
 Every run of consecutive sentences that has at least ``RUN`` sentences and ``WORDS``
 words is hashed, from every starting sentence. Equal hashes meet once: a first pass
 finds each repeated run's first place, a second marks all its other places. The
@@ -19,6 +20,7 @@ from docketry.llm.common import by_bytes, keep, table
 RUN = 3
 WORDS = 20
 LONG = 16
+NEAR = 2
 
 
 def sentences(text: str, long: int = LONG) -> list[tuple[int, int, list[str]]]:
@@ -32,11 +34,15 @@ def sentences(text: str, long: int = LONG) -> list[tuple[int, int, list[str]]]:
         if len(words) > long:
             places = [m.span() for m in re.finditer(r"\S+", text[begin:end])]
             words = [text[begin + a:begin + b] for a, b in places]
-            at = 0
-            for n, word in enumerate(words):
-                if n + 1 == len(words) or n + 1 - at >= 2 * long or zlib.crc32(word.encode("utf-8", "replace")) % 8 == 0:
-                    out.append((begin + places[at][0], begin + places[n][1], words[at:n + 1]))
-                    at = n + 1
+            at, sums = 0, [zlib.crc32(word.encode("utf-8", "replace")) for word in words]
+            for n, x in enumerate(sums):
+                last = n
+                if n + 1 < len(words) and not (x < min(sums[max(0, n - NEAR):n], default=1 << 32) and x <= min(sums[n + 1:n + 1 + NEAR])):
+                    if n + 1 - at < 3 * NEAR + 1:
+                        continue
+                    last = n - sums[at:n + 1][::-1].index(min(sums[at:n + 1]))
+                out.append((begin + places[at][0], begin + places[last][1], words[at:last + 1]))
+                at = last + 1
         elif words:
             lead = len(text[begin:end]) - len(text[begin:end].lstrip())
             out.append((begin + lead, end, words))
