@@ -7,7 +7,9 @@ bounded sample of the corpus's own paragraphs as the class ``unknown``. Probabil
 are calibrated by a temperature on held-out examples, and a family is reported only
 above the threshold that no held-out unknown paragraph passes. A comparison with the
 notices confirms the prediction: enough of the paragraph's word pairs must occur in a
-notice of the predicted family.
+notice of the predicted family. Where that finds nothing, the stretches of a paragraph
+that hold word pairs of notices are judged by themselves, at the notices' own scale, and
+must hold most of a notice.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ ROUNDS = 250
 CONFIRM = 0.5
 UNKNOWN = "unknown"
 MAX_WORDS = 400
+WHOLE = 0.75  # share of a notice's word pairs that confirms it among other words
+PASSAGE = 14
+GAP = 3
 
 
 def words_of(text: str) -> list[str]:
@@ -62,21 +67,59 @@ class Classifier:
         if len(words) < 2 or len(self.singles.intersection(words)) < 2:
             return UNKNOWN, 1.0, 0.0, False
         best = (UNKNOWN, 1.0, 0.0, False)
-        # A long paragraph is judged window by window, so that a notice inside is not diluted.
+        # A long paragraph is judged window by window.
         for begin in range(0, max(1, len(words) - MAX_WORDS // 2), MAX_WORDS // 2):
             some = words[begin:begin + MAX_WORDS]
-            z = self.logits(some) / self.temperature
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            k = int(p.argmax())
-            if self.classes[k] == UNKNOWN or p[k] < self.threshold:
+            family, p = self.named(some)
+            if family == UNKNOWN:
                 continue
             pairs = set(zip(some, some[1:]))
-            share = max(len(pairs & notice) / max(1, min(len(pairs), len(notice))) for notice in self.pairs[self.classes[k]])
+            share = max(len(pairs & notice) / max(1, min(len(pairs), len(notice))) for notice in self.pairs[family])
             if best[0] == UNKNOWN or share > best[2]:
-                best = (self.classes[k], float(p[k]), share, share >= CONFIRM)
+                best = (family, p, share, share >= CONFIRM)
+        if best[3]:
+            return best
+        # A notice among other words is judged by itself, so that it is not diluted.
+        for some in self.stretches(words):
+            pairs = set(zip(some, some[1:]))
+            if max(self.held(pairs, notice) for notices in self.pairs.values() for notice in notices) < WHOLE:
+                continue
+            family, p = self.named(some)
+            share = max((self.held(pairs, notice) for notice in self.pairs.get(family, ())), default=0.0)
+            if share >= WHOLE and (not best[3] or share > best[2]):
+                best = (family, p, share, True)
         return best
 
+    def named(self, words):
+        """(family or unknown, probability) of some words."""
+        import numpy as np
+
+        z = self.logits(words) / self.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        k = int(p.argmax())
+        return (UNKNOWN, 1.0) if self.classes[k] == UNKNOWN or p[k] < self.threshold else (self.classes[k], float(p[k]))
+
+    def held(self, pairs, notice):
+        """The share of a notice that ``pairs`` hold; of a long one ``PASSAGE`` pairs are enough."""
+        return len(pairs & notice) / min(len(notice), PASSAGE)
+
+    def stretches(self, words):
+        """Parts of a paragraph with word pairs of notices, at most ``GAP`` other words apart;
+        long ones also in windows of 16, 32 and 64 words, half of each shared with the next."""
+        get = self.vocabulary.get
+        at = [n for n, p in enumerate(zip(words, words[1:])) if get(p) is not None]
+        begin = 0
+        for n, place in enumerate(at):
+            if n + 1 < len(at) and at[n + 1] - place <= GAP + 1:
+                continue
+            some = words[at[begin]:place + 2]
+            begin = n + 1
+            yield some[:MAX_WORDS]
+            for size in (16, 32, 64):
+                if len(some) > size:
+                    yield from (some[a:a + size] for a in range(0, len(some) - size // 2, size // 2))
+
 
 def train(paragraphs: list[str], copies: int = COPIES, rounds: int = ROUNDS, seed: int = 1) -> Classifier:
     """Fit on the notices and on ``paragraphs`` of unknown kind (those that mostly repeat a notice are left out)."""
