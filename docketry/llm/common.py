@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import pickle
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 OWN: dict[str, str] = {}  # the folder of a session on one machine that names none
+NOTED: list[str] | None = None  # the folders written while ``noting``
 
 
 BATCH_ROWS = 2500
@@ -47,10 +51,40 @@ def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
     its rows no longer change, and a lost executor costs only its own tasks."""
     small_batches(df.sparkSession)
     path = shared_folder(df.sparkSession, purpose)
+    if NOTED is not None:
+        NOTED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def noting():
+    """Gives the list of the folders that ``keep`` writes meanwhile."""
+    global NOTED
+    before, NOTED = NOTED, []
+    try:
+        yield NOTED
+    finally:
+        NOTED = before
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that ``keep`` wrote in this process and that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object of this package by value: plain broadcasts name its class, which
+    executors without the package cannot load. Tasks read it with ``arrived``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def arrived(shared: Broadcast):
+    return pickle.loads(shared.value)
+
+
 def ranked(df: DataFrame, order: list, rank: str = "rank", weight: str | None = None) -> DataFrame:
     """Number all rows in ``order`` (from 0), or add up ``weight`` before each row.
 

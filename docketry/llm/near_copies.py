@@ -1,25 +1,39 @@
-"""Near copies: texts whose sets of word shingles have at least a given Jaccard similarity.
-
-Texts of similarity 0.8 differ in up to 11 of 64 SimHash bits on the samples, which
-pigeonhole blocks cannot cover. Candidates therefore share one of ``BANDS`` keys of
-``ROWS`` minima of the shingle hashes each (a pair of similarity 0.8 shares none with
-probability 0.59 ** 25, two in a million), and every candidate is checked against the
-real shingle sets. Equal sets are compared once. In a key with more than ``CROWD``
-sets all are compared with the smallest first; then only sets that are not yet in one
-component meet, so that every pair that shares a key is compared or already connected.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates come from three sources, and exact shingle sets decide each:
+
+1. the links of SimHash fingerprints (two differing bits at most), which find what is
+   nearly equal and merge it first. Texts of similarity 0.8 differ in up to 11 of 64 bits,
+   which pigeonhole blocks cannot cover, hence
+2. ``BANDS`` keys of ``ROWS`` minima of the shingle hashes each. A pair of similarity 0.8
+   shares none with probability 0.59 ** 25, two in a million. In every key all texts are
+   compared with the smallest; a key whose texts are in one component then is done.
+   Left-over keys of at most ``CROWD`` texts compare those of different components.
+3. Texts in left-over crowded keys mostly share a frequent passage. Their shingles are
+   ordered rarest first, by their number of such texts; a pair of the similarity shares
+   one of the first n - ceil(0.8 n) + 1 shingles of both (prefix filter, exact). A
+   frequent passage stands last in the order, so the texts that share it never meet.
+
+Before sets are made, pairs with fewer than ``LIKELY`` of their 100 minima in common go: a
+pair of similarity 0.8 is among them with a probability of one in a million. Equal sets are compared once; sets
+are made again from the texts, only of texts that are compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from docketry.llm import op8_simhash
 from docketry.llm.common import by_bytes, components, keep
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 4
-CROWD = 48
+CROWD = 8
+LIKELY = 60
 
 
 def shingles(text, words: int):
@@ -40,7 +54,7 @@ def shingles(text, words: int):
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """row, node (hash of the shingle set), n (its size) and the keys of its bands."""
+    """row, fp, node (hash of the shingle set), n (its size), the keys of its bands and 16 bits of each minimum."""
 
     def sign(batches):
         import numpy as np
@@ -49,68 +63,114 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
 
         factors = np.random.default_rng(7).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in by_bytes(batches, "text"):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, minima = [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingles(text, words)
                 nodes.append(xxh64_intdigest(hashes.tobytes(), 0))
                 sizes.append(len(hashes))
                 least = np.array([(hashes * f).min() for f in factors]) if len(hashes) else np.zeros(BANDS * ROWS, dtype=np.uint64)
                 keys.append(np.array([xxh64_intdigest(least[i:i + ROWS].tobytes(), 0) for i in range(0, BANDS * ROWS, ROWS)], dtype=np.uint64).view(np.int64))
+                minima.append((least >> np.uint64(20)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "node", "n", "keys"])
+                [batch.column("row"), batch.column("fp"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.binary())],
+                names=["row", "fp", "node", "n", "keys", "minima"])
 
-    return docs.select("row", "text").mapInArrow(sign, "row long, node long, n int, keys array<long>")
+    kind = docs.schema["row"].dataType.simpleString()
+    marked = docs.select("row", "text", op8_simhash.fingerprint(F.col("text")).alias("fp"))
+    return marked.mapInArrow(sign, f"row {kind}, fp long, node long, n int, keys array<long>, minima binary")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of ``nodes`` (node, row): shingle sets are made again, only of texts that are compared."""
+    """(node, hashes) of ``nodes`` (node, row)."""
 
     def cut(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in by_bytes(batches, "text", 4 << 20):
-            sets = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, words).view("int64") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
     return docs.select("row", "text").join(nodes, "row").select("node", "text").mapInArrow(cut, "node long, hashes array<long>")
 
 
+@F.pandas_udf(T.IntegerType())
+def _equal_minima(x, y):
+    import numpy as np
+    import pandas as pd
+
+    grid = lambda column: np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), -1)
+    return pd.Series((grid(x) == grid(y)).sum(axis=1).astype(np.int32)) if len(x) else pd.Series([], dtype=np.int32)
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(row, node, root) for every row of ``docs`` (row: unique long, text; a kept table).
+    """(row, node, root) for every row of ``docs`` (row: unique, text; a table that can be read again).
 
     Rows with the same ``root`` are connected by pairs of the given similarity.
     Null and blank texts have the empty set and are alike.
     """
     marked = keep(_signed(docs, words), "signed")
-    prints = keep(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    prints = keep(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "distinct")
+    signs, found = prints.select("node", "n", "minima"), []
+    parts = docs.sparkSession.createDataFrame([], "node long, root long")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return signs.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """Add the similar ones of ``pairs`` (a, b: nodes) to what was found; components of all."""
+        nonlocal parts
+        told = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        likely = told.join(side("a", "n", "minima"), "a").join(side("b", "n", "minima"), "b").where(
+            (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")) & (_equal_minima("minima_a", "minima_b") >= LIKELY))
+        likely = keep(likely.select("a", "b"), "pairs")
+        if likely.limit(1).count():
+            ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+            sets = keep(_sets(docs, prints.join(ends, "node").select("node", "row"), words), "sets")
+            both = likely.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+            common = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
+            similar = keep(common.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b"), "similar")
+            if similar.limit(1).count():
+                found.append(similar)
+                parts = keep(components(reduce(DataFrame.unionByName, found)), "parts")
+        return parts
+
+    def rooted(rows: DataFrame, parts: DataFrame, *key: str) -> DataFrame:
+        """The rows (node and key) with their root, of keys that hold several roots."""
+        named = keep(rows.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        several = named.groupBy(*key).agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("held"), F.min("node").alias("leader")).where("_low < _high")
+        return keep(named.join(several.drop("_low", "_high"), list(key)), "open")
+
+    def apart(rows: DataFrame, *key: str) -> DataFrame:
+        """Pairs of the rows of one key that are in different components and may be similar by size."""
+        one = lambda node, n, root: rows.select(*key, F.col("node").alias(node), F.col("n").alias(n), F.col("root").alias(root))
+        met = one("a", "n", "r").join(one("b", "m", "s"), list(key)).where((F.col("r") < F.col("s")) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")))
+        return met.select("a", "b")
+
+    # 1. SimHash links: of a fingerprint's sets, all are compared with the smallest, and the smallest of linked ones.
+    faces = keep(marked.where("n > 0").select("fp", "node").distinct(), "faces")
+    firsts = keep(faces.groupBy("fp").agg(F.min("node").alias("leader")), "prints")
+    linked = op8_simhash.links(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), F.col("leader").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("leader").alias("y")), "b")
+    parts = check(faces.join(firsts, "fp").select(F.col("node").alias("a"), F.col("leader").alias("b")).unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    # 2. Keys of minima.
     cut = prints.where("n > 0").select("node", "n", F.posexplode("keys").alias("band", "key"))
-    sizes = cut.groupBy("band", "key").agg(F.count("*").alias("held"), F.min("node").alias("leader")).where("held > 1")
-    shared = keep(cut.join(sizes, ["band", "key"]), "bands")
-    alike = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")
-
-    def side(rows, node, n, *more):
-        return rows.select("band", "key", F.col("node").alias(node), F.col("n").alias(n), *more)
-
-    def similar(pairs):
-        """The (a, b) of ``pairs`` whose sets are similar."""
-        pairs = keep(pairs.distinct(), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = keep(_sets(docs, prints.join(ends, "node").select("node", "row"), words), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        common = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
-        return keep(common.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b"), "similar")
-
-    few, many = shared.where(F.col("held") <= crowd), shared.where(F.col("held") > crowd)
-    pairs = side(few, "a", "n").join(side(few, "b", "m"), ["band", "key"]).where((F.col("a") < F.col("b")) & alike).select("a", "b")
-    edges = similar(pairs.unionByName(many.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))))
-    parts = keep(components(edges), "parts")
-    rooted = many.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = rooted.groupBy("band", "key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("band", "key")
-    left = keep(rooted.join(open_keys, ["band", "key"]).select("band", "key", "node", "n", "root"), "open")
+    shared = keep(cut.join(cut.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1").drop("held"), ["band", "key"]), "bands")
+    left = rooted(shared, parts, "band", "key")
+    if left.limit(1).count():
+        parts = check(left.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        left = rooted(left.select("band", "key", "node", "n"), parts, "band", "key")
+    if left.where(F.col("held") <= crowd).limit(1).count():
+        parts = check(apart(left.where(F.col("held") <= crowd), "band", "key"))
+    # 3. Crowded keys that are still open: prefixes of rare shingles.
+    left = left.where(F.col("held") > crowd).select("band", "key", "node", "n")
     if left.limit(1).count():
-        others = side(left, "a", "n", F.col("root").alias("r")).join(side(left, "b", "m", F.col("root").alias("s")), ["band", "key"])
-        more = similar(others.where((F.col("r") < F.col("s")) & alike).select("a", "b"))
-        parts = keep(components(edges.unionByName(more)), "parts")
+        crowds = keep(rooted(left, parts, "band", "key").select("node", "n").distinct(), "crowds")
+        sets = keep(_sets(docs, prints.select("node", "row").join(crowds, "node").select("node", "row"), words), "sets")
+        words_of = sets.select("node", F.explode("hashes").alias("shingle"))
+        often = keep(words_of.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "often")
+        seen = words_of.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("s"))  # a text's own shingles
+        # Shingles of one text only come first; what is left of the prefix is taken from the others.
+        first = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1 - (F.col("n") - F.size("s")))
+        prefix = seen.join(crowds, "node").select("node", "n", F.explode(F.slice("s", F.lit(1), first)).alias("e")).select("node", "n", "e.shingle")
+        parts = check(apart(rooted(prefix, parts, "shingle"), "shingle"))
     named = keep(prints.select("node").join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "named")
     return marked.select("row", "node").join(named, "node")  # both read from written tables: AQE can split a set with many copies

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm.common import by_bytes, table
+from docketry.llm.common import arrived, by_bytes, shipped, table
 from docketry.llm.license_notices import NOTICES
 
 SAMPLE_DOCS = 1_500  # corpus documents whose paragraphs teach the unknown class
@@ -209,13 +209,13 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     """One row per paragraph with a licence: doc_id, row, paragraph (from 0), start, end
     (characters), family, probability, match, confirmed. ``row`` numbers the input rows
     and is only for joining; null texts have no paragraph; other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def find(batches):
         import pyarrow as pa
 
-        model = shared.value
+        model = arrived(shared)
         for batch in by_bytes(batches, "_text"):
             owner, rows = [], []
             for n, text in enumerate(batch.column("_text").to_pylist()):

@@ -18,7 +18,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docketry.llm.common import by_bytes, table
+from docketry.llm.common import arrived, by_bytes, shipped, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 3_000
@@ -284,20 +284,20 @@ def added_spans(graph: Graph, model: Field, texts) -> dict[int, list[tuple[str,
 def find(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
     """Add ``entities``: array of (kind, start, end, base) by kind, then start, in code
     points, ends exclusive. Null texts have none. All columns of ``docs`` stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     @F.pandas_udf(ENTITIES)
     def entities(texts):
         import pandas as pd
 
-        out = []
+        out, field = [], arrived(shared)
         for at in range(0, len(texts), 500):
             some = [t or "" for t in texts.iloc[at:at + 500]]
             base, graph = [base_spans(t) for t in some], Graph()
             for n, (text, spans) in enumerate(zip(some, base)):
                 if spans:  # without a base span nothing can be added
                     graph.add(n, text, spans)
-            more = added_spans(graph, shared.value, some)
+            more = added_spans(graph, field, some)
             for n, spans in enumerate(base):
                 rows = [(KINDS.index(kind), a, b, True) for kind, a, b in spans] + [(KINDS.index(kind), a, b, False) for kind, a, b in more.get(n, ())]
                 out.append([{"kind": KINDS[k], "start": a, "end": b, "base": is_base} for k, a, b, is_base in sorted(rows)])

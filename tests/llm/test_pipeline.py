@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from docketry.llm import op6_pii, op10_mixing, stages
 from docketry.llm.common import table
-from test_copies import roots, simhash
+from test_near_copies import brute
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -29,8 +29,7 @@ def test_stages_follow_each_other(spark):
     assert all(seen[n].columns == docs.columns for n in list(seen)[:4])
     first = {r.doc_id: r for r in seen["language_id"].collect()}
     assert set(first) == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
-    prints = {i: simhash(r.text) for i, r in first.items()}
-    want = roots(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    want = brute({i: r.text for i, r in first.items()})
     second = {r.doc_id: r for r in seen["simhash_near_dedup"].collect()}
     assert set(second) == set(want.values()) and all(second[i] == first[i] for i in second)
     third = {r.doc_id: r for r in seen["personal_data"].collect()}
@@ -52,3 +51,27 @@ def test_stages_take_odd_rows(spark):
     clean = {r.doc_id: r for r in seen["personal_data"].collect()}
     assert clean[5].text == "mail me at [EMAIL] or [PHONE] please do" and clean[7].text == ODD[-1][1]
     assert all(s.count() == 0 for s in run(spark, spark.createDataFrame([], SCHEMA)).values())
+
+
+def test_rows_are_numbered_without_another_copy(spark, tmp_path):
+    rows = [(n % 3, "same text", "en", "s", 9) for n in range(50)]
+    written = str(tmp_path / "docs")
+    spark.createDataFrame(rows, SCHEMA).repartition(7).write.parquet(written)
+    made = []
+    with stages.noting() as made:
+        for docs in (spark.read.parquet(written), spark.createDataFrame(rows, SCHEMA), spark.read.parquet(written).unionByName(spark.read.parquet(written))):
+            one = stages.numbered(docs)
+            assert one.select("row").distinct().count() == docs.count()
+    assert len(made) == 2  # only what is no plain table was written
+
+
+def test_a_stage_releases_what_the_one_before_wrote(spark):
+    import os
+
+    docs = stages.keep(spark.createDataFrame([(n, f"some words of text {n} go here", "en", "s", 9) for n in range(40)], SCHEMA))
+    lazy = stages.near_dedup(spark, docs, "")
+    wrote = list(stages.LEFT)
+    assert wrote and all(os.path.isdir(p) for p in wrote)
+    inner = {os.path.dirname(f) for f in lazy.inputFiles()}
+    stages.personal_data(spark, lazy, "")  # reads some of them still
+    assert {p for p in wrote if os.path.isdir(p)} == {p for p in wrote if any(i.endswith(p) for i in inner)} and lazy.count() == 40
