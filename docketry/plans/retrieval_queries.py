@@ -215,7 +215,7 @@ def learning_export(spark, folder):
 # --- drafts and letters -----------------------------------------------------
 
 _CLAIMS = (r"[0-9]{4,}\s", r"token = ", r"thing(\s+\S+){0,4}\s+(erble|attion|the)", r"nicht(\s+\S+){0,4}\s+(der|die)")
-_CLAIM_SQL = lambda text: " OR ".join(f"regexp_matches({text}, '{p}')" for p in _CLAIMS)
+_CLAIM_SQL = lambda text: "(" + " OR ".join(f"regexp_matches({text}, '{p}')" for p in _CLAIMS) + ")"
 
 
 @query("legal_guard", f"SELECT doc_id, {_CLAIM_SQL('text')} AS claims FROM documents")
