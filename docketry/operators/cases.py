@@ -52,7 +52,7 @@ def project_cases(classification: DataFrame, validation: DataFrame, generations:
                   start_jobs: DataFrame, intake: DataFrame, **priority) -> DataFrame:
     """Current projection of every classified case (one row per case)."""
     c = F.col
-    rev = c("source_case_revision").alias("revision")
+    rev = c("source_case_revision").alias("_rev")  # of the validation: without one, no route, notice or job belongs to the case
     notices = notifications.groupBy("case_id", "source_case_revision").agg(
         F.count_distinct("audience").alias("_notices"), F.count_distinct(F.when(c("generation_status") == "completed", c("audience"))).alias("_done"))
     # The text is rated where it lies; only its priority travels through the joins.
@@ -60,13 +60,13 @@ def project_cases(classification: DataFrame, validation: DataFrame, generations:
     joined = (
         classification.select("case_id", c("status").alias("classification_status"))
         .join(rated, "case_id", "left")
-        .join(validation.select("case_id", c("revision").alias("_rev"), "completion_status", "current_generation_id"), "case_id", "left")
-        .withColumn("revision", F.coalesce("_rev", F.lit(1).cast("bigint"))))
+        .join(validation.select("case_id", c("revision").alias("_rev"), "completion_status", "current_generation_id"), "case_id", "left"))
     joined = join_optional(joined, generations.select("generation_id", "generation_status", "result_status"), "current_generation_id", "case_id", "generation_id")
     joined = (
-        joined.join(routes.select("case_id", rev, "routing_status"), ["case_id", "revision"], "left")
-        .join(notices.select("case_id", rev, "_notices", "_done"), ["case_id", "revision"], "left")
-        .join(start_jobs.select("case_id", rev, "attempt_count"), ["case_id", "revision"], "left"))
+        joined.join(routes.select("case_id", rev, "routing_status"), ["case_id", "_rev"], "left")
+        .join(notices.select("case_id", rev, "_notices", "_done"), ["case_id", "_rev"], "left")
+        .join(start_jobs.select("case_id", rev, "attempt_count"), ["case_id", "_rev"], "left")
+        .withColumn("revision", F.coalesce("_rev", F.lit(1).cast("bigint"))))
     state = derive_state(c("classification_status"), c("completion_status"), c("generation_status"), c("result_status"), c("routing_status"),
                          F.coalesce("_done", F.lit(0)), F.coalesce("_notices", F.lit(0)))
     failed = F.coalesce(c("generation_status") == "failed", F.lit(False))

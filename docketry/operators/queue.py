@@ -115,15 +115,18 @@ def related_cases(cases: DataFrame, identity: str = "identity", text: str = "tex
         asks = frame["asks"].to_numpy()
         left, right = frame[asks].reset_index(drop=True), frame[~asks].reset_index(drop=True)
         right = right.assign(shown=[str(k) for k in right["key"]]).sort_values(["at", "shown"], kind="stable").reset_index(drop=True)
-        words = {w: n for n, w in enumerate(sorted({w for tokens in right["tokens"] for w in tokens}))}
-        holds = np.zeros((len(words), len(right)), dtype=np.float32)
-        for n, tokens in enumerate(right["tokens"]):
-            holds[[words[w] for w in tokens], n] = 1
+        # Postings of the answering side: as large as its tokens, however many words there are.
+        held = np.concatenate([np.asarray(t, dtype=object) for t in right["tokens"]] or [np.array([], dtype=object)])
+        words = pd.Index(pd.unique(held))
+        codes, rows = words.get_indexer(held), np.repeat(np.arange(len(right)), [len(t) for t in right["tokens"]])
+        order = np.argsort(codes, kind="stable")
+        rows, starts = rows[order], np.searchsorted(codes[order], np.arange(len(words) + 1))
         sizes = np.array([len(t) for t in right["tokens"]])
         counts, related = [], []
         for case, place, tokens in zip(left["key"], left["place"], left["tokens"]):
-            found = [words[w] for w in tokens if w in words]
-            both = holds[found].sum(axis=0)
+            found = words.get_indexer(np.asarray(tokens, dtype=object))
+            shared = [rows[starts[w]:starts[w + 1]] for w in found[found >= 0].tolist()]
+            both = np.bincount(np.concatenate(shared), minlength=len(right)) if shared else np.zeros(len(right), dtype=np.int64)
             score = np.where((sizes > 0) & (len(tokens) > 0), np.rint(100.0 * both / np.maximum(len(tokens) + sizes - both, 1)), 0).astype(int)
             seen = (score >= threshold) & (right["key"] != case).to_numpy()
             if pool is not None:

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from docketry.functions.scale import settle, spread_join
 from docketry.functions.text import let, strip, tokenize_tr
 from docketry.sources import fixed
 
@@ -112,12 +113,12 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, stop
                 found, counts = np.unique(known, return_counts=True)
                 damp = k1 * (1 - b + b * batch["len"].iat[row] / average)
                 scores[row] = (counts * (k1 + 1) / (counts + damp)) @ matrix[found]
-            yield _batch_top(scores, batch["chunk_id"].to_numpy(), query_ids, k, positive=True)
+            yield _batch_top(scores, batch["chunk_id"].to_numpy(), query_ids, 2 * k, positive=True)
 
-    partial = tokens.mapInPandas(score, _pair_schema(queries, chunks))
-    best = partial.groupBy("query_id").agg(F.max("score").alias("top"))
-    normal = partial.join(F.broadcast(best), "query_id").select("query_id", "chunk_id", (F.col("score") / F.col("top")).alias("lexical_score"))
-    return top_k(normal, "lexical_score", k)
+    # Every batch is scored once: 2 k per query by raw score, then shares of the best.
+    partial = top_k(tokens.mapInPandas(score, _pair_schema(queries, chunks)), "score", 2 * k)
+    share = F.col("score") / F.max("score").over(W.partitionBy("query_id"))
+    return top_k(partial.select("query_id", "chunk_id", share.alias("lexical_score")), "lexical_score", k)
 
 
 # --- dense ------------------------------------------------------------------
@@ -242,69 +243,207 @@ def retrieval_context(fused: DataFrame, top: int = fixed.TOP_K, gate: float = fi
     return grouped.withColumn("source_status", F.when(F.size("chunks") > 0, "relevant_source_found").otherwise("no_relevant_source"))
 
 
+def chunk_impacts(corpus: DataFrame, stopwords, charset: str, k1: float, b: float) -> DataFrame:
+    """corpus with ``postings``: array<struct<term, impact>> of every chunk, the BM25 share
+    of one occurrence in a query. Frequencies meet the postings in a salted join, so that a
+    word of every chunk is spread over many tasks."""
+    tokens = corpus.select("chunk_id", "embedding", tokenize_tr(F.col("text"), stopwords, charset).alias("tokens")).withColumn("len", F.size("tokens"))
+    n, average = (tokens.select(e).scalar() for e in (F.count("*"), F.avg("len")))
+    postings = tokens.select("chunk_id", "len", F.explode(term_counts(F.col("tokens"))).alias("t")).select("chunk_id", "len", "t.term", "t.tf")
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    impact = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.when(average > 0, average).otherwise(1.0)))
+    told = spread_join(postings, frequency, ["term"], spread_by="chunk_id", how="inner").select("chunk_id", F.struct("term", impact.alias("impact")).alias("p"))
+    listed = told.groupBy("chunk_id").agg(F.sort_array(F.collect_list("p")).alias("postings"))
+    return corpus.select("chunk_id", "embedding").join(listed, "chunk_id", "left")
+
+
+class _Index:
+    """Vectors and postings of some chunks in id order."""
+
+    def __init__(self, frame: pd.DataFrame, width: int):
+        frame = frame.sort_values("chunk_id")
+        self.ids = frame["chunk_id"].to_numpy()
+        self.known = np.array([v is not None for v in frame["embedding"]], dtype=bool)
+        self.dense = np.zeros((width, len(frame)))
+        for n, v in enumerate(frame["embedding"]):
+            if v is not None:
+                self.dense[:, n] = v
+        lists = [p if p is not None else [] for p in frame["postings"]]
+        rows = np.repeat(np.arange(len(lists)), [len(p) for p in lists])
+        terms = np.array([e["term"] for p in lists for e in p], dtype=object)
+        self.terms = pd.Index(pd.unique(terms))
+        code = self.terms.get_indexer(terms)
+        order = np.argsort(code, kind="stable")
+        self.rows, self.impacts = rows[order], np.array([e["impact"] for p in lists for e in p], dtype=float)[order]
+        self.starts = np.searchsorted(code[order], np.arange(len(self.terms) + 1))
+
+    def dense_of(self, vectors) -> np.ndarray:
+        """Scores of every pair; nan where either has no vector."""
+        out = np.full((len(vectors), len(self.ids)), np.nan)
+        told = [n for n, v in enumerate(vectors) if v is not None]
+        if told and len(self.ids):
+            out[told] = np.where(self.known, np.vstack([vectors.iloc[n] for n in told]).astype(float) @ self.dense, np.nan)
+        return out
+
+    def lexical_of(self, queries) -> np.ndarray:
+        """Unnormalised BM25 of every pair; a word's postings are added in the query's order."""
+        out = np.zeros((len(queries), len(self.ids)))
+        for n, words in enumerate(queries):
+            words = words if words is not None else []
+            codes = self.terms.get_indexer([w["term"] for w in words])
+            for code, word in zip(codes.tolist(), words):
+                if code >= 0:
+                    held = slice(self.starts[code], self.starts[code + 1])
+                    out[n, self.rows[held]] += word["tf"] * self.impacts[held]
+        return out
+
+
+def _before(scores: np.ndarray, ids: np.ndarray, wanted: np.ndarray, wanted_ids: np.ndarray) -> np.ndarray:
+    """How many of ``scores`` (nan: absent) stand before each wanted (score, id); ids ascend."""
+    there = ~np.isnan(scores)
+    order = np.argsort(-scores[there], kind="stable")
+    falling, names = -scores[there][order], ids[there][order]
+    low, high = np.searchsorted(falling, -wanted, "left"), np.searchsorted(falling, -wanted, "right")
+    ties = [int(np.searchsorted(names[a:b], i)) if b > a else 0 for a, b, i in zip(low.tolist(), high.tolist(), wanted_ids)]
+    return low + np.array(ties, dtype=np.int64)
+
+
 def hybrid_retrieve(cases: DataFrame, corpus: DataFrame, top: int = fixed.TOP_K, gate: float = fixed.MIN_SIMILARITY, k: int = fixed.RRF_K,
                     stopwords=fixed.STOPWORDS, charset: str = "a-zçğıöşü0-9", k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
-                    pinned_cells: int = SHIPPED_CELLS) -> DataFrame:
-    """The best ``top`` chunks of a pinned corpus for every case, in one map-only pass.
+                    lexical_weight: float = 1.0, pinned_cells: int = SHIPPED_CELLS) -> DataFrame:
+    """The best ``top`` chunks of a corpus for every case.
 
     cases(query_id, text, embedding), corpus(chunk_id, text, embedding) ->
     (query_id, rank, chunk_id, score, lexical_score, rank_score, evident,
-    source_status). The corpus is measured and shipped as two matrices; each
-    Arrow batch of cases is scored, fused and cut in place, so nothing about the
-    cases is ever shuffled. A corpus beyond the bound takes the scored-pairs way.
+    source_status). A case or chunk without a vector has no dense rank: its dense
+    score is 0 and its words alone count. A pinned corpus is measured and shipped as
+    one index; each Arrow batch of cases is scored, fused and cut in place. Beyond
+    ``pinned_cells`` values the threshold way of ``_fused_by_threshold`` gives the
+    same rows.
     """
-    tokens = corpus.select("chunk_id", "embedding", tokenize_tr(F.col("text"), stopwords, charset).alias("tokens")).withColumn("len", F.size("tokens"))
-    postings = tokens.select("chunk_id", "len", F.explode(term_counts(F.col("tokens"))).alias("t")).select("chunk_id", "len", "t.term", "t.tf")
-    shape = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("a"), F.max(F.size("embedding")).alias("d")).first()
-    vocabulary = postings.agg(F.countDistinct("term")).first()[0]
-    if shape.n * max(vocabulary, shape.d or 1) > pinned_cells:
-        pairs = fuse(dense_scores(cases, corpus), bm25(cases, corpus, stopwords, charset, k1, b), k)
-        order = W.partitionBy("query_id").orderBy(F.round("rank_score", 12).desc(), "chunk_id")
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-        best = best.withColumn("evident", (F.col("score") >= gate) | (F.col("lexical_score") >= gate))
-        found = best.groupBy("query_id").agg(F.bool_or("evident").alias("_found"))
-        status = F.when(F.col("_found"), "relevant_source_found").otherwise("no_relevant_source")
-        return best.join(found, "query_id").select("query_id", "rank", "chunk_id", "score", "lexical_score", "rank_score", "evident", status.alias("source_status"))
-    vectors = tokens.select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).toPandas().sort_values("chunk_id")
-    ids = pd.Index(vectors["chunk_id"])
-    dense = np.vstack(vectors["v"].to_list()).T
-    listed = postings.toPandas()
-    terms = pd.Index(sorted(listed["term"].unique()))
-    df = listed.groupby("term")["chunk_id"].count().reindex(terms).to_numpy(dtype=float)
-    idf = np.log(1 + (shape.n - df + 0.5) / (df + 0.5))
-    row, column, tf = terms.get_indexer(listed["term"]), ids.get_indexer(listed["chunk_id"]), listed["tf"].to_numpy()
-    weights = np.zeros((len(terms), len(ids)))
-    weights[row, column] = idf[row] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * listed["len"].to_numpy() / (shape.a or 1.0)))
-
-    def positions(scores: np.ndarray) -> np.ndarray:
-        """1-based rank of every column per row; columns are in id order, so ties are stable."""
-        order = np.argsort(-np.round(scores, RANK_DIGITS), axis=1, kind="stable")
-        ranks = np.empty_like(order)
-        np.put_along_axis(ranks, order, np.arange(1, order.shape[1] + 1)[None, :], axis=1)
-        return ranks
-
-    def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lexical = np.vstack([weights[known].sum(axis=0) for known in _term_codes(terms, batch["tokens"])])
-            best = lexical.max(axis=1, keepdims=True)
-            lexical = np.divide(lexical, best, out=np.zeros_like(lexical), where=best > 0)
-            scores = np.vstack(batch["embedding"].to_list()).astype(float) @ dense
-            fused = 1.0 / (k + positions(scores)) + np.where(lexical > 0, 1.0 / (k + positions(lexical)), 0.0)
-            picked = np.argsort(-np.round(fused, 12), axis=1, kind="stable")[:, :top]
-            take = lambda m: np.take_along_axis(m, picked, axis=1)
-            evident = (take(scores) >= gate) | (take(lexical) >= gate)
-            width = picked.shape[1]
-            yield pd.DataFrame({
-                "query_id": np.repeat(batch["query_id"].to_numpy(), width), "rank": np.tile(np.arange(1, width + 1), len(batch)),
-                "chunk_id": ids.to_numpy()[picked].ravel(), "score": take(scores).ravel(), "lexical_score": take(lexical).ravel(), "rank_score": take(fused).ravel(),
-                "evident": evident.ravel(),
-                "source_status": np.repeat(np.where(evident.any(axis=1), "relevant_source_found", "no_relevant_source"), width)})
-
-    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
-    schema = (f"query_id {kind(cases, 'query_id')}, rank int, chunk_id {kind(corpus, 'chunk_id')}, score double, lexical_score double, rank_score double, "
-              "evident boolean, source_status string")
-    words = cases.select("query_id", "embedding", tokenize_tr(F.col("text"), stopwords, charset).alias("tokens"))
-    return words.mapInPandas(retrieve, schema)
+    indexed = settle(chunk_impacts(corpus, stopwords, charset, k1, b))
+    words = cases.select("query_id", "embedding", term_counts(tokenize_tr(F.col("text"), stopwords, charset)).alias("terms"))
+    shape = indexed.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.sum(F.coalesce(F.size("postings"), F.lit(0))).alias("p")).first()
+    width = max(shape.d or 0, 1)
+    if shape.n * width + (shape.p or 0) > pinned_cells:
+        best = _fused_by_threshold(words, indexed, top, k, width, pinned_cells)
+    else:
+        index = _Index(indexed.toPandas(), width)
+
+        def positions(scores: np.ndarray) -> np.ndarray:
+            """1-based rank of every column per row; columns are in id order, so ties are stable."""
+            order = np.argsort(-np.nan_to_num(scores, nan=-np.inf), axis=1, kind="stable")
+            ranks = np.empty_like(order)
+            np.put_along_axis(ranks, order, np.arange(1, order.shape[1] + 1)[None, :], axis=1)
+            return ranks
+
+        def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                dense, lexical = index.dense_of(batch["embedding"]), index.lexical_of(batch["terms"])
+                most = lexical.max(axis=1, keepdims=True, initial=0.0)
+                lexical = np.divide(lexical, most, out=np.zeros_like(lexical), where=most > 0)
+                fused = np.where(np.isnan(dense), 0.0, 1.0 / (k + positions(np.round(dense, RANK_DIGITS)))) + np.where(
+                    lexical > 0, 1.0 / (k + positions(np.round(lexical, RANK_DIGITS))), 0.0)
+                picked = np.argsort(-np.round(fused, 12), axis=1, kind="stable")[:, :top]
+                take = lambda m: np.take_along_axis(m, picked, axis=1).ravel()
+                width = picked.shape[1]
+                yield pd.DataFrame({
+                    "query_id": np.repeat(batch["query_id"].to_numpy(), width), "rank": np.tile(np.arange(1, width + 1), len(batch)), "chunk_id": pd.Series(index.ids[picked].ravel(), dtype=object),
+                    "score": take(np.nan_to_num(dense)), "lexical_score": take(lexical), "rank_score": take(fused)})
+
+        best = words.mapInPandas(retrieve, f"{_ids(words, indexed)}, rank int, score double, lexical_score double, rank_score double")
+    best = best.withColumn("lexical_score", F.col("lexical_score") * lexical_weight).withColumn("evident", (F.col("score") >= gate) | (F.col("lexical_score") >= gate))
+    found = F.bool_or("evident").over(W.partitionBy("query_id"))  # ``top`` rows of each case
+    status = F.when(found, "relevant_source_found").otherwise("no_relevant_source")
+    return best.select("query_id", "rank", "chunk_id", "score", "lexical_score", "rank_score", "evident", status.alias("source_status"))
+
+
+def _pair_rows(found: list[tuple], *values: str) -> pd.DataFrame:
+    """(query, chunk ids, arrays of values) as rows; ids stay plain objects."""
+    plain = lambda items: pd.Series([i.item() if isinstance(i, np.generic) else i for i in items], dtype=object)
+    out = {"query_id": plain(q for q, ids, *_ in found for _ in ids), "chunk_id": plain(i for _, ids, *_ in found for i in ids)}
+    return pd.DataFrame(out | {v: np.concatenate([f[n + 2] for f in found]) if found else np.zeros(0) for n, v in enumerate(values)})
+
+
+def _ids(queries: DataFrame, chunks: DataFrame) -> str:
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return f"query_id {kind(queries, 'query_id')}, chunk_id {kind(chunks, 'chunk_id')}"
+
+
+def _fused_by_threshold(cases: DataFrame, indexed: DataFrame, top: int, k: int, width: int, cells: int) -> DataFrame:
+    """Fusion over a corpus of any size without a table of pairs.
+
+    The ``top``-th best chunk scores at least 1 / (k + top) where a list is that long, so
+    a chunk behind rank k + 2 * top in both lists cannot enter. First pass: blocks of cases
+    meet blocks of chunks, and each keeps its best of both lists (twice that depth, so that
+    rounding of near ties cannot matter) and its ``top`` smallest ids, which fill up short
+    lists. Second pass: the blocks count what stands before each case's few candidates,
+    which gives the missing ranks exactly.
+    """
+    depth = 2 * (k + 2 * top)
+    size = indexed.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("postings"), F.lit(0))).alias("p")).first()
+    chunk_blocks = min(-(-(size.n * width + (size.p or 0)) // cells), size.n)
+    rows = max(16, cells // max(1, -(-size.n // chunk_blocks)))  # cases of a block: rows x chunks scores at a time
+    case_blocks = -(-cases.count() // min(rows, 2000)) or 1
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    chunks = settle(indexed.withColumn("cb", block("chunk_id", chunk_blocks)))
+    queries = settle(cases.withColumn("qb", block("query_id", case_blocks)))
+    shared = chunks.withColumn("qb", every(case_blocks)).groupBy("qb", "cb")
+    kinds = _ids(cases, indexed)
+
+    def best_of_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return _pair_rows([], "dense", "raw")
+        index, frames = _Index(c, width), []
+        for at in range(0, len(q), 256):
+            some = q.iloc[at:at + 256]
+            dense, raw = index.dense_of(some["embedding"]), index.lexical_of(some["terms"])
+            for n, query in enumerate(some["query_id"]):
+                near = np.argsort(-np.nan_to_num(np.round(dense[n], RANK_DIGITS), nan=-np.inf), kind="stable")[:depth]
+                words = np.argsort(-raw[n], kind="stable")[:depth]
+                picked = np.unique(np.concatenate([near[~np.isnan(dense[n][near])], words[raw[n][words] > 0], np.arange(min(top, len(index.ids)))]))
+                frames.append((query, index.ids[picked], dense[n][picked], raw[n][picked]))
+        return _pair_rows(frames, "dense", "raw")
+
+    met = queries.withColumn("cb", every(chunk_blocks)).groupBy("qb", "cb").cogroup(shared).applyInPandas(best_of_block, f"{kinds}, dense double, raw double")
+    met = met.withColumn("dense", F.when(~F.isnan("dense"), F.col("dense")))
+    place = lambda *order: F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    met = (met.withColumn("_d", place(F.round("dense", RANK_DIGITS).desc_nulls_last(), "chunk_id")).withColumn("_l", place(F.desc("raw"), "chunk_id")).withColumn("_i", place("chunk_id"))
+           .withColumn("most", F.max("raw").over(W.partitionBy("query_id"))))
+    kept = met.where((F.col("dense").isNotNull() & (F.col("_d") <= depth)) | ((F.col("raw") > 0) & (F.col("_l") <= depth)) | (F.col("_i") <= top))
+    lexical = F.when(F.col("most") > 0, F.col("raw") / F.col("most")).otherwise(0.0)
+    kept = settle(kept.select("query_id", "chunk_id", "dense", lexical.alias("lexical"), "most"))
+    asked = kept.groupBy("query_id").agg(F.first("most").alias("most"), F.collect_list(F.struct("chunk_id", "dense", "lexical")).alias("candidates"))
+
+    def count_before(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return _pair_rows([], "nd", "nl")
+        index, frames = _Index(c, width), []
+        for at in range(0, len(q), 256):
+            some = q.iloc[at:at + 256]
+            dense, raw = np.round(index.dense_of(some["embedding"]), RANK_DIGITS), index.lexical_of(some["terms"])
+            for n, (query, most, listed) in enumerate(zip(some["query_id"], some["most"], some["candidates"])):
+                ids = np.array([e["chunk_id"] for e in listed], dtype=index.ids.dtype)
+                told = lambda name: np.round(np.array([np.nan if e[name] is None else e[name] for e in listed], dtype=float), RANK_DIGITS)
+                near, words = told("dense"), told("lexical")
+                nd, nl = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+                has = ~np.isnan(near)
+                nd[has] = _before(dense[n], index.ids, near[has], ids[has])
+                if most > 0:
+                    nl = _before(np.round(raw[n] / most, RANK_DIGITS), index.ids, words, ids)
+                frames.append((query, ids, nd, nl))
+        return _pair_rows(frames, "nd", "nl")
+
+    ready = queries.join(asked, "query_id").withColumn("cb", every(chunk_blocks)).groupBy("qb", "cb")
+    counted = ready.cogroup(shared).applyInPandas(count_before, f"{kinds}, nd long, nl long").groupBy("query_id", "chunk_id").agg(F.sum("nd").alias("nd"), F.sum("nl").alias("nl"))
+    dense_part = F.when(F.col("dense").isNotNull(), 1.0 / (k + F.col("nd") + 1)).otherwise(0.0)
+    lexical_part = F.when(F.col("lexical") > 0, 1.0 / (k + F.col("nl") + 1)).otherwise(0.0)
+    fused = kept.join(counted, ["query_id", "chunk_id"]).withColumn("rank_score", dense_part + lexical_part)
+    order = W.partitionBy("query_id").orderBy(F.round("rank_score", 12).desc(), "chunk_id")
+    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
+        "query_id", "rank", "chunk_id", F.coalesce("dense", F.lit(0.0)).alias("score"), F.col("lexical").alias("lexical_score"), "rank_score")
 
 
 def retrieval_query(unit_label: Column, request_type: Column, values: Column, document: Column, maximum: int | None = None) -> Column:

@@ -53,6 +53,8 @@ def case_tables(spark, folder):
             F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (k() % 3).cast("int")).alias("regulation_suggestions"), F.col("o_orderdate").alias("created_at")),
         "routes": routes.select(case, rev.alias("source_case_revision"), text("rt").alias("routing_id"), F.when(k() % 4 == 2, "fallback").otherwise("classified").alias("route_kind"), F.lit("routed").alias("routing_status"),
                                 F.lit("r0").alias("target_department_id"), F.concat(F.lit("u"), (k() % 5).cast("string")).alias("target_unit_id"), F.concat(F.lit("Unit "), (k() % 5).cast("string")).alias("target_unit_label")),
+        # Routes of cases without a validation: they belong to no revision of the case.
+        "stray_routes": base.where((k() % 10 == 9) & (k() % 3 == 0)).select(case, F.lit(1).cast("long").alias("source_case_revision"), F.lit("routed").alias("routing_status")),
         "notifications": routes.select(case, rev.alias("source_case_revision"), text("rt").alias("routing_id"), F.explode(F.array(F.lit("applicant"), F.lit("target_unit"))).alias("audience")).withColumn(
             "generation_status", F.when((F.col("case_id") % 8 == 3) & (F.col("audience") == "target_unit"), "queued").otherwise("completed")),
         "start_jobs": base.where((k() % 10 != 9) & (k() % 7 > 1)).select(case, rev.alias("source_case_revision"), (F.floor(k() / 6) % 6).alias("attempt_count")),
@@ -63,7 +65,9 @@ def case_tables(spark, folder):
 
 
 def projected(t):
-    return C.project_cases(t["classification"], t["validation"], t["generations"], t["routes"], t["notifications"], t["start_jobs"], t["intake"], rules=_PRIORITY)
+    routes = t["routes"].select("case_id", "source_case_revision", "routing_status")
+    routes = routes.unionByName(t["stray_routes"]) if "stray_routes" in t else routes
+    return C.project_cases(t["classification"], t["validation"], t["generations"], routes, t["notifications"], t["start_jobs"], t["intake"], rules=_PRIORITY)
 
 
 _T = """o AS (SELECT o_orderkey AS k, o_orderstatus AS os, o_orderpriority AS op, o_orderdate AS od, c_name, c_nationkey AS nk FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -169,15 +173,15 @@ def automation_rate(spark, folder):
 
 
 @query("related_cases", r"""
-WITH d AS (SELECT doc_id, lang || '/' || source AS who, list_distinct(regexp_extract_all(translate(lower(text), 'ığüşöç', 'igusoc'), '[a-z0-9]{3,}')) AS ts FROM documents),
+WITH d AS (SELECT doc_id, lang AS who, list_distinct(regexp_extract_all(translate(lower(text), 'ığüşöç', 'igusoc'), '[a-z0-9]{3,}')) AS ts FROM documents),
 x AS (SELECT a.doc_id, b.doc_id AS other, CASE WHEN len(a.ts) = 0 OR len(b.ts) = 0 THEN 0 ELSE CAST(round_even(100.0::DOUBLE * len(list_intersect(a.ts, b.ts)) / len(list_distinct(a.ts || b.ts)), 0) AS INTEGER) END AS s
   FROM d a JOIN d b ON a.who = b.who AND a.doc_id <> b.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, other) AS p FROM x WHERE s >= 20)
 SELECT d.doc_id AS case_id, CAST(count(r.other) AS BIGINT) AS similar_count, coalesce(string_agg(other || ':' || s, ',' ORDER BY p) FILTER (WHERE p <= 5), '') AS related FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY 1""")
 def related_cases(spark, folder):
-    """History of every document among all others of its language and source."""
+    """History of every document among all others of its language."""
     cases = table(spark, folder, "documents", spread="doc_id").select(
-        F.col("doc_id").alias("case_id"), F.concat_ws("/", "lang", "source").alias("identity"), F.col("doc_id").alias("created_at"), "text")
+        F.col("doc_id").alias("case_id"), F.col("lang").alias("identity"), F.col("doc_id").alias("created_at"), "text")
     out = Q.related_cases(cases)
     return out.select("case_id", F.col("similar_count").cast("bigint").alias("similar_count"),
                       F.array_join(F.transform("related", lambda m: F.concat_ws(":", m["case_id"], m["score"].cast("string"))), ",").alias("related"))

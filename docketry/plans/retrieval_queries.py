@@ -55,22 +55,22 @@ def dense_topk(spark, folder):
 
 
 def _cases_and_corpus(spark, folder):
-    """Documents with a vector are the cases; benchmark items with one are the pinned corpus."""
+    """Documents are the cases, benchmark items the corpus; both with their vector, if there is one."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    cases = table(spark, folder, "documents", spread="doc_id").select(F.col("doc_id").alias("vec_id"), "text").join(vectors, "vec_id").withColumnRenamed("vec_id", "query_id")
-    corpus = table(spark, folder, "benchmark").select(F.col("item_id").alias("vec_id"), "text").join(vectors, "vec_id").withColumnRenamed("vec_id", "chunk_id")
+    cases = table(spark, folder, "documents", spread="doc_id").select(F.col("doc_id").alias("vec_id"), "text").join(vectors, "vec_id", "left").withColumnRenamed("vec_id", "query_id")
+    corpus = table(spark, folder, "benchmark").select(F.col("item_id").alias("vec_id"), "text").join(vectors, "vec_id", "left").withColumnRenamed("vec_id", "chunk_id")
     return cases, corpus
 
 
 _GATE = 0.35
 _FUSED = f"""
-q AS (SELECT doc_id AS qid, text, embedding AS v FROM documents JOIN embeddings ON vec_id = doc_id),
-c AS (SELECT item_id AS cid, text, embedding AS v FROM benchmark JOIN embeddings ON vec_id = item_id), {_bm25_sql('q', 'c')},
+q AS (SELECT doc_id AS qid, text, embedding AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+c AS (SELECT item_id AS cid, text, embedding AS v FROM benchmark LEFT JOIN embeddings ON vec_id = item_id), {_bm25_sql('q', 'c')},
 lex AS (SELECT qid, cid, s / max(s) OVER (PARTITION BY qid) AS l FROM raw),
 p AS (SELECT qid, c.cid, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS d FROM q CROSS JOIN c),
 b AS (SELECT p.*, coalesce(l, 0) AS l FROM p LEFT JOIN lex USING (qid, cid)),
-k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9) DESC, cid) AS rd, row_number() OVER (PARTITION BY qid ORDER BY round(l, 9) DESC, cid) AS rl FROM b),
-f AS (SELECT *, 1.0::DOUBLE / (60 + rd) + CASE WHEN l > 0 THEN 1.0::DOUBLE / (60 + rl) ELSE 0 END AS rs FROM k),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9) DESC NULLS LAST, cid) AS rd, row_number() OVER (PARTITION BY qid ORDER BY round(l, 9) DESC, cid) AS rl FROM b),
+f AS (SELECT * REPLACE (coalesce(d, 0.0) AS d), CASE WHEN d IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + rd) END + CASE WHEN l > 0 THEN 1.0::DOUBLE / (60 + rl) ELSE 0 END AS rs FROM k),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rs, 12) DESC, cid) AS rank FROM f)"""
 
 
@@ -91,10 +91,10 @@ WITH {_FUSED.replace("PARTITION BY qid) AS l FROM raw", "PARTITION BY qid) * 0.5
 SELECT qid AS query_id, CASE WHEN bool_or(ev) THEN 'relevant_source_found' ELSE 'no_relevant_source' END AS source_status,
   coalesce(string_agg(CAST(cid AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE ev), '') AS kept FROM e GROUP BY 1""")
 def evidence_gate(spark, folder):
-    """Scored pairs -> fusion -> top five -> evidence gate, as DataFrame steps (lexical evidence halved)."""
+    """Fusion -> top five -> evidence gate over every document (lexical evidence halved)."""
     cases, corpus = _cases_and_corpus(spark, folder)
-    lexical = R.bm25(cases, corpus, B.STOPWORDS, B.CHARSET).withColumn("lexical_score", F.col("lexical_score") * 0.5)
-    context = R.retrieval_context(R.fuse(R.dense_scores(cases, corpus), lexical), 5, _GATE)
+    found = R.hybrid_retrieve(cases, corpus, 5, _GATE, stopwords=B.STOPWORDS, charset=B.CHARSET, lexical_weight=0.5)
+    context = R.retrieval_context(found.drop("rank"), 5, _GATE)
     return context.select("query_id", "source_status", F.array_join(F.transform("chunks", lambda c: c["chunk_id"].cast("string")), ",").alias("kept"))
 
 

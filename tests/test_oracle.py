@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SMOKE = ("keyword_classify", "signal_classify", "intake_outcomes", "rule_analysis", "field_evaluate", "supplement_outcomes", "bm25_topk", "evidence_gate",
          "pii_residual", "chunk_documents", "routes_created", "staff_choice", "case_changes", "case_status", "related_cases",
-         "draft_repairs", "policy_redaction", "event_log", "document_records", "admin_view", "hybrid_retrieve")
+         "draft_repairs", "draft_checks", "case_states", "citations", "policy_redaction", "event_log", "document_records", "admin_view", "hybrid_retrieve")
 CHOSEN = sorted(SQL) if os.environ.get("DOCKETRY_ALL") else SMOKE
 
 
@@ -58,3 +58,11 @@ def test_every_query_without_sql_is_known():
 
 def test_names():
     assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
+
+
+def test_claim_patterns_bind_together(duck):
+    """A joined condition in front of the claim patterns holds for all of them."""
+    from docketry.plans.retrieval_queries import _CLAIM_SQL
+
+    for text in ("the token = 5", "Year 12345 x", "nothing"):
+        assert duck.execute(f"SELECT FALSE AND {_CLAIM_SQL('$1')}", [text]).fetchone() == (False,)

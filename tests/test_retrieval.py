@@ -65,6 +65,29 @@ def test_hybrid_ways_agree(frame):
         assert context[query] == (rows[0][5], [row[2] for row in rows if row[4]])
 
 
+def test_threshold_fusion_equals_all_pairs(frame):
+    """Cases and chunks without a vector or words, more chunks than the lists are deep, ties by copies."""
+    rng = np.random.default_rng(9)
+    unit = lambda: [float(x) for x in (lambda v: v / np.linalg.norm(v))(rng.normal(size=4))]
+    words = [f"w{n}" for n in range(40)]
+    text = lambda: " ".join(rng.choice(words, size=int(rng.integers(0, 9))))
+    chunks = [(n, text(), unit() if n % 7 else None) for n in range(400)]
+    chunks += [(400 + n, chunks[n][1], chunks[n][2]) for n in range(60)]
+    cases = [(n, text() if n % 6 else None, unit() if n % 4 else None) for n in range(25)]
+    q, c = frame(cases, "query_id int, text string, embedding array<double>"), frame(chunks, "chunk_id int, text string, embedding array<double>")
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9), round(r.lexical_score, 9), round(r.rank_score, 12), r.evident) for r in df.collect())
+    pinned = key(R.hybrid_retrieve(q, c, top=2, k=5))
+    assert len(pinned) == 50 and pinned == key(R.hybrid_retrieve(q, c, top=2, k=5, pinned_cells=900))
+    lexical = {k: v for k, v in expected_bm25([(i, t or "", None) for i, t, _ in cases], [(i, t, None) for i, t, _ in chunks]).items()}
+    for query, _, vector in cases:
+        near = {i: round(float(np.dot(vector, v)), 9) for i, _, v in chunks if vector and v}
+        said = {i: round(lexical[query, i], 9) for i, *_ in chunks if (query, i) in lexical}
+        place = lambda d: {i: n + 1 for n, i in enumerate(sorted(d, key=lambda i: (-d[i], i)))}
+        rd, rl = place(near), place(said)
+        fused = {i: (1 / (5 + rd[i]) if i in rd else 0) + (1 / (5 + rl[i]) if i in rl else 0) for i, *_ in chunks}
+        assert [r[2] for r in pinned if r[0] == query] == sorted(fused, key=lambda i: (-round(fused[i], 12), i))[:2]
+
+
 def test_gate_applies_after_the_cut(frame):
     rows = [(1, f"c{n}", score, lexical, rank) for n, (score, lexical, rank) in enumerate([(.1, .0, .9), (.2, .0, .8), (.60, .0, .7), (.599999, .0, .6), (.3, .6, .5), (.99, .99, .1)])]
     got = R.retrieval_context(frame(rows, "query_id int, chunk_id string, score double, lexical_score double, rank_score double")).first()
