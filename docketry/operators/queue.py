@@ -79,7 +79,8 @@ def similarity_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_fold(text), F.lit("[a-z0-9]{3,}"), F.lit(0)))
 
 
-RELATED_BLOCK = 256
+RELATED_BLOCK = 512
+RELATED_WORDS = 8192  # words of one product
 
 
 def related_cases(cases: DataFrame, identity: str = "identity", text: str = "text", created: str = "created_at", key: str = "case_id", pool: int | None = None,
@@ -115,26 +116,35 @@ def related_cases(cases: DataFrame, identity: str = "identity", text: str = "tex
         asks = frame["asks"].to_numpy()
         left, right = frame[asks].reset_index(drop=True), frame[~asks].reset_index(drop=True)
         right = right.assign(shown=[str(k) for k in right["key"]]).sort_values(["at", "shown"], kind="stable").reset_index(drop=True)
-        # Postings of the answering side: as large as its tokens, however many words there are.
-        held = np.concatenate([np.asarray(t, dtype=object) for t in right["tokens"]] or [np.array([], dtype=object)])
-        words = pd.Index(pd.unique(held))
-        codes, rows = words.get_indexer(held), np.repeat(np.arange(len(right)), [len(t) for t in right["tokens"]])
-        order = np.argsort(codes, kind="stable")
-        rows, starts = rows[order], np.searchsorted(codes[order], np.arange(len(words) + 1))
-        sizes = np.array([len(t) for t in right["tokens"]])
-        counts, related = [], []
-        for case, place, tokens in zip(left["key"], left["place"], left["tokens"]):
-            found = words.get_indexer(np.asarray(tokens, dtype=object))
-            shared = [rows[starts[w]:starts[w + 1]] for w in found[found >= 0].tolist()]
-            both = np.bincount(np.concatenate(shared), minlength=len(right)) if shared else np.zeros(len(right), dtype=np.int64)
-            score = np.where((sizes > 0) & (len(tokens) > 0), np.rint(100.0 * both / np.maximum(len(tokens) + sizes - both, 1)), 0).astype(int)
-            seen = (score >= threshold) & (right["key"] != case).to_numpy()
-            if pool is not None:
-                seen &= (right["place"] <= pool + (place <= pool)).to_numpy()
-            counts.append(int(seen.sum()))
-            picked = np.flatnonzero(seen)
-            picked = picked[np.argsort(-score[picked], kind="stable")][:limit]
-            related.append([{"score": -int(score[p]), "at": right["at"].iloc[p], "case_id": right["shown"].iloc[p]} for p in picked])
+        sizes, own = (np.array([len(t) for t in frame["tokens"]], dtype=np.int64) for frame in (right, left))
+        flat = lambda frame: np.concatenate([np.asarray(t, dtype=object) for t in frame["tokens"]] or [np.array([], dtype=object)])
+        words = pd.Index(pd.unique(flat(right)))
+
+        def places(frame: pd.DataFrame, lengths: np.ndarray):
+            """Word and row of every token, by word."""
+            codes = words.get_indexer(flat(frame))
+            order = np.argsort(codes, kind="stable")
+            return codes[order], np.repeat(np.arange(len(frame)), lengths)[order]
+
+        # Common words are counted by products over a slice of words at a time, however many there are.
+        (asked, askers), (held, holders) = places(left, own), places(right, sizes)
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        for at in range(0, len(words), RELATED_WORDS):
+            one, two = (slice(*np.searchsorted(codes, (at, at + RELATED_WORDS))) for codes in (asked, held))
+            ask, hold = np.zeros((len(left), RELATED_WORDS), dtype=np.float32), np.zeros((RELATED_WORDS, len(right)), dtype=np.float32)
+            ask[askers[one], asked[one] - at] = 1
+            hold[held[two] - at, holders[two]] = 1
+            both += ask @ hold
+        both = both.astype(np.float64)
+        score = np.where((sizes[None, :] > 0) & (own[:, None] > 0), np.rint(100.0 * both / np.maximum(own[:, None] + sizes[None, :] - both, 1)), 0).astype(int)
+        seen = (score >= threshold) & (left["key"].to_numpy()[:, None] != right["key"].to_numpy()[None, :])
+        if pool is not None:
+            seen &= right["place"].to_numpy(dtype=float)[None, :] <= pool + (left["place"].to_numpy(dtype=float) <= pool)[:, None]
+        counts, related = seen.sum(axis=1).tolist(), []
+        for n in range(len(left)):
+            picked = np.flatnonzero(seen[n])
+            picked = picked[np.argsort(-score[n, picked], kind="stable")][:limit]
+            related.append([{"score": -int(score[n, p]), "at": right["at"].iloc[p], "case_id": right["shown"].iloc[p]} for p in picked])
         return pd.DataFrame({"key": left["key"], "n": counts, "best": related})
 
     when = cases.schema[created].dataType.simpleString()

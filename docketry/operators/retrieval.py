@@ -28,6 +28,8 @@ from docketry.sources import fixed
 
 # Values (queries x width) that may be shipped to every task.
 SHIPPED_CELLS = 20_000_000
+# Impacts (words x chunks) that are laid out as a table.
+TABLE_CELLS = 4_000_000
 RANK_DIGITS = 9
 
 
@@ -277,6 +279,10 @@ class _Index:
         order = np.argsort(code, kind="stable")
         self.rows, self.impacts = rows[order], np.array([e["impact"] for p in lists for e in p], dtype=float)[order]
         self.starts = np.searchsorted(code[order], np.arange(len(self.terms) + 1))
+        self.table = None  # of few words and chunks: all impacts, a row of chunks for each word
+        if len(self.terms) * len(self.ids) <= TABLE_CELLS:
+            self.table = np.zeros((len(self.terms), len(self.ids)))
+            self.table[code[order], self.rows] = self.impacts
 
     def dense_of(self, vectors) -> np.ndarray:
         """Scores of every pair; nan where either has no vector."""
@@ -292,6 +298,10 @@ class _Index:
         for n, words in enumerate(queries):
             words = words if words is not None else []
             codes = self.terms.get_indexer([w["term"] for w in words])
+            if self.table is not None:
+                known = codes >= 0
+                out[n] = (self.table[codes[known]] * np.array([w["tf"] for w in words], dtype=float)[known, None]).sum(axis=0)
+                continue
             for code, word in zip(codes.tolist(), words):
                 if code >= 0:
                     held = slice(self.starts[code], self.starts[code + 1])
