@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from docketry.functions.scale import lookup, ordered_stream, settle
+from docketry.functions.scale import LOOKUP_ROWS, lookup, ordered_stream, settle
 from docketry.functions.text import round_half_even
 
 
@@ -89,31 +89,102 @@ def assignment_rows(chosen: DataFrame, states: DataFrame) -> DataFrame:
                          reason.alias("selection_reason"), status.alias("assignment_status"))
 
 
+# Slices of one unit's arrivals whose rows are numbered by separate tasks.
+ARRIVAL_SLICES = 256
+
+
 def assign_batch(cases: DataFrame, load: DataFrame, topics: DataFrame) -> DataFrame:
     """Assign a batch in arrival order, each pick raising the load the next one sees.
 
-    cases(case_id, seq, unit_id, topic, priority_mode); ids of any simple type. The
-    choice inside a unit is a chain by definition, so units run in parallel and each
-    unit is a sorted stream: a task keeps the unit's members and their topic counts
-    in memory, never the cases. Rows are reduced to narrow columns before the exchange.
+    cases(case_id, seq, unit_id, topic, priority_mode); seq is unique inside a unit,
+    ids are of any simple type. Until its first flagged case a unit's picks follow from
+    the arrival number alone (``_quiet_picks``): these cases are spread over all tasks,
+    whatever the size of their unit. Flagged cases look at
+    totals that every earlier pick may have changed, so from there on the unit is a chain
+    by definition and is folded as a sorted stream: a task keeps the unit's members and
+    their topic counts in memory, never the cases. Cases of a null or empty unit stay unassigned.
     """
     c = F.col
     kind = cases.schema["case_id"].dataType.simpleString()
-    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    members = load.select("unit_id", "staff_id", "open_count", "last_assigned_at")
-    opening = members.select(
-        "unit_id", F.lit(-2).cast("long").alias("seq"), *nothing(kind, "case_id"), *nothing("string", "topic"), F.lit(False).alias("priority_mode"), "staff_id",
-        c("open_count").cast("long").alias("open_count"), c("last_assigned_at").cast("string").alias("last"), *nothing("long", "total", "resolved"))
+    at = F.struct("seq", "case_id")
+    body = cases.select("unit_id", c("seq").cast("long").alias("seq"), "case_id", "topic", "priority_mode")
+    members = load.where(c("unit_id").isNotNull()).select(
+        "unit_id", "staff_id", c("open_count").cast("long").alias("open_count"), c("last_assigned_at").cast("string").alias("last"))
+    record = topics.where("topic_total > 0").join(members.select("unit_id", "staff_id"), "staff_id").select(
+        "unit_id", "staff_id", "topic", c("topic_total").cast("long").alias("total"), c("topic_resolved").cast("long").alias("resolved"))
+
+    # Per unit: where its quiet stretch ends, and cuts for numbering its arrivals in slices.
+    cuts = [n / ARRIVAL_SLICES for n in range(1, ARRIVAL_SLICES)]
+    units = settle(body.groupBy("unit_id").agg(F.min(F.when(c("priority_mode"), at)).alias("stop"), F.percentile_approx("seq", cuts).alias("bounds")))
+    shipped = lookup(units.withColumnRenamed("unit_id", "u"), LOOKUP_ROWS // ARRIVAL_SLICES)
+    split = body.join(shipped, c("unit_id").eqNullSafe(c("u")), "left").withColumn("slice", F.size(F.filter("bounds", lambda b: b < c("seq")))).drop("u", "bounds")
+    quiet = _quiet_picks(split.where(c("stop").isNull() | (at < c("stop"))).drop("stop"), members)
+
+    # What the quiet stretch leaves behind is the opening of the chain; units without a chain are left out.
+    chained = units.where(c("stop").isNotNull()).select("unit_id")
+    left = quiet.where(c("staff_id").isNotNull()).join(lookup(chained), "unit_id", "left_semi").groupBy("unit_id", "staff_id", "topic").agg(F.count("*").alias("n"), F.max("seq").alias("until"))
+    nothing = lambda of, *names: [F.lit(None).cast(of).alias(n) for n in names]
+    picked = left.groupBy("unit_id", "staff_id").agg(F.sum("n").alias("n"), F.max("until").alias("until"))
+    opening = members.join(chained, "unit_id", "left_semi").join(picked, ["unit_id", "staff_id"], "left").select(
+        "unit_id", F.coalesce("until", F.lit(0)).cast("long").alias("seq"), *nothing(kind, "case_id"), *nothing("string", "topic"), c("until").isNotNull().alias("priority_mode"), "staff_id",
+        (c("open_count") + F.coalesce("n", F.lit(0))).alias("open_count"), "last", *nothing("long", "total", "resolved"))
     # A member's topics are rows of their own, so that no value grows with their number.
-    history = topics.join(members.select("unit_id", "staff_id"), "staff_id").select(
+    totals = record.join(chained, "unit_id", "left_semi").unionByName(left.select("unit_id", "staff_id", "topic", c("n").alias("total"), F.lit(0).cast("long").alias("resolved")))
+    history = totals.groupBy("unit_id", "staff_id", "topic").agg(F.sum("total").alias("total"), F.sum("resolved").alias("resolved")).select(
         "unit_id", F.lit(-1).cast("long").alias("seq"), *nothing(kind, "case_id"), "topic", F.lit(False).alias("priority_mode"), "staff_id",
-        *nothing("long", "open_count"), *nothing("string", "last"), c("topic_total").cast("long").alias("total"), c("topic_resolved").cast("long").alias("resolved"))
-    body = cases.select("unit_id", c("seq").cast("long").alias("seq"), "case_id", "topic", "priority_mode",
-                        *nothing("string", "staff_id"), *nothing("long", "open_count"), *nothing("string", "last"), *nothing("long", "total", "resolved"))
+        *nothing("long", "open_count"), *nothing("string", "last"), "total", "resolved")
+    chain = split.where(at >= c("stop")).select("unit_id", "seq", "case_id", "topic", "priority_mode",
+                                                *nothing("string", "staff_id"), *nothing("long", "open_count"), *nothing("string", "last"), *nothing("long", "total", "resolved"))
     # Arrival numbers may be negative; members and history come first all the same.
-    rows = opening.withColumn("kind", F.lit(0)).unionByName(history.withColumn("kind", F.lit(1))).unionByName(body.withColumn("kind", F.lit(2)))
-    return ordered_stream(rows, "unit_id", "kind", "seq", "staff_id").mapInPandas(
-        _fold_units, f"case_id {kind}, seq long, unit_id string, staff_id string, policy string, open_before long")
+    rows = opening.withColumn("kind", F.lit(0)).unionByName(history.withColumn("kind", F.lit(1))).unionByName(chain.withColumn("kind", F.lit(2)))
+    names = f"case_id {kind}, seq long, unit_id string, staff_id string, policy string, open_before long"
+    folded = ordered_stream(rows, "unit_id", "kind", "seq", "staff_id").mapInPandas(_fold_units, names)
+    return quiet.select("case_id", "seq", c("unit_id").cast("string").alias("unit_id"), c("staff_id").cast("string").alias("staff_id"),
+                        F.lit("least_open_assignments").alias("policy"), "open_before").unionByName(folded)
+
+
+def _quiet_picks(cases: DataFrame, members: DataFrame) -> DataFrame:
+    """Cases that go to the least loaded member, one after the other, without a chain.
+
+    Picks fill a unit's loads like water: at level L everybody with at most L open cases
+    is picked once, first those who start at L (by last assignment and id), then the others
+    in the order of the level below. That order is by opening load, highest first; so with
+    members numbered upwards from the lowest load, the picks of a level run downwards
+    from the last number that has reached it. Levels between two opening loads are alike, hence
+    pick number k follows from the stretch of levels it falls into by a division.
+    The stretches of a unit are at most as many as its members.
+    """
+    c = F.col
+    small = members.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    ship = F.broadcast if small else (lambda df: df)
+    from_low = W.partitionBy("unit_id").orderBy("open_count", c("last").desc_nulls_last(), c("staff_id").desc())
+    numbered = members.withColumn("place", F.row_number().over(from_low).cast("long") - 1)
+    levels = W.partitionBy("unit_id").orderBy("open_count")
+    reached = members.groupBy("unit_id", "open_count").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(levels))
+    reached = reached.withColumn("picks", c("n") * (F.lead("open_count").over(levels) - c("open_count")))
+    reached = reached.withColumn("first", F.coalesce(F.sum("picks").over(levels.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    stretches = reached.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("first", "open_count", "n"))).alias("stretches"))
+    ranked = _arrival_numbers(cases)
+    in_force = F.element_at(F.filter("stretches", lambda s: s["first"] <= c("k")), -1)
+    placed = ranked.join(ship(stretches), "unit_id", "left").withColumn("s", F.when(c("stretches").isNotNull(), in_force)).drop("stretches")
+    step = c("k") - c("s.first")
+    placed = placed.withColumn("place", c("s.n") - 1 - step % c("s.n")).withColumn("open_before", F.coalesce(c("s.open_count") + F.expr("(k - s.first) div s.n"), F.lit(0)))
+    return placed.join(ship(numbered.select("unit_id", "place", "staff_id")), ["unit_id", "place"], "left").select(
+        "case_id", "seq", "unit_id", "topic", "staff_id", c("open_before").cast("long").alias("open_before"))
+
+
+def _arrival_numbers(cases: DataFrame) -> DataFrame:
+    """Add k, the number of a case inside its unit from 0, without one task per unit.
+
+    Slices of a unit (cut at approximate quantiles of seq; any cuts give the same numbers)
+    are numbered by themselves and start behind the rows of the slices before.
+    """
+    c = F.col
+    before = W.partitionBy("unit_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    sizes = cases.groupBy("unit_id", "slice").agg(F.count("*").alias("n")).select("unit_id", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(W.partitionBy("unit_id", "slice").orderBy("seq", "case_id")) - 1
+    joined = cases.withColumn("inside", inside).join(sizes.withColumnRenamed("unit_id", "u").withColumnRenamed("slice", "sl"), c("unit_id").eqNullSafe(c("u")) & (c("slice") == c("sl")))
+    return joined.withColumn("k", c("offset") + c("inside")).drop("u", "sl", "slice", "inside", "offset")
 
 
 def _fold_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,8 +205,9 @@ def _fold_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if row.unit_id != unit:
                 unit, pool, idle, skilled = row.unit_id, {}, [], {}
             if row.kind == 0:
-                # A pick of this batch is later than any recorded assignment.
-                pool[row.staff_id] = {"id": row.staff_id, "open": int(row.open_count), "last": (0, "", 0) if row.last is None else (1, row.last, 0), "topics": {}, "turn": 0}
+                # A pick of this batch (marked, with its seq) is later than any recorded assignment.
+                last = (2, "", int(row.seq)) if row.priority_mode else (0, "", 0) if row.last is None else (1, row.last, 0)
+                pool[row.staff_id] = {"id": row.staff_id, "open": int(row.open_count), "last": last, "topics": {}, "turn": 0}
                 wait(pool[row.staff_id])
                 continue
             if row.kind == 1:

@@ -155,7 +155,22 @@ def staff_choice(spark, folder):
     return rows.select("case_id", "staff_id", "display_name", reason("policy"), reason("staff_topic_cases"), reason("staff_topic_resolution_rate"), "assignment_status")
 
 
-@query("assign_batch")
+@query("assign_batch", f"""
+WITH RECURSIVE {_CASES}, {_LOAD},
+cs AS (SELECT k, unit_id, CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'X' END AS topic, k % 4 = 0 AS pri, row_number() OVER (PARTITION BY unit_id ORDER BY k) AS n FROM cases),
+start_ AS (SELECT ld.sid, any_value(unit_id) AS unit_id, any_value(open_count) AS o, any_value(last_at) AS la, coalesce(sum(total) FILTER (WHERE topic = 'A'), 0)::BIGINT AS ta, coalesce(sum(resolved) FILTER (WHERE topic = 'A'), 0)::BIGINT AS ra,
+  coalesce(sum(total) FILTER (WHERE topic = 'N'), 0)::BIGINT AS tn, coalesce(sum(resolved) FILTER (WHERE topic = 'N'), 0)::BIGINT AS rn FROM ld LEFT JOIN tp USING (sid) GROUP BY 1),
+-- One step takes the next case of every unit; a member that was picked waits behind all that were not, lk is the last pick of this batch.
+go AS (
+  SELECT sid, unit_id, o::BIGINT AS o, la, 0::BIGINT AS lk, ta, ra, tn, rn, 0::BIGINT AS tx, 0::BIGINT AS n, NULL::BIGINT AS k, FALSE AS chosen, FALSE AS by_rate FROM start_
+  UNION ALL
+  SELECT sid, unit_id, o + CAST(chosen AS BIGINT), la, CASE WHEN chosen THEN k ELSE lk END, ta + CAST(chosen AND topic = 'A' AS BIGINT), ra, tn + CAST(chosen AND topic = 'N' AS BIGINT), rn, tx + CAST(chosen AND topic = 'X' AS BIGINT), n, k, chosen, by_rate
+  FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY by_rate AND tt = 0, CASE WHEN by_rate THEN -rr / tt END, CASE WHEN by_rate THEN -tt END, o, lk, la NULLS FIRST, sid) = 1 AS chosen
+    FROM (SELECT *, pri AND max(tt) OVER (PARTITION BY unit_id) > 0 AS by_rate
+      FROM (SELECT go.* EXCLUDE (n, k, chosen, by_rate), cs.n, cs.k, cs.topic, cs.pri, CASE cs.topic WHEN 'A' THEN ta WHEN 'N' THEN tn ELSE tx END AS tt, CASE cs.topic WHEN 'A' THEN ra WHEN 'N' THEN rn ELSE 0 END AS rr
+        FROM go JOIN cs ON cs.unit_id = go.unit_id AND cs.n = go.n + 1))))
+SELECT cs.k AS case_id, cs.k AS seq, cs.unit_id, sid AS staff_id, CASE WHEN by_rate THEN 'topic_resolution_rate' ELSE 'least_open_assignments' END AS policy, coalesce(o - 1, 0) AS open_before
+FROM cs LEFT JOIN (SELECT * FROM go WHERE chosen) g ON g.unit_id = cs.unit_id AND g.n = cs.n""")
 def assign_batch(spark, folder):
     """All cases assigned one after the other inside their unit."""
     load, topics = S.staff_load(_staff(spark, folder), _assignments(spark, folder))

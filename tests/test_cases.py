@@ -189,6 +189,39 @@ def test_batch_uses_every_member_of_a_large_unit(frame):
     assert len({v[0] for v in got.values()}) == 35
 
 
+def test_quiet_stretches_fill_loads_like_water(frame):
+    """Units without a flagged case, with a late one, with one whose topic nobody knows yet, and without members."""
+    rng = random.Random(4)
+    units = ["never", "late", "unknown", "flat", "single"]
+    members = [(f"{u}{n:02d}", u, 3 if u == "flat" else rng.choice([0, 0, 2, 5, 9]), rng.choice([None, "2026-01-02", "2026-01-07"])) for u in units for n in range(1 if u == "single" else 7)]
+    history = [("late03", "A", 3, 2, 0.0), ("late04", "A", 0, 0, 0.0), ("flat01", "B", 2, 2, 0.0)]
+    cases = []
+    for n in range(600):
+        u = rng.choice(units + ["empty", None, "never", "never"])
+        flagged = {"late": n > 500 and n % 5 == 0, "unknown": True, "empty": True}.get(u, False)
+        cases.append((f"id-{n}", n - 300, u, ("once" if n > 300 else f"new-{n}") if u == "unknown" else rng.choice(["A", "B", None]), flagged))
+    load = frame(members, "staff_id string, unit_id string, open_count long, last_assigned_at string")
+    topics = frame(history, "staff_id string, topic string, topic_total long, topic_resolved long, resolution_rate double")
+    table = frame(rng.sample(cases, len(cases)), "case_id string, seq long, unit_id string, topic string, priority_mode boolean")
+    got = {r.case_id: (r.staff_id, r.policy, r.open_before) for r in S.assign_batch(table, load, topics).collect()}
+    state = {i: [open_, (0, "") if last is None else (1, last), {}, u] for i, u, open_, last in members}
+    for i, t, total, done, _ in history:
+        state[i][2][t] = [total, done]
+    want = {}
+    for case, seq, unit, topic, flagged in cases:
+        pool = [i for i in state if state[i][3] == unit]
+        idle = lambda i: (state[i][0], state[i][1], i)
+        seen = [i for i in pool if state[i][2].get(topic, [0])[0] > 0] if flagged else []
+        best = min(seen, key=lambda i: (-state[i][2][topic][1] / state[i][2][topic][0], -state[i][2][topic][0], *idle(i))) if seen else min(pool, key=idle, default=None)
+        want[case] = (best, "topic_resolution_rate" if seen else "least_open_assignments", state[best][0] if best else 0)
+        if best:
+            state[best][0] += 1
+            state[best][1] = (2, seq + 1000)
+            state[best][2].setdefault(topic, [0, 0])[0] += 1
+    assert got == want
+    assert sum(v[1] == "topic_resolution_rate" for v in got.values()) > 20
+
+
 def test_unnamed_and_missing_references_are_spread(spark, frame):
     cases = frame([(n, "" if n % 10 else f"p{n % 3}", "t") for n in range(300)], "case_id long, identity string, topic string")
     counted = R.repeat_counts(cases, hot_rows=20)
