@@ -120,19 +120,17 @@ def assign_batch(cases: DataFrame, load: DataFrame, topics: DataFrame) -> DataFr
     split = body.join(shipped, c("unit_id").eqNullSafe(c("u")), "left").withColumn("slice", F.size(F.filter("bounds", lambda b: b < c("seq")))).drop("u", "bounds")
     quiet = _quiet_picks(split.where(c("stop").isNull() | (at < c("stop"))).drop("stop"), members)
 
-    # What the quiet stretch leaves behind is the opening of the chain; units without a chain are left out.
+    # What the quiet stretch leaves behind opens the chain, as further history; units without a chain are left out.
     chained = units.where(c("stop").isNotNull()).select("unit_id")
-    left = quiet.where(c("staff_id").isNotNull()).join(lookup(chained), "unit_id", "left_semi").groupBy("unit_id", "staff_id", "topic").agg(F.count("*").alias("n"), F.max("seq").alias("until"))
+    left = quiet.where(c("staff_id").isNotNull()).join(lookup(chained), "unit_id", "left_semi").groupBy("unit_id", "staff_id", "topic").agg(F.count("*").alias("total"), F.max("seq").alias("seq"))
     nothing = lambda of, *names: [F.lit(None).cast(of).alias(n) for n in names]
-    picked = left.groupBy("unit_id", "staff_id").agg(F.sum("n").alias("n"), F.max("until").alias("until"))
-    opening = members.join(chained, "unit_id", "left_semi").join(picked, ["unit_id", "staff_id"], "left").select(
-        "unit_id", F.coalesce("until", F.lit(0)).cast("long").alias("seq"), *nothing(kind, "case_id"), *nothing("string", "topic"), c("until").isNotNull().alias("priority_mode"), "staff_id",
-        (c("open_count") + F.coalesce("n", F.lit(0))).alias("open_count"), "last", *nothing("long", "total", "resolved"))
+    opening = members.join(chained, "unit_id", "left_semi").select(
+        "unit_id", F.lit(0).cast("long").alias("seq"), *nothing(kind, "case_id"), *nothing("string", "topic"), F.lit(False).alias("priority_mode"), "staff_id",
+        "open_count", "last", *nothing("long", "total", "resolved"))
     # A member's topics are rows of their own, so that no value grows with their number.
-    totals = record.join(chained, "unit_id", "left_semi").unionByName(left.select("unit_id", "staff_id", "topic", c("n").alias("total"), F.lit(0).cast("long").alias("resolved")))
-    history = totals.groupBy("unit_id", "staff_id", "topic").agg(F.sum("total").alias("total"), F.sum("resolved").alias("resolved")).select(
-        "unit_id", F.lit(-1).cast("long").alias("seq"), *nothing(kind, "case_id"), "topic", F.lit(False).alias("priority_mode"), "staff_id",
-        *nothing("long", "open_count"), *nothing("string", "last"), "total", "resolved")
+    told = lambda df, seq, resolved, picked: df.select("unit_id", seq.cast("long").alias("seq"), *nothing(kind, "case_id"), "topic", F.lit(picked).alias("priority_mode"), "staff_id",
+                                                       *nothing("long", "open_count"), *nothing("string", "last"), "total", resolved.cast("long").alias("resolved"))
+    history = told(record.join(chained, "unit_id", "left_semi"), F.lit(0), c("resolved"), False).unionByName(told(left, c("seq"), F.lit(0), True))
     chain = split.where(at >= c("stop")).select("unit_id", "seq", "case_id", "topic", "priority_mode",
                                                 *nothing("string", "staff_id"), *nothing("long", "open_count"), *nothing("string", "last"), *nothing("long", "total", "resolved"))
     # Arrival numbers may be negative; members and history come first all the same.
@@ -205,15 +203,18 @@ def _fold_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if row.unit_id != unit:
                 unit, pool, idle, skilled = row.unit_id, {}, [], {}
             if row.kind == 0:
-                # A pick of this batch (marked, with its seq) is later than any recorded assignment.
-                last = (2, "", int(row.seq)) if row.priority_mode else (0, "", 0) if row.last is None else (1, row.last, 0)
-                pool[row.staff_id] = {"id": row.staff_id, "open": int(row.open_count), "last": last, "topics": {}, "turn": 0}
+                pool[row.staff_id] = {"id": row.staff_id, "open": int(row.open_count), "last": (0, "", 0) if row.last is None else (1, row.last, 0), "topics": {}, "turn": 0}
                 wait(pool[row.staff_id])
                 continue
             if row.kind == 1:
-                if row.total > 0:
-                    pool[row.staff_id]["topics"][row.topic] = [int(row.total), int(row.resolved)]
-                    skilled.setdefault(row.topic, set()).add(row.staff_id)
+                member = pool[row.staff_id]
+                counts = member["topics"].setdefault(row.topic, [0, 0])
+                counts[0], counts[1] = counts[0] + int(row.total), counts[1] + int(row.resolved)
+                skilled.setdefault(row.topic, set()).add(row.staff_id)
+                if row.priority_mode:  # picks of the quiet stretch, the last one at seq: later than any recorded assignment
+                    member["open"] += int(row.total)
+                    member["last"] = max(member["last"], (2, "", int(row.seq)))
+                    wait(member)
                 continue
             seen = [pool[i] for i in skilled.get(row.topic, ())] if row.priority_mode else []
             if seen:
