@@ -73,33 +73,36 @@ class CaseProjector(StatefulProcessor):
 
     A failed draft is retried: each failure arms a cooldown timer, and when the
     timer fires a ``retry`` row asks for the next attempt until the attempts are
-    used up, after which the case is ``failed`` for good.
+    used up, after which the case is ``failed`` for good. Counted failures stay in
+    the state, so one that is delivered again, in whatever trigger, changes nothing.
+    ``remember_ms`` lets the state of a case that long without facts expire.
     """
 
-    def __init__(self, cooldown_ms: int = fixed.RETRY_COOLDOWN_SECONDS * 1000):
+    def __init__(self, cooldown_ms: int = fixed.RETRY_COOLDOWN_SECONDS * 1000, remember_ms: int | None = None):
         self.cooldown_ms = cooldown_ms
+        self.remember_ms = remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.facts = handle.getValueState("facts", "seq long, stage string, state string, attempts int")
+        self.facts = handle.getValueState("facts", "seq long, stage string, state string, attempts int", self.remember_ms)
+        # One small entry per failure: a repeated case never rewrites a growing value.
+        self.failures = handle.getMapState("failures", "seq long", "counted boolean", self.remember_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seq, stage, state, attempts = self.facts.get() if self.facts.exists() else (-1, None, None, 0)
-        before = state
+        before, known = state, (seq, attempts)
         # Every failure counts, also one that arrives late; the latest fact decides the state.
-        seen = {seq}
         for batch in rows:
             for fact in batch[["seq", "stage", "state"]].itertuples(index=False):
-                if fact.seq in seen:
-                    continue  # the same fact again
-                seen.add(fact.seq)
-                attempts += fact.stage == "failed"
+                if fact.stage == "failed" and not self.failures.containsKey((int(fact.seq),)):
+                    self.failures.updateValue((int(fact.seq),), (True,))
+                    attempts += 1
                 if fact.seq > seq:
                     seq, stage, state = int(fact.seq), str(fact.stage), str(fact.state)
         if stage == "failed":
             if attempts < fixed.MAX_START_ATTEMPTS:
                 state = "ready_for_processing"
-                if self.cooldown_ms:
+                if self.cooldown_ms and (seq, attempts) != known:  # a repeated failure does not postpone the retry
                     for armed in list(self.handle.listTimers()):
                         self.handle.deleteTimer(armed)
                     self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.cooldown_ms)
@@ -119,17 +122,20 @@ class CaseProjector(StatefulProcessor):
         pass
 
 
-def stream_case_states(facts: DataFrame, cooldown_ms: int = fixed.RETRY_COOLDOWN_SECONDS * 1000) -> DataFrame:
+def stream_case_states(facts: DataFrame, cooldown_ms: int = fixed.RETRY_COOLDOWN_SECONDS * 1000, remember_ms: int | None = None) -> DataFrame:
     """facts(case_id, seq, stage, state) -> changed states and retry requests.
 
-    With a cooldown the query needs a processing-time trigger: pending timers keep
-    an ``availableNow`` run from ending. Without one no timers are armed.
+    ``remember_ms`` bounds the state: a case without facts for that long is forgotten, and
+    its failures count anew if they are delivered after that.
+
+    With a cooldown or an expiry the query needs a processing-time trigger: either keeps
+    an ``availableNow`` run from ending. Without both no timers are armed.
     """
     _use_rocksdb(facts.sparkSession)
     kind = facts.schema["case_id"].dataType.simpleString()
     return facts.groupBy("case_id").transformWithStateInPandas(
-        statefulProcessor=CaseProjector(cooldown_ms), outputStructType=f"case_id {kind}, seq long, state string, attempts int, event string",
-        outputMode="Append", timeMode="ProcessingTime" if cooldown_ms else "None")
+        statefulProcessor=CaseProjector(cooldown_ms, remember_ms), outputStructType=f"case_id {kind}, seq long, state string, attempts int, event string",
+        outputMode="Append", timeMode="ProcessingTime" if cooldown_ms or remember_ms else "None")
 
 
 def drain(result: DataFrame, sink: str, checkpoint: str) -> None:

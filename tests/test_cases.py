@@ -222,6 +222,22 @@ def test_quiet_stretches_fill_loads_like_water(frame):
     assert sum(v[1] == "topic_resolution_rate" for v in got.values()) > 20
 
 
+def test_failures_delivered_again_in_later_triggers_count_once(spark, frame, tmp_path):
+    """Failures 1 and 2 arrive three times, one file (and one row of each frame) per trigger."""
+    for n, seq in enumerate([1, 2, 1, 2, 1, 2, 3]):
+        frame([(7, seq, "failed", "x"), (8, 10 - n, "classified", "ready")], "case_id long, seq long, stage string, state string").coalesce(1).write.parquet(str(tmp_path / "in" / f"{n:02d}"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        facts = spark.readStream.schema("case_id long, seq long, stage string, state string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        J.drain(J.stream_case_states(facts, 0), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("case_id", "seq", "state", "attempts").collect()))
+        # Three failures in all: the case stays retryable, where double counting would end it at the fourth.
+        assert got == [(7, 1, "ready_for_processing", 1), (8, 10, "ready", 0)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_unnamed_and_missing_references_are_spread(spark, frame):
     cases = frame([(n, "" if n % 10 else f"p{n % 3}", "t") for n in range(300)], "case_id long, identity string, topic string")
     counted = R.repeat_counts(cases, hot_rows=20)
@@ -244,7 +260,11 @@ def test_stream_processors_take_a_key_in_several_frames():
         def update(self, v):
             self.value = v
 
-    handle = types.SimpleNamespace(getValueState=lambda *a: Cell())
+    class Entries(dict):
+        containsKey = dict.__contains__
+        updateValue = dict.__setitem__
+
+    handle = types.SimpleNamespace(getValueState=lambda *a: Cell(), getMapState=lambda *a: Entries())
     facts = [(10, "failed"), (11, "failed"), (1, "failed"), (2, "failed")]
     for order in ([0, 1, 2, 3], [2, 3, 0, 1], [3, 0, 2, 1]):
         p = J.CaseProjector(0)
@@ -253,6 +273,7 @@ def test_stream_processors_take_a_key_in_several_frames():
         out = list(p.handleInputRows(("k",), iter(frames), None))
         assert out[-1].iloc[0].to_dict() == {"case_id": "k", "seq": 11, "state": "failed", "attempts": 4, "event": "state"}
         assert not list(p.handleInputRows(("k",), iter(frames[:2]), None))  # repeats change nothing
+        assert p.facts.get()[3] == 4
     first = J.FirstRecord()
     first.init(handle)
     frames = [pd.DataFrame({"document_id": ["d"], "arrival": [a], "print": [p]}) for a, p in ((9, "late"), (1, "early"))]
