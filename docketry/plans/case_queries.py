@@ -459,6 +459,39 @@ def contract_quarantine(spark, folder):
     return good.select("event_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("event_id", "error"))
 
 
+_ORDER_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["orderId", "lines"],
+    "properties": {
+        "orderId": {"type": "integer", "minimum": 1}, "status": {"enum": ["O", "F", "P"]}, "total": {"type": "number", "exclusiveMaximum": 490000},
+        "lines": {"type": "array", "minItems": 1, "maxItems": 8, "items": {"$ref": "#/$defs/line"}}},
+    "$defs": {"line": {
+        "type": "object", "additionalProperties": False, "required": ["number", "flag"],
+        "properties": {"number": {"type": "integer"}, "quantity": {"type": "number", "maximum": 49}, "flag": {"type": "string", "minLength": 1, "maxLength": 1},
+                       "ship": {"type": "object", "required": ["year"], "properties": {"year": {"type": "string", "pattern": "^(199|2000)"}}}}}}}
+
+
+@query("nested_contracts", """
+WITH raw AS (SELECT l_orderkey AS k, l_linenumber, l_quantity, CASE WHEN l_suppkey % 50 = 0 THEN NULL WHEN l_partkey % 40 = 0 THEN '' ELSE l_returnflag END AS flag, CAST(year(l_shipdate) AS VARCHAR) AS y, CASE WHEN l_partkey % 97 = 0 THEN 'n' END AS note FROM lineitem),
+l AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_quantity, flag NULLS FIRST, y, note NULLS FIRST) - 1 AS i,
+  CASE WHEN flag IS NULL THEN '.flag' WHEN note IS NOT NULL THEN '' WHEN l_quantity > 49 THEN '.quantity' WHEN flag = '' THEN '.flag' WHEN y > '2000' THEN '.ship.year' END AS fault FROM raw),
+g AS (SELECT k, count(*) AS n, arg_min('$.lines[' || i || ']' || fault, i) FILTER (WHERE fault IS NOT NULL) AS path FROM l GROUP BY k)
+SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 37 = 0 THEN 'Invalid JSON' WHEN n IS NULL THEN '$.lines' WHEN o_orderkey % 31 = 0 THEN '$' WHEN o_orderkey % 29 = 0 THEN '$.status'
+  WHEN o_totalprice >= 490000 THEN '$.total' WHEN n > 8 THEN '$.lines' ELSE path END AS error FROM orders LEFT JOIN g ON k = o_orderkey""")
+def nested_contracts(spark, folder):
+    """Orders with their lines as one nested payload; faults at every depth."""
+    c = F.col
+    flag = F.when(c("l_suppkey") % 50 == 0, F.lit(None)).when(c("l_partkey") % 40 == 0, "").otherwise(c("l_returnflag"))
+    line = F.struct(c("l_linenumber").alias("number"), c("l_quantity").alias("quantity"), flag.alias("flag"), F.struct(F.year("l_shipdate").cast("string").alias("year")).alias("ship"),
+                    F.when(c("l_partkey") % 97 == 0, "n").alias("note"))
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    joined = table(spark, folder, "orders").join(lines, c("o_orderkey") == c("l_orderkey"), "left")
+    key = c("o_orderkey")
+    body = F.to_json(F.struct(key.alias("orderId"), F.when(key % 29 == 0, "X").otherwise(c("o_orderstatus")).alias("status"), c("o_totalprice").alias("total"), "lines",
+                              F.when(key % 31 == 0, 1).alias("extra")), {"ignoreNullFields": "true"})
+    payloads = joined.select(key.alias("case_id"), F.when(key % 37 == 0, F.concat(body, F.lit("}"))).otherwise(body).alias("payload"))
+    return contracts.with_schema_error(payloads, _ORDER_SCHEMA).select("case_id", "error")
+
+
 @query("integrity_check", f"""
 SELECT 'confidence_range' AS rule, 'd' || o_orderkey AS id FROM orders WHERE o_totalprice > 400000
 UNION ALL SELECT 'classified_needs_score', 'd' || o_orderkey FROM orders WHERE o_orderstatus = 'F' AND (o_orderkey % 101) / 100 <= 0.80 AND o_totalprice <= 400000

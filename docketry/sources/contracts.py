@@ -1,7 +1,12 @@
-"""Payload contracts: closed key sets, constants, enums and types, first failure wins."""
+"""Payload contracts: first failure wins.
+
+``Rule`` lists are flat contracts with a message per rule; ``with_schema_error`` compiles
+a nested JSON schema into one expression over the parsed payload.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -43,6 +48,18 @@ CLASSIFICATION_RESULT = (
 )
 
 
+def _with_json(df: DataFrame, payload: str) -> DataFrame:
+    """Add _doc, the value of a text that holds exactly one JSON value, null otherwise.
+
+    The parser stops behind the first value and accepts whatever follows. Text that parses as the
+    only item of an array and as a member of an object has nothing behind its value.
+    """
+    around = lambda head, tail: F.try_parse_json(F.concat(F.lit(head), F.col(payload), F.lit(tail)))
+    both = once(df, _item=around("[", "]"), _member=around('{"v":', "}"))
+    alone = F.col("_member").isNotNull() & (F.size(F.try_variant_get("_item", "$", "array<variant>")) == 1)
+    return once(both, _doc=F.when(alone, F.try_variant_get("_item", "$[0]", "variant"))).drop("_item", "_member")
+
+
 def with_first_error(df: DataFrame, contract: tuple[Rule, ...], payload: str = "payload", out: str = "error") -> DataFrame:
     """Add the message of the first broken rule, null for a conforming payload.
 
@@ -50,7 +67,7 @@ def with_first_error(df: DataFrame, contract: tuple[Rule, ...], payload: str = "
     the rules themselves only compare those small columns.
     """
     names = sorted({rule.field for rule in contract if rule.field})
-    parsed = once(df, _doc=F.try_parse_json(payload), _keys=F.json_object_keys(payload))
+    parsed = once(_with_json(df, payload), _keys=F.json_object_keys(payload))
     kind_of = lambda name: F.schema_of_variant(F.try_variant_get("_doc", f"$.{name}", "variant"))
     text_of = lambda name: F.try_variant_get("_doc", f"$.{name}", "string")
     read = once(parsed, _kinds=F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(kind_of, names))),
@@ -91,6 +108,137 @@ def conform(df: DataFrame, contract: tuple[Rule, ...], payload: str = "payload")
     return checked.where(F.col("error").isNull()).drop("error"), checked.where(F.col("error").isNotNull())
 
 
+# --- nested schemas -----------------------------------------------------------
+
+INVALID_JSON = "Invalid JSON"
+_KEYWORDS = {"type", "const", "enum", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "minLength", "maxLength",
+             "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "oneOf", "anyOf", "allOf", "$ref"}
+_NOTES = {"$schema", "$id", "$defs", "definitions", "title", "description", "default", "examples", "$comment", "format"}
+
+
+@dataclass(frozen=True)
+class _Place:
+    """A value inside a parsed payload: a variant column and the way down from it.
+
+    Checks read the value straight from ``root``, so an expression does not grow with
+    the depth of its schema; only array items start a new root.
+    """
+    root: Column
+    steps: str = "$"
+    shown: tuple = ("$",)
+
+    def child(self, key: str) -> _Place:
+        if "'" in key or "\\" in key:
+            raise ValueError(f"unsupported property name: {key}")
+        return _Place(self.root, f"{self.steps}['{key}']", (*self.shown, f".{key}"))
+
+    def get(self, kind: str) -> Column:
+        return F.try_variant_get(self.root, self.steps, kind)
+
+    def path(self) -> Column:
+        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in self.shown])
+
+
+def _is_type(name: str, kind: Column) -> Column:
+    whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
+    return {"object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "string": kind == "STRING", "boolean": kind == "BOOLEAN", "null": kind == "VOID",
+            "integer": whole, "number": kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")}[name]
+
+
+def _equals(place: _Place, kind: Column, value) -> Column:
+    if value is None:
+        return _is_type("null", kind)
+    if isinstance(value, bool):
+        return _is_type("boolean", kind) & (place.get("boolean") == value)
+    if isinstance(value, (int, float)):
+        return _is_type("number", kind) & (place.get("double") == float(value))
+    if isinstance(value, str):
+        return _is_type("string", kind) & (place.get("string") == value)
+    raise ValueError("only plain values can be constants")
+
+
+def _violation(schema: Mapping | bool, place: _Place, schemas: Mapping[str, Mapping], open_refs: tuple = ()) -> Column:
+    """Path of the first broken part of ``schema``, null when the value conforms."""
+    if isinstance(schema, bool):
+        return F.lit(None).cast("string") if schema else place.path()
+    unknown = set(schema) - _KEYWORDS - _NOTES
+    if unknown:
+        raise ValueError(f"unsupported keywords: {sorted(unknown)}")
+    value, kind = place.get("variant"), F.schema_of_variant(place.get("variant"))
+    inside = lambda part, at: _violation(part, at, schemas, open_refs)
+    is_a = lambda name: _is_type(name, kind)
+    found = []
+
+    def must(holds: Column, at: _Place = place) -> None:
+        found.append(F.when(~F.coalesce(holds, F.lit(False)), at.path()))
+
+    if "$ref" in schema:
+        ref = schema["$ref"]
+        if ref in open_refs:
+            raise ValueError(f"recursive schema: {ref}")
+        if ref not in schemas:
+            raise ValueError(f"unknown schema: {ref}")
+        found.append(_violation(schemas[ref], place, schemas, (*open_refs, ref)))
+    if "const" in schema:
+        must(_equals(place, kind, schema["const"]))
+    if "enum" in schema:
+        must(F.array_contains(F.array(*[F.coalesce(_equals(place, kind, v), F.lit(False)) for v in schema["enum"]]), True))
+    if "type" in schema:
+        names = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
+        must(F.array_contains(F.array(*map(is_a, names)), True))
+
+    properties = schema.get("properties", {})
+    for key in schema.get("required", ()):
+        must(~is_a("object") | place.child(key).get("variant").isNotNull(), place.child(key))
+    extra = schema.get("additionalProperties", True)
+    if extra is False:
+        foreign = F.array_except(F.map_keys(place.get("map<string,variant>")), F.array(*map(F.lit, properties)).cast("array<string>"))
+        must(~is_a("object") | (F.size(foreign) == 0))
+    elif extra is not True:
+        raise ValueError("additionalProperties must be true or false")
+    for key, part in properties.items():
+        at = place.child(key)
+        found.append(F.when(is_a("object") & at.get("variant").isNotNull(), inside(part, at)))
+
+    items = place.get("array<variant>")
+    for name, fits in (("minItems", lambda n: F.size(items) >= n), ("maxItems", lambda n: F.size(items) <= n)):
+        if name in schema:
+            must(~is_a("array") | fits(schema[name]))
+    if "items" in schema:
+        broken = F.transform(items, lambda item, i: inside(schema["items"], _Place(item, "$", (*place.shown, F.concat(F.lit("["), i.cast("string"), F.lit("]"))))))
+        found.append(F.when(is_a("array"), F.get(F.filter(broken, lambda p: p.isNotNull()), F.lit(0))))
+
+    text, number = place.get("string"), place.get("double")
+    for name, fits in (("minLength", lambda n: F.length(text) >= n), ("maxLength", lambda n: F.length(text) <= n), ("pattern", lambda p: text.rlike(p))):
+        if name in schema:
+            must(~is_a("string") | fits(schema[name]))
+    for name, fits in (("minimum", lambda n: number >= n), ("maximum", lambda n: number <= n), ("exclusiveMinimum", lambda n: number > n), ("exclusiveMaximum", lambda n: number < n)):
+        if name in schema:
+            must(~is_a("number") | fits(schema[name]))
+    found += [inside(part, place) for part in schema.get("allOf", ())]
+    for name, fits in (("oneOf", lambda n: n == 1), ("anyOf", lambda n: n >= 1)):
+        if name in schema:
+            must(fits(sum((inside(part, place).isNull().cast("int") for part in schema[name]), F.lit(0))))
+    return F.when(value.isNotNull(), F.coalesce(F.lit(None).cast("string"), *found))
+
+
+def with_schema_error(df: DataFrame, schema: Mapping, payload: str = "payload", out: str = "error", schemas: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """Add the path of the first broken part of a JSON schema, null for a conforming payload.
+
+    The schema (types, const, enum, required and closed properties, array and text lengths,
+    pattern, ranges, items, oneOf, anyOf, allOf) becomes one expression, with nested objects and
+    arrays checked in place: map-only, no Python, one parsed value per row. A ``$ref`` is looked up in
+    ``schemas`` by its text, local ones (``#/$defs/x``) included; recursive and unknown ones, and
+    keywords outside this list, are refused. Within a value the order is: $ref, const, enum, type, required,
+    foreign keys, properties in their order, items, lengths, ranges, alternatives. A null payload
+    or text that is no JSON gives ``Invalid JSON``; whole numbers written with a fraction are no integers.
+    """
+    local = {f"#/{group}/{name}": part for group in ("$defs", "definitions") for name, part in schema.get(group, {}).items()}
+    parsed = _with_json(df, payload)
+    broken = _violation(schema, _Place(F.col("_doc")), {**local, **(schemas or {})})
+    return once(parsed, **{out: F.when(F.col("_doc").isNull(), INVALID_JSON).otherwise(broken)}).drop("_doc")
+
+
 def integrity_violations(classification: DataFrame, tickets: DataFrame, states: DataFrame) -> DataFrame:
     """Table constraints as data-quality rows (rule, id)."""
     chain = ["department_id", "department_label", "unit_id", "unit_label", "request_type_id", "request_type_label"]

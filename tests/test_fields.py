@@ -64,6 +64,72 @@ def test_contract_messages(frame):
     assert {r.n: r.error for r in bad.collect()} == {2: "text must be a string", 3: "Invalid request fields", 5: "Invalid JSON", 6: "Invalid request fields", 7: "documentId must be a non-empty string"}
 
 
+def broken_path(schema, value, refs, path="$"):
+    """The first broken part of a schema, walked value by value."""
+    kinds = {"object": dict, "array": list, "string": str, "number": (int, float), "integer": int, "boolean": bool, "null": type(None)}
+    is_a = lambda name: isinstance(value, kinds[name]) and not (name in ("number", "integer") and isinstance(value, bool))
+    same = lambda a, b: type(a) is type(b) and a == b
+    if "$ref" in schema:
+        inner = broken_path(refs[schema["$ref"]], value, refs, path)
+        if inner:
+            return inner
+    if "const" in schema and not same(schema["const"], value) or "enum" in schema and not any(same(v, value) for v in schema["enum"]):
+        return path
+    if "type" in schema and not any(is_a(n) for n in ([schema["type"]] if isinstance(schema["type"], str) else schema["type"])):
+        return path
+    if isinstance(value, dict):
+        for key in schema.get("required", []):
+            if key not in value:
+                return f"{path}.{key}"
+        if schema.get("additionalProperties") is False and set(value) - set(schema.get("properties", {})):
+            return path
+        for key, part in schema.get("properties", {}).items():
+            inner = broken_path(part, value[key], refs, f"{path}.{key}") if key in value else None
+            if inner:
+                return inner
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", 99):
+            return path
+        for n, item in enumerate(value):
+            inner = broken_path(schema["items"], item, refs, f"{path}[{n}]") if "items" in schema else None
+            if inner:
+                return inner
+    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", 99):
+        return path
+    if is_a("number") and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+        return path
+    if "oneOf" in schema and sum(broken_path(s, value, refs, path) is None for s in schema["oneOf"]) != 1:
+        return path
+    return None
+
+
+def test_nested_schemas_against_a_walk(frame):
+    import json
+    import random
+
+    schema = {
+        "type": "object", "additionalProperties": False, "required": ["a"],
+        "properties": {"a": {"type": "integer", "minimum": 1, "maximum": 3}, "b": {"enum": ["x", None, 2, True]}, "c": {"type": ["array", "null"], "minItems": 1, "maxItems": 2, "items": {"$ref": "#/$defs/n"}},
+                       "d": {"oneOf": [{"type": "string", "minLength": 2}, {"type": "string", "maxLength": 3}, {"type": "null"}]}, "e": {"const": "1.0"}},
+        "$defs": {"n": {"type": "object", "required": ["k"], "properties": {"k": {"type": "string", "minLength": 1}, "l": {"type": "array", "items": {"type": "number", "maximum": 5}}, "m": {"$ref": "other"}}}}}
+    refs = {"#/$defs/n": schema["$defs"]["n"], "other": {"type": "object", "additionalProperties": False, "properties": {"z": {"type": "boolean"}}}}
+    rng = random.Random(3)
+    loose = lambda: rng.choice([None, True, 0, 1, 2, 2.5, 9, "", "x", "ş😀", "long", [], {}, [1], {"k": 1}])
+    some = lambda make, odds=0.15: loose() if rng.random() < odds else make()
+    item = lambda: {k: v for k, v in {"k": some(lambda: "ok"), "l": some(lambda: [some(lambda: rng.randint(0, 6), 0.1) for _ in range(rng.randint(0, 4))]), "m": some(lambda: {"z": some(lambda: True)})}.items() if rng.random() < 0.8}
+    parts = {"a": lambda: rng.randint(1, 3), "b": lambda: rng.choice(["x", None, 2, True]), "c": lambda: [some(item, 0.1) for _ in range(rng.randint(0, 3))], "d": lambda: rng.choice(["a", "abcd", None, "ab"]), "e": lambda: "1.0"}
+    values = [some(lambda: {**{k: some(make) for k, make in parts.items() if rng.random() < 0.85}, **({"zz": 1} if rng.random() < 0.05 else {})}, 0.05) for _ in range(600)]
+    broken = [None, "{", "", '{"a":1}}', '{"a":1}] x', '{"a":1},{"a":1}', '{"a":1} x', '{"a":1}{"a":1}', '1,"v":2']
+    rows = frame([(n, json.dumps(v)) for n, v in enumerate(values)] + [(-1 - n, text) for n, text in enumerate(broken)] + [(700, ' {"a":1}\n')], "n int, payload string")
+    got = {r.n: r.error for r in contracts.with_schema_error(rows, schema, schemas={"other": refs["other"]}).collect()}
+    assert got.pop(700) is None and [got.pop(-1 - n) for n in range(len(broken))] == ["Invalid JSON"] * len(broken)
+    assert got == {n: broken_path(schema, v, refs) for n, v in enumerate(values)}
+    assert len(set(got.values())) > 15 and sum(v is None for v in got.values()) > 10
+    for bad in ({"uniqueItems": True}, {"$ref": "nowhere"}, {"properties": {"it's": {}}}, {"$defs": {"r": {"items": {"$ref": "#/$defs/r"}}}, "$ref": "#/$defs/r"}):
+        with pytest.raises(ValueError):
+            contracts.with_schema_error(rows, bad)
+
+
 def supplement_state(frame):
     fields = [{"id": i} for i in ("applicant-name", "tckn", "new-address")]
     return frame([("c", 1, "adres-bildirimi", {}, fields, [], "{}")],
