@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry.functions.scale import once
+from docketry.functions.text import let
 
 
 @dataclass(frozen=True)
@@ -164,7 +165,13 @@ def _violation(schema: Mapping | bool, place: _Place, schemas: Mapping[str, Mapp
     unknown = set(schema) - _KEYWORDS - _NOTES
     if unknown:
         raise ValueError(f"unsupported keywords: {sorted(unknown)}")
-    value, kind = place.get("variant"), F.schema_of_variant(place.get("variant"))
+    # The kind is read once per value: inside lambdas nothing else would share it.
+    first_broken = lambda kind: F.coalesce(F.lit(None).cast("string"), *_checks(schema, place, kind, schemas, open_refs))
+    return F.when(place.get("variant").isNotNull(), let(F.schema_of_variant(place.get("variant")), first_broken))
+
+
+def _checks(schema: Mapping, place: _Place, kind: Column, schemas: Mapping[str, Mapping], open_refs: tuple) -> list[Column]:
+    """One expression per keyword, in order: the path where it is broken, or null."""
     inside = lambda part, at: _violation(part, at, schemas, open_refs)
     is_a = lambda name: _is_type(name, kind)
     found = []
@@ -219,7 +226,7 @@ def _violation(schema: Mapping | bool, place: _Place, schemas: Mapping[str, Mapp
     for name, fits in (("oneOf", lambda n: n == 1), ("anyOf", lambda n: n >= 1)):
         if name in schema:
             must(fits(sum((inside(part, place).isNull().cast("int") for part in schema[name]), F.lit(0))))
-    return F.when(value.isNotNull(), F.coalesce(F.lit(None).cast("string"), *found))
+    return found
 
 
 def with_schema_error(df: DataFrame, schema: Mapping, payload: str = "payload", out: str = "error", schemas: Mapping[str, Mapping] | None = None) -> DataFrame:
