@@ -484,7 +484,7 @@ def nested_contracts(spark, folder):
     line = F.struct(c("l_linenumber").alias("number"), c("l_quantity").alias("quantity"), flag.alias("flag"), F.struct(F.year("l_shipdate").cast("string").alias("year")).alias("ship"),
                     F.when(c("l_partkey") % 97 == 0, "n").alias("note"))
     lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    joined = table(spark, folder, "orders").join(lines, c("o_orderkey") == c("l_orderkey"), "left")
+    joined = table(spark, folder, "orders", spread="o_orderkey").join(lines, c("o_orderkey") == c("l_orderkey"), "left")
     key = c("o_orderkey")
     body = F.to_json(F.struct(key.alias("orderId"), F.when(key % 29 == 0, "X").otherwise(c("o_orderstatus")).alias("status"), c("o_totalprice").alias("total"), "lines",
                               F.when(key % 31 == 0, 1).alias("extra")), {"ignoreNullFields": "true"})

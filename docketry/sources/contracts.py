@@ -141,9 +141,13 @@ class _Place:
 
 
 def _is_type(name: str, kind: Column) -> Column:
-    whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
-    return {"object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "string": kind == "STRING", "boolean": kind == "BOOLEAN", "null": kind == "VOID",
-            "integer": whole, "number": kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")}[name]
+    if name == "integer":
+        return kind.rlike(r"^(BIGINT$|DECIMAL\((19|[23]\d),0\)$)")
+    if name == "number":
+        return kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    if name in ("object", "array"):
+        return kind.startswith(name.upper())
+    return kind == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[name]
 
 
 def _equals(place: _Place, kind: Column, value) -> Column:
@@ -158,20 +162,27 @@ def _equals(place: _Place, kind: Column, value) -> Column:
     raise ValueError("only plain values can be constants")
 
 
-def _violation(schema: Mapping | bool, place: _Place, schemas: Mapping[str, Mapping], open_refs: tuple = ()) -> Column:
-    """Path of the first broken part of ``schema``, null when the value conforms."""
+def _violation(schema: Mapping | bool, place: _Place, schemas: Mapping[str, Mapping], open_refs: tuple = (), kind: Column | None = None) -> Column:
+    """Path of the first broken part of ``schema``, null when the value conforms or is absent.
+
+    ``kind`` is the kind of a value that is known to be there; without it the value is read once.
+    """
     if isinstance(schema, bool):
-        return F.lit(None).cast("string") if schema else place.path()
+        here = place.path() if kind is not None else F.when(place.get("variant").isNotNull(), place.path())
+        return F.lit(None).cast("string") if schema else here
     unknown = set(schema) - _KEYWORDS - _NOTES
     if unknown:
         raise ValueError(f"unsupported keywords: {sorted(unknown)}")
-    # The kind is read once per value: inside lambdas nothing else would share it.
     first_broken = lambda kind: F.coalesce(F.lit(None).cast("string"), *_checks(schema, place, kind, schemas, open_refs))
-    return F.when(place.get("variant").isNotNull(), let(F.schema_of_variant(place.get("variant")), first_broken))
+    if kind is not None:
+        return first_broken(kind)
+    # The kind is read once per value: inside lambdas nothing else would share it.
+    return let(F.schema_of_variant(place.get("variant")), lambda kind: F.when(kind.isNotNull(), first_broken(kind)))
 
 
 def _checks(schema: Mapping, place: _Place, kind: Column, schemas: Mapping[str, Mapping], open_refs: tuple) -> list[Column]:
     """One expression per keyword, in order: the path where it is broken, or null."""
+    also = lambda part: _violation(part, place, schemas, open_refs, kind)
     inside = lambda part, at: _violation(part, at, schemas, open_refs)
     is_a = lambda name: _is_type(name, kind)
     found = []
@@ -185,7 +196,7 @@ def _checks(schema: Mapping, place: _Place, kind: Column, schemas: Mapping[str,
             raise ValueError(f"recursive schema: {ref}")
         if ref not in schemas:
             raise ValueError(f"unknown schema: {ref}")
-        found.append(_violation(schemas[ref], place, schemas, (*open_refs, ref)))
+        found.append(_violation(schemas[ref], place, schemas, (*open_refs, ref), kind))
     if "const" in schema:
         must(_equals(place, kind, schema["const"]))
     if "enum" in schema:
@@ -203,17 +214,9 @@ def _checks(schema: Mapping, place: _Place, kind: Column, schemas: Mapping[str,
         must(~is_a("object") | (F.size(foreign) == 0))
     elif extra is not True:
         raise ValueError("additionalProperties must be true or false")
-    for key, part in properties.items():
-        at = place.child(key)
-        found.append(F.when(is_a("object") & at.get("variant").isNotNull(), inside(part, at)))
-
-    items = place.get("array<variant>")
-    for name, fits in (("minItems", lambda n: F.size(items) >= n), ("maxItems", lambda n: F.size(items) <= n)):
-        if name in schema:
-            must(~is_a("array") | fits(schema[name]))
-    if "items" in schema:
-        broken = F.transform(items, lambda item, i: inside(schema["items"], _Place(item, "$", (*place.shown, F.concat(F.lit("["), i.cast("string"), F.lit("]"))))))
-        found.append(F.when(is_a("array"), F.get(F.filter(broken, lambda p: p.isNotNull()), F.lit(0))))
+    # What is no object has no children: absent values conform.
+    found += [inside(part, place.child(key)) for key, part in properties.items()]
+    found += _item_checks(schema, place, kind, inside)
 
     text, number = place.get("string"), place.get("double")
     for name, fits in (("minLength", lambda n: F.length(text) >= n), ("maxLength", lambda n: F.length(text) <= n), ("pattern", lambda p: text.rlike(p))):
@@ -222,13 +225,33 @@ def _checks(schema: Mapping, place: _Place, kind: Column, schemas: Mapping[str,
     for name, fits in (("minimum", lambda n: number >= n), ("maximum", lambda n: number <= n), ("exclusiveMinimum", lambda n: number > n), ("exclusiveMaximum", lambda n: number < n)):
         if name in schema:
             must(~is_a("number") | fits(schema[name]))
-    found += [inside(part, place) for part in schema.get("allOf", ())]
+    found += [also(part) for part in schema.get("allOf", ())]
     for name, fits in (("oneOf", lambda n: n == 1), ("anyOf", lambda n: n >= 1)):
         if name in schema:
-            must(fits(sum((inside(part, place).isNull().cast("int") for part in schema[name]), F.lit(0))))
+            must(fits(sum((also(part).isNull().cast("int") for part in schema[name]), F.lit(0))))
     return found
 
 
+def _item_checks(schema: Mapping, place: _Place, kind: Column, inside) -> list[Column]:
+    """Length and item checks of an array, which is taken apart once."""
+    if not {"minItems", "maxItems", "items"} & set(schema):
+        return []
+
+    def broken(items: Column) -> Column:
+        found = [F.lit(None).cast("string")]
+        if "minItems" in schema:
+            found.append(F.when(F.size(items) < schema["minItems"], place.path()))
+        if "maxItems" in schema:
+            found.append(F.when(F.size(items) > schema["maxItems"], place.path()))
+        if "items" in schema:
+            number = lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("]"))
+            paths = F.transform(items, lambda item, i: inside(schema["items"], _Place(item, "$", (*place.shown, number(i)))))
+            found.append(F.get(F.filter(paths, lambda p: p.isNotNull()), F.lit(0)))
+        return F.coalesce(*found)
+
+    return [F.when(_is_type("array", kind), let(place.get("array<variant>"), broken))]
+
+
 def with_schema_error(df: DataFrame, schema: Mapping, payload: str = "payload", out: str = "error", schemas: Mapping[str, Mapping] | None = None) -> DataFrame:
     """Add the path of the first broken part of a JSON schema, null for a conforming payload.
 
