@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry.functions.scale import once
-from docketry.functions.text import strip
+from docketry.functions.text import let, strip
 from docketry.operators.retrieval import greedy_match
 from docketry.sources import fixed
 
@@ -112,23 +112,36 @@ def sentence_prefix(text: Column, maximum: int) -> Column:
     return F.aggregate(split_sentences(text), start, step, lambda acc: acc["kept"])
 
 
-def chunk_text(text: Column, maximum: int = fixed.CHUNK_CHARACTERS) -> Column:
-    """Sentence-bounded chunks; a single longer sentence is cut hard."""
+def chunk_text(text: Column, maximum: int = fixed.CHUNK_CHARACTERS, block: int = 512) -> Column:
+    """Sentence-bounded chunks; a single longer sentence is cut hard.
+
+    A fold copies its whole state at every step, so the sentences are folded in runs of
+    ``block``: a step copies the chunks of its own run, and all chunks only once per run.
+    """
     sentences = F.filter(split_sentences(text, lines=True), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    filled = lambda opened: F.filter(F.array(opened), lambda s: s != "")
+    # Most joined texts have no blank end: looking at both ends is cheaper than a search through the text.
+    ends = lambda joined: F.concat(F.substring(joined, 1, 1), F.substring(joined, -1, 1))
+    trimmed = lambda joined: F.when(ends(joined).rlike(r"(?U)\s"), strip(joined)).otherwise(joined)
+    cut = lambda sentence: F.regexp_extract_all(sentence, F.lit(f"(?s).{{1,{maximum}}}"), F.lit(0))
+    state = lambda chunks, opened: F.struct(chunks.alias("chunks"), opened.alias("open"))
+    none = F.array().cast("array<string>")
 
     def step(acc: Column, sentence: Column) -> Column:
-        closed = F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(sentence) - 1) / maximum).cast("int")),
-                             lambda i: F.substring(sentence, i * maximum + 1, F.lit(maximum)))
         overflow = (acc["open"] != "") & (F.length(acc["open"]) + F.length(sentence) + 1 > maximum)
+        joined = let(F.concat_ws(" ", F.when(acc["open"] != "", acc["open"]), sentence), trimmed)
         return (
-            F.when(F.length(sentence) > maximum, F.struct(F.concat(closed, pieces).alias("done"), F.lit("").alias("open")))
-            .when(overflow, F.struct(closed.alias("done"), sentence.alias("open")))
-            .otherwise(F.struct(acc["done"].alias("done"), strip(F.concat_ws(" ", F.when(acc["open"] != "", acc["open"]), sentence)).alias("open"))))
+            F.when(F.length(sentence) > maximum, state(F.concat(acc["chunks"], filled(acc["open"]), cut(sentence)), F.lit("")))
+            .when(overflow, state(F.concat(acc["chunks"], filled(acc["open"])), sentence))
+            .otherwise(state(acc["chunks"], joined)))
+
+    def folded(found: Column) -> Column:
+        run = lambda acc, n: F.aggregate(F.slice(found, n * block + 1, F.lit(block)), state(none, acc["open"]), step)
+        add = lambda acc, n: let(run(acc, n), lambda r: state(F.concat(acc["chunks"], r["chunks"]), r["open"]))
+        runs = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / block).cast("int"))
+        return F.aggregate(runs, state(none, F.lit("")), add, lambda acc: F.concat(acc["chunks"], filled(acc["open"])))
 
-    chunks = F.aggregate(sentences, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    return F.when(F.size(chunks) == 0, F.array(text)).otherwise(chunks)
+    return let(sentences, lambda found: F.when(F.size(found) == 0, F.array(text)).otherwise(folded(found)))
 
 
 # --- letters ----------------------------------------------------------------

@@ -119,6 +119,8 @@ def test_sentences_and_chunks(frame):
     assert [len(one("x" * n, D.chunk_text)) for n in (899, 900, 901)] == [1, 1, 2]
     assert one("One. Two.\n\nThree four. " + "y" * 25, lambda c: D.chunk_text(c, 12)) == ["One. Two.", "Three four.", "y" * 12, "y" * 12, "y"]
     assert one("  ", D.chunk_text) == ["  "]
+    long = "One two. " * 2000 + "z" * 50
+    assert one(long, lambda c: D.chunk_text(c, 40, block=7)) == one(long, lambda c: D.chunk_text(c, 40)) == ["One two. One two. One two. One two."] * 500 + ["z" * 40, "z" * 10]
 
 
 def test_legal_claims(frame):
