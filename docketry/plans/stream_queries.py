@@ -9,6 +9,7 @@ from docketry.functions.scale import shared_dir
 from docketry.functions.text import normalize_text
 from docketry.plans import bindings as B
 from docketry.plans.registry import SQL, query
+from docketry.sources.sinks import read_buckets
 from docketry.streaming import jobs as J
 
 
@@ -49,8 +50,7 @@ def stream_classification(spark, folder):
     docs = J.length_gate(docs)
     running = J.stream_classification(docs, B.sample_taxonomy(spark), f"{root}/current", f"{root}/checkpoint", "keyword-v2")
     running.awaitTermination()
-    last = running.lastProgress["batchId"]
-    return spark.read.parquet(f"{root}/current/generation={last}").select("document_id", "status", "request_type_id", "confidence")
+    return read_buckets(spark, f"{root}/current").select("document_id", "status", "request_type_id", "confidence")
 
 
 _STAGES = {"signup": "extracting", "view": "waiting_for_user", "click": "draft_prepared", "purchase": "completed", "error": "failed"}

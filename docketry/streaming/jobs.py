@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from docketry.operators.classify import classify
 from docketry.operators.intake import INTAKE_FACTS, intake_fingerprint, length_gate
 from docketry.sources import fixed
-from docketry.sources.sinks import merge_batch_into
+from docketry.sources.sinks import merge_buckets
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -62,9 +62,9 @@ def stream_intake(documents: DataFrame, facts: tuple[str, ...] = INTAKE_FACTS, t
 
 def stream_classification(documents: DataFrame, tax: dict[str, DataFrame], root: str, checkpoint: str, model: str = "semantic-v3",
                           text: str = "normalized_text", version: str = "arrival"):
-    """Classify arrivals and merge them into the current table under ``root``."""
+    """Classify arrivals and merge them into the current table under ``root`` (``sinks.read_buckets``)."""
     decided = classify(documents, tax, model, text).select("document_id", version, "status", "request_type_id", "confidence")
-    merge = lambda batch, batch_id: merge_batch_into(batch.sparkSession, root, batch, ["document_id"], version, batch_id)
+    merge = lambda batch, batch_id: merge_buckets(batch.sparkSession, root, batch, ["document_id"], version, batch_id)
     return decided.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

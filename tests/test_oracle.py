@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SMOKE = ("keyword_classify", "signal_classify", "intake_outcomes", "rule_analysis", "field_evaluate", "supplement_outcomes", "bm25_topk", "evidence_gate",
          "pii_residual", "chunk_documents", "routes_created", "staff_choice", "case_changes", "case_status", "related_cases",
-         "draft_repairs", "draft_checks", "case_states", "citations", "policy_redaction", "event_log", "document_records", "admin_view", "hybrid_retrieve")
+         "nested_contracts", "stream_classification", "draft_repairs", "draft_checks", "case_states", "citations", "policy_redaction", "event_log", "document_records", "admin_view", "hybrid_retrieve")
 CHOSEN = sorted(SQL) if os.environ.get("DOCKETRY_ALL") else SMOKE
 
 

@@ -49,6 +49,41 @@ def test_replayed_batch_is_exactly_once(spark, frame, tmp_path):
     assert {(r.k, r.v) for r in spark.read.parquet(target).collect()} == {(1, "b"), (2, "c")}
 
 
+def test_batches_write_only_the_buckets_of_their_keys(spark, frame, tmp_path):
+    root, kind = str(tmp_path / "current"), "k int, v string, version int"
+    files = lambda: {str(f) for f in (tmp_path / "current" / "rows").rglob("*.parquet")}
+    want = {}
+
+    def merge(rows, batch):
+        for k, v, version in rows:
+            if k not in want or want[k][1] <= version:
+                want[k] = (v, version)
+        return sinks.merge_buckets(spark, root, frame(rows, kind), ["k"], "version", batch, buckets=8)
+
+    merge([(k, "a", 1) for k in range(40)] + [(None, "n", 1)], 0)
+    first = files()
+    assert merge([(3, "b", 2), (3, "late", 0), (99, "c", 1)], 1) <= 2
+    assert first <= files() and len(files()) <= len(first) + 2  # nothing of batch 0 was written again
+    current = lambda: {r.k: (r.v, r.version) for r in sinks.read_buckets(spark, root).collect()}
+    assert current() == want
+    merge([(3, "b", 2), (3, "late", 0), (99, "c", 1)], 1)  # the commit of batch 1 was lost
+    assert current() == want
+    assert merge([], 2) == 0 and current() == want
+    merge([(3, "d", 3), (5, "older", 0)], 3)
+    merge([(3, "e", 4)], 4)
+    assert current() == want and want[3] == ("e", 4) and want[5] == ("a", 1)
+    assert len(files()) <= 16  # two slots for each bucket
+
+
+def test_empty_current_table(spark, frame, tmp_path):
+    root = str(tmp_path / "current")
+    sinks.merge_buckets(spark, root, frame([], "k int, v string, version int"), ["k"], "version", 0)
+    empty = sinks.read_buckets(spark, root)
+    assert empty.columns == ["k", "v", "version"] and empty.count() == 0
+    with pytest.raises(ValueError):
+        sinks.merge_buckets(spark, root, frame([(1, 1, 1)], "k int, snapshot_slot int, version int"), ["k"], "version", 1)
+
+
 def test_staff_and_seed_tables(spark, frame):
     staff = loaders.default_staff(spark)
     assert staff.count() == 12 and staff.where("role = 'moderator'").count() == 6
