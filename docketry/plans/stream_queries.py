@@ -14,9 +14,12 @@ from docketry.streaming import jobs as J
 
 
 def stream(spark, folder, name):
-    """The table as a stream of its files."""
+    """The table as a stream of its files: one file of the folder or a folder of parts.
+
+    The pattern names just this path; a stream takes no plain file as its path.
+    """
     path = f"{folder}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _arrivals(spark, folder):

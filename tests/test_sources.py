@@ -114,3 +114,21 @@ def test_stream_keeps_state_across_batches(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         J.drain(J.stream_intake(stream, ("source_type", "normalized_text")), f"{root}/out", f"{root}/checkpoint")
     assert outcomes() == {1: "accepted", 2: "replay", 3: "conflict", 4: "accepted"}
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_streams_read_a_file_and_a_folder_of_parts(spark, tmp_path, parts):
+    """A table may be one file or a folder of part files; its neighbours stay out either way."""
+    from docketry.plans.stream_queries import stream
+    from docketry.streaming.jobs import drain
+
+    rows = spark.range(50).withColumnRenamed("id", "doc_id")
+    for name in ("documents", "documents.parquet2", "pages"):
+        target = tmp_path / "in" / (name if "." in name else f"{name}.parquet")
+        if parts:
+            rows.repartition(parts).write.parquet(str(target))
+        else:
+            target.parent.mkdir(exist_ok=True)
+            rows.toPandas().to_parquet(target)
+    drain(stream(spark, str(tmp_path / "in"), "documents"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(50))
