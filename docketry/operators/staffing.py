@@ -187,28 +187,66 @@ def _arrival_numbers(cases: DataFrame) -> DataFrame:
 
 def _fold_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Idle members wait in a heap (an entry is stale once its member's turn number
-    moved on); flagged cases look through the members that know their topic."""
+    moved on). The members that know a topic wait in a heap of the topic, built when its first
+    flagged case comes. A pick makes a member's place in the other heaps worse, never better,
+    so an entry there is corrected when it comes up; only one without solved cases rises with
+    its number of cases, and gets a new entry at once. Heaps are rebuilt when half of them is stale."""
     import heapq
 
-    unit, pool, idle, skilled = None, {}, [], {}
+    unit, pool, idle, skilled, best = None, {}, [], {}, {}
     rank = lambda m: (m["open"], m["last"], m["id"])
 
     def wait(member):
         member["turn"] += 1
         heapq.heappush(idle, (*rank(member), member["turn"]))
+        if len(idle) > 2 * len(pool) + 64:
+            idle[:] = [(*rank(m), m["turn"]) for m in pool.values()]
+            heapq.heapify(idle)
+
+    def record(member, topic):
+        total, resolved, turn = member["topics"][topic]
+        return (-resolved / total, -total, *rank(member), turn)
+
+    def fill(topic):
+        best[topic] = [record(pool[i], topic) for i in skilled[topic]]
+        heapq.heapify(best[topic])
+
+    def expert(topic):
+        if topic not in best:
+            fill(topic)
+        heap = best[topic]
+        while True:
+            member = pool[heap[0][4]]
+            if member["topics"][topic][2] != heap[0][5]:
+                heapq.heappop(heap)
+            elif (now := record(member, topic)) != heap[0]:
+                heapq.heapreplace(heap, now)
+            else:
+                return member
+
+    def learn(member, topic):
+        """One more case of the topic; the member's load counts it already."""
+        counts = member["topics"].setdefault(topic, [0, 0, 0])
+        counts[0] += 1
+        skilled.setdefault(topic, set()).add(member["id"])
+        if topic in best and (counts[0] == 1 or not counts[1]):
+            counts[2] += 1
+            heapq.heappush(best[topic], record(member, topic))
+            if len(best[topic]) > 2 * len(skilled[topic]) + 64:
+                fill(topic)
 
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
             if row.unit_id != unit:
-                unit, pool, idle, skilled = row.unit_id, {}, [], {}
+                unit, pool, idle, skilled, best = row.unit_id, {}, [], {}, {}
             if row.kind == 0:
                 pool[row.staff_id] = {"id": row.staff_id, "open": int(row.open_count), "last": (0, "", 0) if row.last is None else (1, row.last, 0), "topics": {}, "turn": 0}
                 wait(pool[row.staff_id])
                 continue
             if row.kind == 1:
                 member = pool[row.staff_id]
-                counts = member["topics"].setdefault(row.topic, [0, 0])
+                counts = member["topics"].setdefault(row.topic, [0, 0, 0])
                 counts[0], counts[1] = counts[0] + int(row.total), counts[1] + int(row.resolved)
                 skilled.setdefault(row.topic, set()).add(row.staff_id)
                 if row.priority_mode:  # picks of the quiet stretch, the last one at seq: later than any recorded assignment
@@ -216,9 +254,9 @@ def _fold_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     member["last"] = max(member["last"], (2, "", int(row.seq)))
                     wait(member)
                 continue
-            seen = [pool[i] for i in skilled.get(row.topic, ())] if row.priority_mode else []
-            if seen:
-                picked = min(seen, key=lambda m: (-m["topics"][row.topic][1] / m["topics"][row.topic][0], -m["topics"][row.topic][0], *rank(m)))
+            by_rate = bool(row.priority_mode) and row.topic in skilled
+            if by_rate:
+                picked = expert(row.topic)
             else:
                 while idle and pool[idle[0][2]]["turn"] != idle[0][3]:
                     heapq.heappop(idle)
@@ -226,10 +264,9 @@ def _fold_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if picked is None:
                 out.append((row.case_id, int(row.seq), unit, None, "least_open_assignments", 0))
                 continue
-            out.append((row.case_id, int(row.seq), unit, picked["id"], "topic_resolution_rate" if seen else "least_open_assignments", picked["open"]))
+            out.append((row.case_id, int(row.seq), unit, picked["id"], "topic_resolution_rate" if by_rate else "least_open_assignments", picked["open"]))
             picked["open"] += 1
             picked["last"] = (2, "", int(row.seq))
-            picked["topics"].setdefault(row.topic, [0, 0])[0] += 1
-            skilled.setdefault(row.topic, set()).add(picked["id"])
+            learn(picked, row.topic)
             wait(picked)
         yield pd.DataFrame(out, columns=["case_id", "seq", "unit_id", "staff_id", "policy", "open_before"])

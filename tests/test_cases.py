@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,3 +332,45 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan(QUERIES["eligible_cases"](spark, "/root/testdata/sf0.001"))
     assert "PushedFilters: [" in text and "o_totalprice" not in text
     assert "l_extendedprice" not in plan(QUERIES["staff_load"](spark, "/root/testdata/sf0.001"))
+
+
+def _fold_frame(members, history, cases):
+    import pandas as pd
+    rows = [(u, 0, None, None, False, i, o, last, None, None, 0) for i, u, o, last in members]
+    rows += [("u", 0, None, t, False, i, None, None, n, done, 1) for i, t, n, done in history]
+    rows += [("u", seq, seq, t, flagged, None, None, None, None, None, 2) for seq, t, flagged in cases]
+    names = ["unit_id", "seq", "case_id", "topic", "priority_mode", "staff_id", "open_count", "last", "total", "resolved", "kind"]
+    return pd.DataFrame(rows, columns=names).astype({"topic": object, "last": object})
+
+
+def test_flagged_cases_pick_like_a_search_through_all_experts():
+    """Members with many, few and no solved cases; several topics, so that picks of one make others' places stale."""
+    for seed in range(25):
+        rng = random.Random(seed)
+        members = [(f"s{n:02d}", "u", rng.randint(0, 2), rng.choice([None, "2026-01-02"])) for n in range(rng.randint(1, 9))]
+        history = [(i, t, n := rng.randint(1, 5), rng.choice([0, 0, rng.randint(0, n)])) for i, *_ in members for t in "ABC" if rng.random() < .5]
+        cases = [(seq, rng.choice(["A", "B", "C", "D", None]), rng.random() < .6) for seq in range(400)]
+        state = {i: [o, (0, "") if last is None else (1, last), {}] for i, _, o, last in members}
+        for i, t, n, done in history:
+            state[i][2][t] = [n, done]
+        want = []
+        for seq, topic, flagged in cases:
+            idle = lambda i: (state[i][0], state[i][1], i)
+            seen = [i for i in state if topic in state[i][2]] if flagged else []
+            best = min(seen, key=lambda i: (-state[i][2][topic][1] / state[i][2][topic][0], -state[i][2][topic][0], *idle(i))) if seen else min(state, key=idle)
+            want.append((seq, best, "topic_resolution_rate" if seen else "least_open_assignments", state[best][0]))
+            state[best][0] += 1
+            state[best][1] = (2, seq)
+            state[best][2].setdefault(topic, [0, 0])[0] += 1
+        got = [tuple(r) for f in S._fold_units(iter([_fold_frame(members, history, cases)])) for r in f[["seq", "staff_id", "policy", "open_before"]].itertuples(index=False)]
+        assert got == want
+
+
+def test_work_of_a_flagged_case_does_not_grow_with_the_unit():
+    """4,000 members that know the topic and 8,000 flagged cases: 32 million comparisons if each looks at all members."""
+    members = [(f"s{n:04d}", "u", n % 7, None) for n in range(4000)]
+    history = [(i, "A", 3 + n % 50, n % 4) for n, (i, *_) in enumerate(members)]
+    frame = _fold_frame(members, history, [(seq, "A", True) for seq in range(8000)])
+    start = time.perf_counter()
+    assert sum(len(f) for f in S._fold_units(iter([frame]))) == 8000
+    assert time.perf_counter() - start < 5
