@@ -79,8 +79,48 @@ def similarity_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_fold(text), F.lit("[a-z0-9]{3,}"), F.lit(0)))
 
 
-RELATED_BLOCK = 512
-RELATED_WORDS = 8192  # words of one product
+RELATED_BLOCK = 8192
+RELATED_CHARS = 32_000_000  # text of a block
+RELATED_STRIP = 512         # rows of a block that are compared at a time
+RELATED_WORDS = 2048        # words of one product
+RELATED_SHARE = 0.08        # of a block's rows: words of more rows are counted by products, others by their lists
+RELATED_STEPS = 4_000_000   # list entries that are counted at a time
+
+
+def _common_words(codes: np.ndarray, rows: np.ndarray, n: int, m: int, held: np.ndarray, starts: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """How many words each of ``n`` rows (by ``codes``, ``rows``) shares with each of ``m`` rows,
+    which are listed by word: ``held`` of them from ``starts`` on in ``holders``."""
+    both = np.zeros((n, m), dtype=np.float32)
+    often = held > max(8, RELATED_SHARE * m)
+    wide = often[codes]
+    words = np.unique(codes[wide])
+    for at in range(0, len(words), RELATED_WORDS):
+        some = words[at:at + RELATED_WORDS]
+        ask, hold = np.zeros((n, len(some)), dtype=np.float32), np.zeros((len(some), m), dtype=np.float32)
+        mine = wide & (codes >= some[0]) & (codes <= some[-1])
+        ask[rows[mine], np.searchsorted(some, codes[mine])] = 1
+        for place, word in enumerate(some.tolist()):
+            hold[place, holders[starts[word]:starts[word] + held[word]]] = 1
+        both += ask @ hold
+    codes, rows = codes[~wide], rows[~wide]
+    reach = np.cumsum(held[codes])
+    at = 0
+    while at < len(codes):
+        done = reach[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(reach, done + RELATED_STEPS, "right")))
+        times = held[codes[at:end]]
+        entry = np.arange(times.sum()) + np.repeat(starts[codes[at:end]] - (np.cumsum(times) - times), times)
+        both += np.bincount(np.repeat(rows[at:end] * m, times) + holders[entry], minlength=n * m).reshape(n, m).astype(np.float32)
+        at = end
+    return both
+
+
+def _best_few(asker: np.ndarray, other: np.ndarray, score: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
+    """The ``limit`` best others of each asker; equal scores by the other's place."""
+    order = np.lexsort((other, -score, asker))
+    asker, other, score = asker[order], other[order], score[order]
+    first = np.arange(len(asker)) - np.searchsorted(asker, asker, "left") < limit
+    return asker[first], other[first], score[first]
 
 
 def related_cases(cases: DataFrame, identity: str = "identity", text: str = "text", created: str = "created_at", key: str = "case_id", pool: int | None = None,
@@ -88,67 +128,77 @@ def related_cases(cases: DataFrame, identity: str = "identity", text: str = "tex
     """Same-applicant history of every case: similar_count and the best ``limit``.
 
     Cases of one applicant meet in blocks of at most about ``block`` rows each, so an
-    applicant with many cases is spread over many tasks; a task returns counts and
-    its best few per case, never pairs. ``pool`` compares only with that many newest
-    *other* cases of the whole table, as an interactive screen may want.
+    applicant with many cases is spread over many tasks; two blocks meet once, for both sides.
+    A task counts common words strip by strip and returns counts and its best few per case,
+    never pairs. Words travel as 64-bit hashes: among a million words of one applicant two are
+    taken for one with a probability of 3 in 100 million. ``pool`` compares only with that many
+    newest *other* cases of the whole table, as an interactive screen may want.
 
     Returns (key, history_scope, similar_count, related array<struct<case_id, score>>);
     equal scores list the older case first, then the smaller id as text.
     """
     c = F.col
     named = F.coalesce(c(identity) != "", F.lit(False))
-    lean = cases.select(c(key).alias("key"), c(identity).alias("identity"), c(created).alias("at"), similarity_tokens(c(text)).alias("tokens"))
+    lean = cases.select(c(key).alias("key"), c(identity).alias("identity"), c(created).alias("at"), c(text).alias("text"))
     mine = lean.where(F.coalesce(c("identity") != "", F.lit(False)))
+    chars = F.ceil(F.sum(F.coalesce(F.length("text"), F.lit(0))) / F.lit(RELATED_CHARS))
+    # A middling applicant is cut finer than memory asks for, so that all cores have work.
+    blocks = mine.groupBy("identity").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), chars, F.least(F.lit(16), F.ceil(F.count("*") / F.lit(RELATED_STRIP)))).cast("int").alias("blocks"))
+    mine = mine.select("key", "identity", "at", F.transform(similarity_tokens(c("text")), lambda w: F.xxhash64(w)).alias("tokens"))
     if pool is not None:
         newest = lean.orderBy(F.desc("at"), "key").limit(pool + 1).select("key", F.row_number().over(W.orderBy(F.desc("at"), "key")).alias("place"))
         mine = mine.join(F.broadcast(newest), "key", "left")
     else:
         mine = mine.withColumn("place", F.lit(None).cast("int"))
-    blocks = mine.groupBy("identity").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), c("blocks")).cast("int")
     placed = mine.join(blocks, "identity").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
-    # Each block meets each block: once as the side that asks, once as the side that answers.
-    sides = placed.withColumn("asks", F.explode(F.array(F.lit(True), F.lit(False)))).select(
-        "identity", F.when(c("asks"), c("own")).otherwise(c("other")).alias("i"), F.when(c("asks"), c("other")).otherwise(c("own")).alias("j"), "asks", "key", "at", "tokens", "place")
+    sides = placed.select("identity", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "at", "tokens", "place")
     kind = cases.schema[key].dataType.simpleString()
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        asks = frame["asks"].to_numpy()
-        left, right = frame[asks].reset_index(drop=True), frame[~asks].reset_index(drop=True)
-        right = right.assign(shown=[str(k) for k in right["key"]]).sort_values(["at", "shown"], kind="stable").reset_index(drop=True)
-        sizes, own = (np.array([len(t) for t in frame["tokens"]], dtype=np.int64) for frame in (right, left))
-        flat = lambda frame: np.concatenate([np.asarray(t, dtype=object) for t in frame["tokens"]] or [np.array([], dtype=object)])
-        words = pd.Index(pd.unique(flat(right)))
-
-        def places(frame: pd.DataFrame, lengths: np.ndarray):
-            """Word and row of every token, by word."""
-            codes = words.get_indexer(flat(frame))
-            order = np.argsort(codes, kind="stable")
-            return codes[order], np.repeat(np.arange(len(frame)), lengths)[order]
-
-        # Common words are counted by products over a slice of words at a time, however many there are.
-        (asked, askers), (held, holders) = places(left, own), places(right, sizes)
-        both = np.zeros((len(left), len(right)), dtype=np.float32)
-        for at in range(0, len(words), RELATED_WORDS):
-            one, two = (slice(*np.searchsorted(codes, (at, at + RELATED_WORDS))) for codes in (asked, held))
-            ask, hold = np.zeros((len(left), RELATED_WORDS), dtype=np.float32), np.zeros((RELATED_WORDS, len(right)), dtype=np.float32)
-            ask[askers[one], asked[one] - at] = 1
-            hold[held[two] - at, holders[two]] = 1
-            both += ask @ hold
-        both = both.astype(np.float64)
-        score = np.where((sizes[None, :] > 0) & (own[:, None] > 0), np.rint(100.0 * both / np.maximum(own[:, None] + sizes[None, :] - both, 1)), 0).astype(int)
-        seen = (score >= threshold) & (left["key"].to_numpy()[:, None] != right["key"].to_numpy()[None, :])
+        frame = frame.assign(shown=[str(k) for k in frame["key"]]).sort_values(["at", "shown"], kind="stable").reset_index(drop=True)
+        own, keys = frame["own"].to_numpy(), frame["key"].to_numpy()
+        left, right = (np.flatnonzero(own == frame[side].iat[0]) for side in ("i", "j"))
+        same = frame["i"].iat[0] == frame["j"].iat[0]
+        sizes = np.array([0 if t is None else len(t) for t in frame["tokens"]], dtype=np.int64)
+        codes, words = pd.factorize(np.concatenate([np.asarray(t, dtype=np.int64) for t in frame["tokens"] if t is not None] or [np.zeros(0, dtype=np.int64)]))
+        ends = np.cumsum(sizes)
+        row_of = np.repeat(np.arange(len(frame)), sizes)
+        place_of = np.full(len(frame), -1)
+        place_of[right] = np.arange(len(right))
+        listed = np.flatnonzero(place_of[row_of] >= 0)
+        listed = listed[np.argsort(codes[listed], kind="stable")]
+        held, holders = np.bincount(codes[listed], minlength=len(words)), place_of[row_of[listed]]
+        starts = np.cumsum(held) - held
         if pool is not None:
-            seen &= right["place"].to_numpy(dtype=float)[None, :] <= pool + (left["place"].to_numpy(dtype=float) <= pool)[:, None]
-        counts, related = seen.sum(axis=1).tolist(), []
-        for n in range(len(left)):
-            picked = np.flatnonzero(seen[n])
-            picked = picked[np.argsort(-score[n, picked], kind="stable")][:limit]
-            related.append([{"score": -int(score[n, p]), "at": right["at"].iloc[p], "case_id": right["shown"].iloc[p]} for p in picked])
-        return pd.DataFrame({"key": left["key"], "n": counts, "best": related})
+            place = frame["place"].to_numpy(dtype=float)
+        counts, best = np.zeros(len(frame), dtype=np.int64), []
+        for at in range(0, len(left), RELATED_STRIP):
+            some = left[at:at + RELATED_STRIP]
+            spot = np.concatenate([np.arange(ends[r] - sizes[r], ends[r]) for r in some])
+            both = _common_words(codes[spot], np.repeat(np.arange(len(some)), sizes[some]), len(some), len(right), held, starts, holders)
+            total = (sizes[some][:, None] + sizes[right][None, :]).astype(np.float32)
+            # A wide net first (the share times 100 is at least threshold - 0.5), then the score itself.
+            l, r = np.nonzero(both * 100 >= (threshold - 0.6) * (total - both))
+            shared = both[l, r].astype(np.float64)
+            l, r = some[l], right[r]
+            score = np.where((sizes[l] > 0) & (sizes[r] > 0), np.rint(100.0 * shared / np.maximum(sizes[l] + sizes[r] - shared, 1)), 0).astype(np.int64)
+            near = (score >= threshold) & (keys[l] != keys[r])
+            l, r, score = l[near], r[near], score[near]
+            for asker, other in ((l, r),) if same else ((l, r), (r, l)):
+                seen = slice(None) if pool is None else place[other] <= pool + (place[asker] <= pool)
+                counts += np.bincount(asker[seen], minlength=len(frame))
+                best.append(_best_few(asker[seen], other[seen], score[seen], limit))
+        related = [[] for _ in range(len(frame))]
+        if best:
+            when, shown = frame["at"], frame["shown"]
+            for n, p, s in zip(*(part.tolist() for part in _best_few(*(np.concatenate(part) for part in zip(*best)), limit))):
+                related[n].append({"score": -s, "at": when.iat[p], "case_id": shown.iat[p]})
+        return pd.DataFrame({"key": frame["key"], "n": counts, "best": related})
 
     when = cases.schema[created].dataType.simpleString()
     met = sides.groupBy("identity", "i", "j").applyInPandas(compare, f"key {kind}, n long, best array<struct<score:int,at:{when},case_id:string>>")
+    met = met.where("n > 0")
     found = met.groupBy("key").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, limit).alias("best"))
     out = cases.select(key, named.alias("_named")).join(found.withColumnRenamed("key", key), key, "left")
     return out.select(

@@ -374,3 +374,20 @@ def test_work_of_a_flagged_case_does_not_grow_with_the_unit():
     start = time.perf_counter()
     assert sum(len(f) for f in S._fold_units(iter([frame]))) == 8000
     assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize("words, steps", [(2, 7), (2048, 4_000_000)])
+def test_common_words_by_products_and_by_lists(monkeypatch, words, steps):
+    """Frequent words are counted by products, rare ones by lists; both in slices of any size."""
+    import numpy as np
+    monkeypatch.setattr(K, "RELATED_WORDS", words)
+    monkeypatch.setattr(K, "RELATED_STEPS", steps)
+    rng = np.random.default_rng(5)
+    there = rng.random((90, 60)) < np.linspace(0, .6, 60)
+    asks, holds = there[:30], there[30:]
+    rows, codes = np.nonzero(asks)
+    listed, holders = np.nonzero(holds.T)
+    held = np.bincount(listed, minlength=60)
+    assert (held > 8).any() and ((held > 0) & (held <= 8)).any()
+    both = K._common_words(codes, rows, 30, 60, held, np.cumsum(held) - held, holders)
+    assert (both == asks.astype(int) @ holds.T.astype(int)).all()
