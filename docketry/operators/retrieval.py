@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docketry.functions.scale import settle, spread_join
@@ -30,6 +31,8 @@ from docketry.sources import fixed
 SHIPPED_CELLS = 20_000_000
 # Impacts (words x chunks) that are laid out as a table.
 TABLE_CELLS = 4_000_000
+# Pairs and rows (their words are Python objects) that a task scores at a time, whatever the size of its Arrow batches.
+SCORED_CELLS, SCORED_ROWS = 1_000_000, 256
 RANK_DIGITS = 9
 
 
@@ -108,17 +111,25 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, stop
     matrix = np.zeros((len(terms), len(query_ids)))
     matrix[terms.get_indexer(weights["term"]), query_ids.get_indexer(weights["query_id"])] = weights["w"]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = np.zeros((len(batch), len(query_ids)))
-            for row, known in enumerate(_term_codes(terms, batch["tokens"])):
+    rows = _slice_rows(len(query_ids))
+    kinds = [df.select(c).limit(0).toArrow().schema.field(c).type for df, c in ((queries, "query_id"), (chunks, "chunk_id"))]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None  # 2 k per query of all slices so far
+        for part in _slices(batches, rows):
+            scores = np.zeros((len(part), len(query_ids)))
+            for row, known in enumerate(_term_codes(terms, part["tokens"])):
                 found, counts = np.unique(known, return_counts=True)
-                damp = k1 * (1 - b + b * batch["len"].iat[row] / average)
+                damp = k1 * (1 - b + b * part["len"].iat[row] / average)
                 scores[row] = (counts * (k1 + 1) / (counts + damp)) @ matrix[found]
-            yield _batch_top(scores, batch["chunk_id"].to_numpy(), query_ids, 2 * k, positive=True)
-
-    # Every batch is scored once: 2 k per query by raw score, then shares of the best.
-    partial = top_k(tokens.mapInPandas(score, _pair_schema(queries, chunks)), "score", 2 * k)
+            best = _running_top(best, scores, part["chunk_id"].to_numpy(), 2 * k)
+        if best is not None:
+            places, ids, values = best
+            told = [pa.array(query_ids.to_numpy()[places].tolist(), kinds[0]), pa.array(ids.tolist(), kinds[1]), pa.array(values, pa.float64())]
+            yield pa.RecordBatch.from_arrays(told, ["query_id", "chunk_id", "score"])
+
+    # Every chunk is scored once: 2 k per query by raw score, then shares of the best.
+    partial = top_k(tokens.mapInArrow(score, _pair_schema(queries, chunks)), "score", 2 * k)
     share = F.col("score") / F.max("score").over(W.partitionBy("query_id"))
     return top_k(partial.select("query_id", "chunk_id", share.alias("lexical_score")), "lexical_score", k)
 
@@ -137,6 +148,36 @@ def _term_codes(terms: pd.Index, tokens: pd.Series) -> list[np.ndarray]:
     return [part[part >= 0] for part in np.split(terms.get_indexer(flat), ends[:-1])]
 
 
+def _slice_rows(others: int) -> int:
+    return max(1, min(SCORED_ROWS, SCORED_CELLS // max(1, others)))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pd.DataFrame]:
+    """At most ``rows`` rows at a time: only these become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows).to_pandas()
+
+
+def _running_top(best: tuple[np.ndarray, ...] | None, scores: np.ndarray, chunk_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query places, chunk ids, scores): the k best positive scores of every query among ``best`` and the new
+    ``scores`` (chunks x queries); ties go to the smaller id. Scores below a query's k-th best are left out unsorted."""
+    rounded = np.round(scores, RANK_DIGITS)
+    least = np.zeros(scores.shape[1])
+    if best is not None:
+        places, _, values = best
+        full = np.flatnonzero(np.bincount(places, minlength=len(least)) == k)
+        least[full] = np.round(values[np.searchsorted(places, full, "right") - 1], RANK_DIGITS)
+    rows, columns = np.nonzero((rounded > 0) & (rounded >= least))
+    told = [columns, chunk_ids[rows], scores[rows, columns]]
+    if best is not None:
+        told = [np.concatenate(pair) for pair in zip(best, told)]
+    order = np.lexsort((pd.factorize(told[1], sort=True)[0], -np.round(told[2], RANK_DIGITS), told[0]))
+    places = told[0][order]
+    order = order[np.arange(len(places)) - np.searchsorted(places, places, "left") < k]
+    return tuple(part[order] for part in told)
+
+
 def _batch_top(scores: np.ndarray, chunk_ids: np.ndarray, query_ids, k: int, positive: bool = False) -> pd.DataFrame:
     """k best rows of every column; ties go to the smaller id."""
     frames = []
@@ -328,7 +369,8 @@ def hybrid_retrieve(cases: DataFrame, corpus: DataFrame, top: int = fixed.TOP_K,
     (query_id, rank, chunk_id, score, lexical_score, rank_score, evident,
     source_status). A case or chunk without a vector has no dense rank: its dense
     score is 0 and its words alone count. A pinned corpus is measured and shipped as
-    one index; each Arrow batch of cases is scored, fused and cut in place. Beyond
+    one index; each Arrow batch of cases is scored, fused and cut in place, in small
+    slices, so that memory does not follow the batch. Beyond
     ``pinned_cells`` values the threshold way of ``_fused_by_threshold`` gives the
     same rows.
     """
@@ -339,7 +381,8 @@ def hybrid_retrieve(cases: DataFrame, corpus: DataFrame, top: int = fixed.TOP_K,
     if shape.n * width + (shape.p or 0) > pinned_cells:
         best = _fused_by_threshold(words, indexed, top, k, width, pinned_cells)
     else:
-        index = _Index(indexed.toPandas(), width)
+        listed = indexed.toArrow()
+        index, kind, rows = _Index(listed.to_pandas(), width), listed.schema.field("chunk_id").type, _slice_rows(listed.num_rows)
 
         def positions(scores: np.ndarray) -> np.ndarray:
             """1-based rank of every column per row; columns are in id order, so ties are stable."""
@@ -348,21 +391,23 @@ def hybrid_retrieve(cases: DataFrame, corpus: DataFrame, top: int = fixed.TOP_K,
             np.put_along_axis(ranks, order, np.arange(1, order.shape[1] + 1)[None, :], axis=1)
             return ranks
 
-        def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+        def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _slices(batches, rows):
                 dense, lexical = index.dense_of(batch["embedding"]), index.lexical_of(batch["terms"])
                 most = lexical.max(axis=1, keepdims=True, initial=0.0)
                 lexical = np.divide(lexical, most, out=np.zeros_like(lexical), where=most > 0)
                 fused = np.where(np.isnan(dense), 0.0, 1.0 / (k + positions(np.round(dense, RANK_DIGITS)))) + np.where(
                     lexical > 0, 1.0 / (k + positions(np.round(lexical, RANK_DIGITS))), 0.0)
                 picked = np.argsort(-np.round(fused, 12), axis=1, kind="stable")[:, :top]
-                take = lambda m: np.take_along_axis(m, picked, axis=1).ravel()
+                take = lambda m: pa.array(np.take_along_axis(m, picked, axis=1).ravel(), pa.float64())
                 width = picked.shape[1]
-                yield pd.DataFrame({
-                    "query_id": np.repeat(batch["query_id"].to_numpy(), width), "rank": np.tile(np.arange(1, width + 1), len(batch)), "chunk_id": pd.Series(index.ids[picked].ravel(), dtype=object),
-                    "score": take(np.nan_to_num(dense)), "lexical_score": take(lexical), "rank_score": take(fused)})
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(batch["query_id"].to_numpy(), width).tolist(), asked), pa.array(np.tile(np.arange(1, width + 1), len(batch)), pa.int32()),
+                    pa.array(index.ids[picked].ravel().tolist(), kind), take(np.nan_to_num(dense)), take(lexical), take(fused)],
+                    ["query_id", "rank", "chunk_id", "score", "lexical_score", "rank_score"])
 
-        best = words.mapInPandas(retrieve, f"{_ids(words, indexed)}, rank int, score double, lexical_score double, rank_score double")
+        asked = words.select("query_id").limit(0).toArrow().schema.field("query_id").type
+        best = words.mapInArrow(retrieve, f"query_id {words.schema['query_id'].dataType.simpleString()}, rank int, chunk_id {indexed.schema['chunk_id'].dataType.simpleString()}, score double, lexical_score double, rank_score double")
     best = best.withColumn("lexical_score", F.col("lexical_score") * lexical_weight).withColumn("evident", (F.col("score") >= gate) | (F.col("lexical_score") >= gate))
     found = F.bool_or("evident").over(W.partitionBy("query_id"))  # ``top`` rows of each case
     status = F.when(found, "relevant_source_found").otherwise("no_relevant_source")

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import drafts as D, privacy as P, retrieval as R
@@ -133,3 +135,25 @@ def test_corpus_chunks(frame):
     rows = frame([("REG-001", "Law", [("Art 1", "t" * 600), ("Art 2", "u")])], "source_id string, title string, items array<struct<locator:string,text:string>>")
     got = loaders.build_chunks(rows).orderBy("chunk_id").collect()
     assert [(r.chunk_id, len(r.excerpt), r.content[:12]) for r in got] == [("REG-001-chunk-001", 500, "Law Art 1. t"), ("REG-001-chunk-002", 1, "Law Art 2. u")]
+
+
+@pytest.mark.parametrize("name", [lambda n: n, lambda n: f"c{n:03d}"])
+def test_running_top_of_slices_is_the_top_of_all(name):
+    """Slices of chunks in any order keep what one sort of everything keeps; ties fall to the smaller id."""
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.random((300, 7)), 1) * (rng.random((300, 7)) < .5)
+    scores[:, 6] = 0
+    ids = np.array([name(int(n)) for n in rng.permutation(300)], dtype=object)
+    best = None
+    for at in range(0, 300, 40):
+        best = R._running_top(best, scores[at:at + 40], ids[at:at + 40], 10)
+    want = [(q, i, s) for q in range(7) for s, i in sorted(((s, i) for s, i in zip(scores[:, q], ids) if s > 0), key=lambda e: (-e[0], e[1]))[:10]]
+    assert list(zip(*(part.tolist() for part in best))) == want
+
+
+def test_rows_of_a_large_batch_become_objects_in_slices():
+    """A batch of 10,000 rows is scored 256 rows or 1,000,000 pairs at a time."""
+    batch = pa.RecordBatch.from_pydict({"n": list(range(10_000)), "words": [[f"w{n}"] for n in range(10_000)]})
+    parts = list(R._slices(iter([batch]), R._slice_rows(200)))
+    assert max(len(p) for p in parts) == 256 and [w for p in parts for words in p["words"] for w in words] == [f"w{n}" for n in range(10_000)]
+    assert R._slice_rows(50_000) == 20 and R._slice_rows(2_000_000) == 1
