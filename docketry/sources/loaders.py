@@ -154,19 +154,21 @@ def default_registry(spark: SparkSession) -> DataFrame:
 
 
 def registry_violations(registry: DataFrame, expected_types: int = fixed.REGISTRY_TYPES) -> DataFrame:
+    """Broken rules of a field registry as (rule, id). A registry is often parsed from JSON, so it is read
+    three times, not once per rule: for the rules of a row, for the counts, and for the number of types."""
+    c = F.col
     key = F.concat_ws("/", "request_type_id", "field_id")
-    sizes = registry.groupBy("request_type_id").agg(F.count("*").alias("n"))
-    total = registry.agg(F.countDistinct("request_type_id").alias("n")).where(F.col("n") != expected_types)
-    return (
-        _violation(sizes.where(F.col("n") > fixed.MAX_FIELDS_PER_TYPE), "too_many_fields", F.col("request_type_id"))
-        .unionByName(_duplicates(registry, "field_id_unique", ["request_type_id", "field_id"]))
-        .unionByName(_violation(registry.where(~F.coalesce(F.col("field_id").rlike("^[a-z][a-z0-9-]*$"), F.lit(False))), "field_id_format", key))
-        .unionByName(_violation(registry.where(F.coalesce(F.length("label"), F.lit(0)) == 0), "field_label_required", key))
-        .unionByName(_violation(registry.where(~F.coalesce(F.col("kind").isin(*fixed.FIELD_KINDS), F.lit(False))), "field_kind_known", key))
-        .unionByName(_violation(registry.where(F.col("required").isNull()), "field_required_flag", key))
-        .unionByName(_violation(registry.where(F.coalesce("schema_version", F.lit("")) != fixed.FIELD_SCHEMA_VERSION), "registry_version", key))
-        .unionByName(_violation(total, "request_type_count", F.col("n")))
-    )
+    of_row = {
+        "field_id_format": ~F.coalesce(c("field_id").rlike("^[a-z][a-z0-9-]*$"), F.lit(False)), "field_label_required": F.coalesce(F.length("label"), F.lit(0)) == 0,
+        "field_kind_known": ~F.coalesce(c("kind").isin(*fixed.FIELD_KINDS), F.lit(False)), "field_required_flag": c("required").isNull(),
+        "registry_version": F.coalesce("schema_version", F.lit("")) != fixed.FIELD_SCHEMA_VERSION}
+    broken = registry.select(F.explode(F.array_compact(F.array(*[F.when(wrong, rule) for rule, wrong in of_row.items()]))).alias("rule"), key.alias("id"))
+    type_id, field_id = c("request_type_id"), c("field_id")
+    counts = registry.groupingSets([[type_id, field_id], [type_id]], type_id, field_id).agg(F.grouping("field_id").alias("whole"), F.count("*").alias("n"))
+    counted = counts.where(c("n") > F.when(c("whole") == 1, fixed.MAX_FIELDS_PER_TYPE).otherwise(1)).select(
+        F.when(c("whole") == 1, "too_many_fields").otherwise("field_id_unique").alias("rule"), F.when(c("whole") == 1, type_id).otherwise(key).alias("id"))
+    total = registry.agg(F.countDistinct("request_type_id").alias("n")).where(c("n") != expected_types)
+    return broken.unionByName(counted).unionByName(_violation(total, "request_type_count", c("n")))
 
 
 # --- corpus and policy ------------------------------------------------------

@@ -132,3 +132,15 @@ def test_streams_read_a_file_and_a_folder_of_parts(spark, tmp_path, parts):
             rows.toPandas().to_parquet(target)
     drain(stream(spark, str(tmp_path / "in"), "documents"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(50))
+
+
+def test_registry_rules_share_their_reads(spark, frame):
+    """Every rule at its count, null ids too; eight rules read the registry three times."""
+    rows = [("a", n, "same", "L", "free-text", True, "x") for n in range(10)] + [("b", 0, None, "", "colour", None, None), ("b", 1, None, "L", "free-text", True, "x"), (None, 0, "Bad", "L", "free-text", True, "x")]
+    registry = frame(rows, "request_type_id string, ord int, field_id string, label string, kind string, required boolean, schema_version string")
+    registry = registry.withColumn("schema_version", F.when(F.col("schema_version") == "x", loaders.fixed.FIELD_SCHEMA_VERSION))
+    out = loaders.registry_violations(registry, expected_types=9)
+    assert sorted((r.rule, r.id) for r in out.collect()) == sorted([
+        ("too_many_fields", "a"), ("field_id_unique", "a/same"), ("field_id_unique", "b"), ("field_id_format", "b"), ("field_id_format", "b"), ("field_id_format", "Bad"),
+        ("field_label_required", "b"), ("field_kind_known", "b"), ("field_required_flag", "b"), ("registry_version", "b"), ("request_type_count", "2")])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
