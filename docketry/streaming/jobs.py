@@ -34,7 +34,8 @@ class FirstRecord(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One trigger may hand the rows of a key over in several frames: order them all first.
         batch = pd.concat([b[["document_id", "arrival", "print"]] for b in rows]).sort_values("arrival", kind="stable")
-        known = self.first.get()[0] if self.first.exists() else None
+        first = self.first.get()  # a call to the state store costs more than a row: ask once
+        known = first[0] if first else None
         outcomes = []
         for digest in batch["print"]:
             if known is None:
@@ -89,14 +90,19 @@ class CaseProjector(StatefulProcessor):
         self.failures = handle.getMapState("failures", "seq long", "counted boolean", self.remember_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, stage, state, attempts = self.facts.get() if self.facts.exists() else (-1, None, None, 0)
+        # A call to the state store costs more than a row: each failure is asked for once, and only of a case that has any.
+        facts = self.facts.get()
+        seq, stage, state, attempts = facts or (-1, None, None, 0)
         before, known = state, (seq, attempts)
+        asked, counted = set(), attempts > 0
         # Every failure counts, also one that arrives late; the latest fact decides the state.
         for batch in rows:
             for fact in batch[["seq", "stage", "state"]].itertuples(index=False):
-                if fact.stage == "failed" and not self.failures.containsKey((int(fact.seq),)):
-                    self.failures.updateValue((int(fact.seq),), (True,))
-                    attempts += 1
+                if fact.stage == "failed" and int(fact.seq) not in asked:
+                    asked.add(int(fact.seq))
+                    if not (counted and self.failures.containsKey((int(fact.seq),))):
+                        self.failures.updateValue((int(fact.seq),), (True,))
+                        attempts += 1
                 if fact.seq > seq:
                     seq, stage, state = int(fact.seq), str(fact.stage), str(fact.state)
         if stage == "failed":

@@ -391,3 +391,51 @@ def test_common_words_by_products_and_by_lists(monkeypatch, words, steps):
     assert (held > 8).any() and ((held > 0) & (held <= 8)).any()
     both = K._common_words(codes, rows, 30, 60, held, np.cumsum(held) - held, holders)
     assert (both == asks.astype(int) @ holds.T.astype(int)).all()
+
+
+class _FakeState:
+    """Value and map state in memory; counts the calls that would travel to the state store."""
+
+    def __init__(self):
+        self.value, self.entries, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.entries
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+
+def test_a_new_case_asks_the_state_store_once_and_writes_each_failure_once():
+    import pandas as pd
+    rows = lambda *seqs: iter([pd.DataFrame({"seq": seqs, "stage": ["failed"] * len(seqs), "state": ["x"] * len(seqs)})])
+    case, store = J.CaseProjector(cooldown_ms=0), _FakeState()
+    case.init(store)
+    attempts = lambda found: [r.attempts for f in found for r in f.itertuples()]
+    assert attempts(case.handleInputRows((1,), rows(*range(20), 3, 7), None)) == [20]
+    assert store.calls == 22  # one read, 20 failures, one write
+    assert attempts(case.handleInputRows((1,), rows(5, 5, 30), None)) == [] and store.value[3] == 21
+    first, store = J.FirstRecord(), _FakeState()
+    first.init(store)
+    batch = lambda *prints: iter([pd.DataFrame({"document_id": "d", "arrival": range(len(prints)), "print": prints})])
+    assert [f["outcome"].tolist() for f in first.handleInputRows(("d",), batch("a", "a", "b"), None)] == [["accepted", "replay", "conflict"]] and store.calls == 2
+    assert [f["outcome"].tolist() for f in first.handleInputRows(("d",), batch("b", "a"), None)] == [["conflict", "replay"]]
