@@ -13,6 +13,10 @@ Candidates come from three sources, and exact shingle sets decide each:
    ordered rarest first, by their number of such texts; a pair of the similarity shares
    one of the first n - ceil(0.8 n) + 1 shingles of both (prefix filter, exact). A
    frequent passage stands last in the order, so the texts that share it never meet.
+   Variants of one text share its shingles first and last. Two of them meet only at a shingle
+   that can be their first common one (behind it both have as many left as the similarity
+   needs), and only if their marks (the parity of the shingles in each of ``MARKS``
+   classes) differ in no more places than their sets may differ. Both are exact.
 
 Before sets are made, pairs with fewer than ``LIKELY`` of their 100 minima in common go: a
 pair of similarity 0.8 is among them with a probability of one in a million. Equal sets are compared once; sets
@@ -34,6 +38,7 @@ BANDS = 25
 ROWS = 4
 CROWD = 8
 LIKELY = 60
+MARKS = 1024
 
 
 def shingles(text, words: int):
@@ -81,16 +86,20 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of ``nodes`` (node, row)."""
+    """(node, hashes, marks) of ``nodes`` (node, row); marks: the parity of the hashes in each of ``MARKS`` classes, 64 to a long."""
 
     def cut(batches):
+        import numpy as np
         import pyarrow as pa
 
+        parity = lambda s: np.packbits((np.bincount(s % np.uint64(MARKS), minlength=MARKS) & 1).astype(np.uint8)).view("int64")
+
         for batch in by_bytes(batches, "text", 4 << 20):
-            sets = [shingles(t, words).view("int64") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            long = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.view("int64") for s in sets], long), pa.array([parity(s) for s in sets], long)], names=["node", "hashes", "marks"])
 
-    return docs.select("row", "text").join(nodes, "row").select("node", "text").mapInArrow(cut, "node long, hashes array<long>")
+    return docs.select("row", "text").join(nodes, "row").select("node", "text").mapInArrow(cut, "node long, hashes array<long>, marks array<long>")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -146,6 +155,16 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         met = one("a", "n", "r").join(one("b", "m", "s"), list(key)).where((F.col("r") < F.col("s")) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")))
         return met.select("a", "b")
 
+    def first_met(rows: DataFrame, marks: DataFrame) -> DataFrame:
+        """Of the pairs apart, those whose first common shingle this can be and whose marks allow the similarity."""
+        marked = rows.join(marks, "node")
+        one = lambda **names: marked.select("shingle", *[F.col(c).alias(a) for a, c in names.items()])
+        need = F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6)
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(MARKS // 64)])
+        met = one(a="node", n="n", r="root", p="place", x="marks").join(one(b="node", m="n", s="root", q="place", y="marks"), "shingle")
+        return met.where((F.col("r") < F.col("s")) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m"))
+                         & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= need) & (differ <= F.col("n") + F.col("m") - 2 * need)).select("a", "b")
+
     # 1. SimHash links: of a fingerprint's sets, all are compared with the smallest, and the smallest of linked ones.
     faces = keep(marked.where("n > 0").select("fp", "node").distinct(), "faces")
     firsts = keep(faces.groupBy("fp").agg(F.min("node").alias("leader")), "prints")
@@ -170,7 +189,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         seen = words_of.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("s"))  # a text's own shingles
         # Shingles of one text only come first; what is left of the prefix is taken from the others.
         first = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1 - (F.col("n") - F.size("s")))
-        prefix = seen.join(crowds, "node").select("node", "n", F.explode(F.slice("s", F.lit(1), first)).alias("e")).select("node", "n", "e.shingle")
-        parts = check(apart(rooted(prefix, parts, "shingle"), "shingle"))
+        alone = F.col("n") - F.size("s")
+        prefix = seen.join(crowds, "node").select("node", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), first)).alias("place", "e"))
+        prefix = prefix.select("node", "n", (F.col("alone") + F.col("place")).alias("place"), "e.shingle")  # place: shingles before it
+        parts = check(first_met(rooted(prefix, parts, "shingle"), sets.select("node", "marks")))
     named = keep(prints.select("node").join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "named")
     return marked.select("row", "node").join(named, "node")  # both read from written tables: AQE can split a set with many copies

@@ -76,6 +76,26 @@ def test_texts_that_share_a_passage_do_not_meet(spark, monkeypatch):
     assert sum(pairs) < 600  # all pairs are 11,000
 
 
+def test_variants_just_under_the_similarity_do_not_meet(spark, monkeypatch):
+    """Variants of one text, most pairs of similarity 0.7: the links are all found, and of the 12,000 pairs few are compared."""
+    rng = np.random.default_rng(4)
+    base = [f"b{n}" for n in range(300)]
+    texts = {}
+    for n in range(160):
+        some = list(base)
+        for at in rng.choice(300, 3 if n < 8 else 10 + n % 3, replace=False):
+            some[at] = f"c{n}_{at}"
+        texts[n] = " ".join(some)
+    frame = near_copies.keep(spark.createDataFrame(list(texts.items()), "row long, text string"))
+    pairs, keep = [], near_copies.keep
+    monkeypatch.setattr(near_copies, "keep", lambda df, purpose="kept": (lambda out: (pairs.append(out.count()) if purpose == "pairs" else None, out)[1])(keep(df, purpose)))
+    got = {r.row: r.root for r in near_copies.near_copies(frame).collect()}
+    want = brute(texts)
+    groups = lambda of: sorted(sorted(n for n in of if of[n] == r) for r in set(of.values()))
+    assert groups(got) == groups(want) and 20 < len(set(want.values())) < 160
+    assert pairs[-1] < 1500  # the pairs of the prefixes
+
+
 def test_recall_of_planted_similarities(spark):
     """Pairs of similarity 0.8 to 0.9, none of which SimHash links: all are found."""
     rng = np.random.default_rng(11)
