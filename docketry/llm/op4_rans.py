@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm.common import keep, shared_folder, table
+from docketry.llm.common import by_bytes, keep, shared_folder, table
 from docketry.llm.tokens import END_ID, default_vocabulary, id_type, tokenized
 
 BLOCK_TOKENS = 1 << 18
@@ -130,12 +130,11 @@ def write(docs: DataFrame, folder: str, path: str, block_tokens: int = BLOCK_TOK
         import pyarrow as pa
 
         seen = np.zeros(1, dtype=np.int64)
-        for batch in batches:
-            for raw in batch.column("ids"):
-                found = np.bincount(np.frombuffer(raw.as_buffer(), dtype=dtype))
-                if len(found) > len(seen):
-                    found, seen = seen, found
-                seen[:len(found)] += found
+        for batch in by_bytes(batches, "ids"):  # a count is as long as the vocabulary: one for each batch, not for each document
+            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=dtype))
+            if len(found) > len(seen):
+                found, seen = seen, found
+            seen[:len(found)] += found
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["id", "n"])
 

@@ -40,6 +40,7 @@ class PieceEncoder:
         others = [b for b in range(256) if b not in set(printable)]
         self.letters = str.maketrans({b: chr(256 + n) for n, b in enumerate(others)})
         self.odd = re.compile("[" + "".join(map(re.escape, map(chr, others))) + "]").search
+        self.marks = {m: self._exact(m) for m in ",.;:!?"}
         self.shape = re.compile(r"([^\W\d_]+)([^\w\s]*)(?:\n(.+))?").fullmatch
 
     def _exact(self, text: str) -> bytes:
@@ -108,11 +109,18 @@ class PieceEncoder:
         heads, known = [], {}
         for c in codes[first[:-1]].tolist():
             heads.append(known.setdefault(c, len(pieces) + len(known)))
-        unsafe = np.array([not p or p[0].isspace() or p[-1].isspace() for p in pieces] + [False] * len(known))
+        unsafe = np.array([not p or p.strip() != p for p in pieces] + [False] * len(known))
         unsafe[[n for c, n in known.items() if unsafe[c]]] = True
         codes[first[:-1]] = heads
-        make = self._piece
-        found = [b"" if bad else make(p) for p, bad in zip(pieces, unsafe.tolist())]
+        make, met, mark = self._piece, self.words["Ġ"].get, self.marks.get
+        found = []
+        for p, bad in zip(pieces, unsafe.tolist()):
+            if bad:
+                ids = b""
+            elif (ids := met(p)) is None:  # a known word, with one common mark behind it, or a piece to be made
+                close = mark(p[-1])
+                ids = make(p) if close is None or (word := met(p[:-1])) is None else word + close
+            found.append(ids)
         found += [b"" if unsafe[n] else make(pieces[c], "") for c, n in known.items()]
         flat = pa.array(found, pa.large_binary()).take(pa.array(codes))
         ends = np.frombuffer(flat.buffers()[1], dtype=np.int64)[:len(flat) + 1]

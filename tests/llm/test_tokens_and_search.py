@@ -182,3 +182,20 @@ def test_search_edges(spark, blocks):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in op3_multi_index.search(few, F.col("vec_id") % 50 == 0).collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
     assert op3_multi_index.search(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_known_words_with_a_mark_are_looked_up_only():
+    """Ids equal the library's, and pieces of known words (one common mark behind them or none) are not taken apart again."""
+    from tokenizers import Tokenizer
+
+    from docketry.llm import tokens
+
+    path = tokens.default_vocabulary()
+    whole, encoder = Tokenizer.from_file(path), tokens.PieceEncoder(path)
+    texts = ["alpha beta alpha, beta. gamma! , it's it's, café café; x  beta  y  z, ., a.b, ", "beta, alpha. gamma? café!", ""]
+    for _ in range(2):
+        assert [i.tolist() for i in encoder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    taken, make = [], encoder._piece
+    encoder._piece = lambda piece, lead="Ġ": (taken.append(piece), make(piece, lead))[1]
+    encoder.encode(["alpha beta, gamma! café; beta"])
+    assert taken == ["alpha"]  # the first piece has no blank before it
