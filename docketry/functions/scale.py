@@ -133,6 +133,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back; gives the path too.
+
+    The shuffle files of the run are deleted when it ends, not when the driver
+    happens to collect its garbage.
+    """
+    spark, cleaning = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = shared_dir(spark, purpose), spark.conf.get(cleaning, None)
+    spark.conf.set(cleaning, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(cleaning) if before is None else spark.conf.set(cleaning, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` gave and that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location."""
     root = spark.conf.get("spark.checkpoint.dir", None)

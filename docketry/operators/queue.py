@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from docketry.functions import overlap
+from docketry.functions.scale import discard, lookup, settle, written
 from docketry.functions.text import ascii_fold, round_half_even, strip
 from docketry.operators.cases import metadata_text
 from docketry.operators.routing import applicant_name
@@ -81,56 +84,91 @@ def similarity_tokens(text: Column) -> Column:
 
 RELATED_BLOCK = 8192
 RELATED_CHARS = 32_000_000  # text of a block
-RELATED_STRIP = 512         # rows of a block that are compared at a time
-RELATED_WORDS = 2048        # words of one product
-RELATED_SHARE = 0.08        # of a block's rows: words of more rows are counted by products, others by their lists
-RELATED_STEPS = 4_000_000   # list entries that are counted at a time
-
-
-def _common_words(codes: np.ndarray, rows: np.ndarray, n: int, m: int, held: np.ndarray, starts: np.ndarray, holders: np.ndarray) -> np.ndarray:
-    """How many words each of ``n`` rows (by ``codes``, ``rows``) shares with each of ``m`` rows,
-    which are listed by word: ``held`` of them from ``starts`` on in ``holders``."""
-    both = np.zeros((n, m), dtype=np.float32)
-    often = held > max(8, RELATED_SHARE * m)
-    wide = often[codes]
-    words = np.unique(codes[wide])
-    for at in range(0, len(words), RELATED_WORDS):
-        some = words[at:at + RELATED_WORDS]
-        ask, hold = np.zeros((n, len(some)), dtype=np.float32), np.zeros((len(some), m), dtype=np.float32)
-        mine = wide & (codes >= some[0]) & (codes <= some[-1])
-        ask[rows[mine], np.searchsorted(some, codes[mine])] = 1
-        for place, word in enumerate(some.tolist()):
-            hold[place, holders[starts[word]:starts[word] + held[word]]] = 1
-        both += ask @ hold
-    codes, rows = codes[~wide], rows[~wide]
-    reach = np.cumsum(held[codes])
-    at = 0
-    while at < len(codes):
-        done = reach[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(reach, done + RELATED_STEPS, "right")))
-        times = held[codes[at:end]]
-        entry = np.arange(times.sum()) + np.repeat(starts[codes[at:end]] - (np.cumsum(times) - times), times)
-        both += np.bincount(np.repeat(rows[at:end] * m, times) + holders[entry], minlength=n * m).reshape(n, m).astype(np.float32)
-        at = end
-    return both
-
-
-def _best_few(asker: np.ndarray, other: np.ndarray, score: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
-    """The ``limit`` best others of each asker; equal scores by the other's place."""
-    order = np.lexsort((other, -score, asker))
+RELATED_FEW = 512           # cases of one applicant that are not worth two blocks
+RELATED_COPIES = 6          # of each block that are on the way at a time
+FAR = 2**31 - 1             # place of a case outside the pool
+
+
+def _best_few(asker: np.ndarray, other: np.ndarray, score: np.ndarray, turn: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
+    """The ``limit`` best others of each asker; equal scores by the other's turn."""
+    order = np.lexsort((turn[other], -score, asker))
     asker, other, score = asker[order], other[order], score[order]
     first = np.arange(len(asker)) - np.searchsorted(asker, asker, "left") < limit
     return asker[first], other[first], score[first]
 
 
+def _case_block(table: pa.Table) -> dict:
+    """Cases with their hashed words in ascending number of words; a case's turn is its place by age, then by id as text."""
+    order = pc.sort_indices(table, sort_keys=[("at", "ascending"), ("shown", "ascending")], null_placement="at_start").to_numpy()
+    turn = np.empty(len(order), dtype=np.int32)
+    turn[order] = np.arange(len(order), dtype=np.int32)
+    tokens = table["tokens"].combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.argsort(sizes, kind="stable")
+    values = pc.list_flatten(tokens).to_numpy(zero_copy_only=False)
+    entry = overlap.spans((np.cumsum(sizes) - sizes)[rows], sizes[rows])
+    place = pc.fill_null(table["place"], FAR).to_numpy()[rows]
+    return {"sets": overlap.block_of(values[entry], sizes[rows]), "turn": turn[rows], "place": place} | {
+        name: table[name].combine_chunks().take(pa.array(rows)) for name in ("key", "shown", "at")}
+
+
+def _packed(block: dict) -> dict:
+    """A block as the values of one row."""
+    sizes, words, codes = block["sets"]
+    steps, wide = overlap.pack(codes, sizes)
+    whole = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+    raw = lambda values, kind: pa.array([np.ascontiguousarray(values, dtype=kind).tobytes()], pa.binary())
+    return {name: whole(block[name]) for name in ("key", "shown", "at")} | {
+        "turn": raw(block["turn"], np.int32), "place": raw(block["place"], np.int32), "sizes": raw(sizes, np.int32),
+        "words": raw(words, np.int64), "steps": raw(steps, np.uint8), "wide": raw(wide, np.int32)}
+
+
+def _unpacked(table: pa.Table, row: int) -> dict:
+    raw = lambda name, kind: np.frombuffer(table[name][row].as_py(), dtype=kind)
+    sizes = raw("sizes", np.int32).astype(np.int64)
+    codes = overlap.unpack(raw("steps", np.uint8), raw("wide", np.int32), sizes)
+    return {name: table[name][row].values for name in ("key", "shown", "at")} | {
+        "sets": (sizes, raw("words", np.int64), codes), "turn": raw("turn", np.int32), "place": raw("place", np.int32)}
+
+
+def _relations(a: dict, b: dict | None, threshold: int, limit: int, pool: int | None) -> pa.Table:
+    """Count and best few of every case of two blocks among those of the other one, or inside one block."""
+    both = [a] if b is None else [a, b]
+    join = lambda name: np.concatenate([block[name] for block in both])
+    column = lambda name: pa.concat_arrays([block[name] for block in both])
+    turn, place, keys, shift = join("turn"), join("place"), column("key"), 0 if b is None else len(a["turn"])
+    counts, best = np.zeros(len(turn), dtype=np.int64), (np.zeros(0, dtype=np.int64),) * 3
+    for l, r, score in overlap.near_pairs(a["sets"], None if b is None else b["sets"], threshold):
+        r = r + shift
+        apart = pc.fill_null(pc.not_equal(keys.take(pa.array(l)), keys.take(pa.array(r))), False).to_numpy(zero_copy_only=False)
+        l, r, score = l[apart], r[apart], score[apart]
+        asker, other, score = np.concatenate([l, r]), np.concatenate([r, l]), np.concatenate([score, score])
+        if pool is not None:
+            seen = place[other] <= pool + (place[asker] <= pool)
+            asker, other, score = asker[seen], other[seen], score[seen]
+        counts += np.bincount(asker, minlength=len(turn))
+        best = _best_few(*(np.concatenate(part) for part in zip(best, (asker, other, score))), turn, limit)
+    asker, other, score = best
+    found = np.flatnonzero(counts)
+    offsets = np.append(np.searchsorted(asker, found, "left"), len(asker)).astype(np.int32)
+    others = pa.array(other)
+    entries = pa.StructArray.from_arrays([pa.array(-score, pa.int32()), column("at").take(others), column("shown").take(others)], names=["score", "at", "case_id"])
+    pa.default_memory_pool().release_unused()  # the worker process lives on
+    return pa.table({"key": keys.take(pa.array(found)), "n": pa.array(counts[found]), "best": pa.ListArray.from_arrays(pa.array(offsets), entries)})
+
+
 def related_cases(cases: DataFrame, identity: str = "identity", text: str = "text", created: str = "created_at", key: str = "case_id", pool: int | None = None,
                   threshold: int = fixed.RELATED_THRESHOLD, limit: int = fixed.RELATED_LIMIT, block: int = RELATED_BLOCK) -> DataFrame:
     """Same-applicant history of every case: similar_count and the best ``limit``.
 
     Cases of one applicant meet in blocks of at most about ``block`` rows each, so an
     applicant with many cases is spread over many tasks; two blocks meet once, for both sides.
-    A task counts common words strip by strip and returns counts and its best few per case,
-    never pairs. Words travel as 64-bit hashes: among a million words of one applicant two are
+    A block is packed once, to a row in the shared folder, with about a quarter of its words'
+    bytes. Pairs of blocks meet in rounds: a round ships about ``RELATED_COPIES`` copies of each
+    block at most, and what it found is merged into one row per case before the next begins, so
+    that disk grows with the cases and not with the pairs.
+    A task returns counts and its best few per case, never pairs (see ``functions.overlap``).
+    Words travel as 64-bit hashes: among a million words of one applicant two are
     taken for one with a probability of 3 in 100 million. ``pool`` compares only with that many
     newest *other* cases of the whole table, as an interactive screen may want.
 
@@ -143,64 +181,56 @@ def related_cases(cases: DataFrame, identity: str = "identity", text: str = "tex
     mine = lean.where(F.coalesce(c("identity") != "", F.lit(False)))
     chars = F.ceil(F.sum(F.coalesce(F.length("text"), F.lit(0))) / F.lit(RELATED_CHARS))
     # A middling applicant is cut finer than memory asks for, so that all cores have work.
-    blocks = mine.groupBy("identity").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), chars, F.least(F.lit(16), F.ceil(F.count("*") / F.lit(RELATED_STRIP)))).cast("int").alias("blocks"))
-    mine = mine.select("key", "identity", "at", F.transform(similarity_tokens(c("text")), lambda w: F.xxhash64(w)).alias("tokens"))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), chars, F.least(F.lit(8), F.ceil(F.count("*") / F.lit(RELATED_FEW)))).cast("int")
+    hot = settle(mine.groupBy("identity").agg(blocks.alias("blocks")).where("blocks > 1"))
+    total = hot.agg(F.sum("blocks").alias("blocks"), F.sum(c("blocks").cast("long") * c("blocks")).alias("copies")).first()
     if pool is not None:
         newest = lean.orderBy(F.desc("at"), "key").limit(pool + 1).select("key", F.row_number().over(W.orderBy(F.desc("at"), "key")).alias("place"))
         mine = mine.join(F.broadcast(newest), "key", "left")
     else:
         mine = mine.withColumn("place", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64("key"), c("blocks")).cast("int")
-    placed = mine.join(blocks, "identity").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
-    sides = placed.select("identity", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "at", "tokens", "place")
-    kind = cases.schema[key].dataType.simpleString()
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(shown=[str(k) for k in frame["key"]]).sort_values(["at", "shown"], kind="stable").reset_index(drop=True)
-        own, keys = frame["own"].to_numpy(), frame["key"].to_numpy()
-        left, right = (np.flatnonzero(own == frame[side].iat[0]) for side in ("i", "j"))
-        same = frame["i"].iat[0] == frame["j"].iat[0]
-        sizes = np.array([0 if t is None else len(t) for t in frame["tokens"]], dtype=np.int64)
-        codes, words = pd.factorize(np.concatenate([np.asarray(t, dtype=np.int64) for t in frame["tokens"] if t is not None] or [np.zeros(0, dtype=np.int64)]))
-        ends = np.cumsum(sizes)
-        row_of = np.repeat(np.arange(len(frame)), sizes)
-        place_of = np.full(len(frame), -1)
-        place_of[right] = np.arange(len(right))
-        listed = np.flatnonzero(place_of[row_of] >= 0)
-        listed = listed[np.argsort(codes[listed], kind="stable")]
-        held, holders = np.bincount(codes[listed], minlength=len(words)), place_of[row_of[listed]]
-        starts = np.cumsum(held) - held
-        if pool is not None:
-            place = frame["place"].to_numpy(dtype=float)
-        counts, best = np.zeros(len(frame), dtype=np.int64), []
-        for at in range(0, len(left), RELATED_STRIP):
-            some = left[at:at + RELATED_STRIP]
-            spot = np.concatenate([np.arange(ends[r] - sizes[r], ends[r]) for r in some])
-            both = _common_words(codes[spot], np.repeat(np.arange(len(some)), sizes[some]), len(some), len(right), held, starts, holders)
-            total = (sizes[some][:, None] + sizes[right][None, :]).astype(np.float32)
-            # A wide net first (the share times 100 is at least threshold - 0.5), then the score itself.
-            l, r = np.nonzero(both * 100 >= (threshold - 0.6) * (total - both))
-            shared = both[l, r].astype(np.float64)
-            l, r = some[l], right[r]
-            score = np.where((sizes[l] > 0) & (sizes[r] > 0), np.rint(100.0 * shared / np.maximum(sizes[l] + sizes[r] - shared, 1)), 0).astype(np.int64)
-            near = (score >= threshold) & (keys[l] != keys[r])
-            l, r, score = l[near], r[near], score[near]
-            for asker, other in ((l, r),) if same else ((l, r), (r, l)):
-                seen = slice(None) if pool is None else place[other] <= pool + (place[asker] <= pool)
-                counts += np.bincount(asker[seen], minlength=len(frame))
-                best.append(_best_few(asker[seen], other[seen], score[seen], limit))
-        related = [[] for _ in range(len(frame))]
-        if best:
-            when, shown = frame["at"], frame["shown"]
-            for n, p, s in zip(*(part.tolist() for part in _best_few(*(np.concatenate(part) for part in zip(*best)), limit))):
-                related[n].append({"score": -s, "at": when.iat[p], "case_id": shown.iat[p]})
-        return pd.DataFrame({"key": frame["key"], "n": counts, "best": related})
-
-    when = cases.schema[created].dataType.simpleString()
-    met = sides.groupBy("identity", "i", "j").applyInPandas(compare, f"key {kind}, n long, best array<struct<score:int,at:{when},case_id:string>>")
-    met = met.where("n > 0")
-    found = met.groupBy("key").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, limit).alias("best"))
-    out = cases.select(key, named.alias("_named")).join(found.withColumnRenamed("key", key), key, "left")
+    mine = mine.join(lookup(hot), "identity", "left") if total.blocks else mine.withColumn("blocks", F.lit(None).cast("int"))
+
+    kind, when = (cases.schema[name].dataType.simpleString() for name in (key, created))
+    told = f"key {kind}, n long, best array<struct<score:int,at:{when},case_id:string>>"
+    row = ["identity", F.pmod(F.xxhash64("key"), c("blocks")).cast("int").alias("block"), "key", c("key").cast("string").alias("shown"), "at", "place",
+           F.transform(similarity_tokens(c("text")), lambda w: F.xxhash64(w)).alias("tokens")]
+
+    def alone(table: pa.Table) -> pa.Table:
+        return _relations(_case_block(table), None, threshold, limit, pool)
+
+    def pack(table: pa.Table) -> pa.Table:
+        return pa.table({"identity": table["identity"][:1], "block": table["block"][:1]} | _packed(_case_block(table)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        a, b = _unpacked(table, 0), _unpacked(table, 1) if table.num_rows > 1 else None
+        if b is None and table["i"][0] != table["j"][0]:
+            a = {name: column[:0] for name, column in a.items()} | {"sets": overlap.NONE}  # no row was hashed into the other block
+        return _relations(a, b, threshold, limit, pool)
+
+    def merged(met: DataFrame) -> DataFrame:
+        return met.groupBy("key").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, limit).alias("best"))
+
+    met = mine.where(c("blocks").isNull()).select(*row).drop("block").groupBy("identity").applyInArrow(alone, told)
+    if total.blocks:
+        form = (f"identity {cases.schema[identity].dataType.simpleString()}, block int, key array<{kind}>, shown array<string>, at array<{when}>, "
+                "turn binary, place binary, sizes binary, words binary, steps binary, wide binary")
+        packed, _ = written(mine.where(c("blocks").isNotNull()).select(*row).groupBy("identity", "block").applyInArrow(pack, form), "case-blocks")
+        rounds = -(-total.copies // (RELATED_COPIES * total.blocks))
+        tasks = min(4096, 4 * -(-total.copies // (2 * rounds)))
+        pairs = hot.select("identity", "blocks", F.explode(F.sequence(F.lit(0), c("blocks") - 1)).alias("i")).select(
+            "identity", "i", F.explode(F.sequence("i", c("blocks") - 1)).alias("j"))
+        before = None
+        for n in range(rounds):
+            asked = pairs.where(F.pmod(F.xxhash64("identity", "i", "j"), F.lit(rounds)) == n).withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+            part = packed.join(lookup(asked), ["identity", "block"]).repartition(tasks, "identity", "i", "j").groupBy("identity", "i", "j").applyInArrow(meet, told)
+            met = met.unionByName(part)
+            if n < rounds - 1:
+                met, path = written(merged(met), "related-cases")
+                if before:
+                    discard(cases.sparkSession, before)
+                before = path
+    out = cases.select(key, named.alias("_named")).join(merged(met).withColumnRenamed("key", key), key, "left")
     return out.select(
         key, F.when(c("_named"), "same_validated_applicant").otherwise("unavailable").alias("history_scope"), F.coalesce("n", F.lit(0)).cast("int").alias("similar_count"),
         F.coalesce(F.transform("best", lambda b: F.struct(b["case_id"].alias("case_id"), (-b["score"]).alias("score"))), F.array().cast("array<struct<case_id:string,score:int>>")).alias("related"))

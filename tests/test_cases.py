@@ -1,8 +1,11 @@
 import datetime as dt
 import itertools
+import os
 import random
+import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +145,52 @@ def test_related_cases_of_a_hot_identity_in_blocks(frame):
     assert pick(K.related_cases(cases, block=7)) == want == pick(K.related_cases(cases))
 
 
+def test_related_cases_leave_little_on_disk(spark, frame):
+    """Twenty blocks of one applicant: pairs of blocks are tasks of their own (they were sorted, all copies at once, in the
+    applicant's one task), few copies are on the way at a time, and every pair is still met."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.getrandbits(60)}"
+    families = [[word() for _ in range(80)] for _ in range(20)]
+    cases = [(n, "hot", n % 17, rng.choice(families) + [word() for _ in range(rng.choice([0, 110, 130]))]) for n in range(400)]
+    table = frame([(*case[:3], " ".join(case[3])) for case in cases], "case_id long, identity string, created_at long, text string")
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    held = lambda: sum(os.path.getsize(os.path.join(at, name)) for folder in folders for at, _, names in os.walk(folder.toString()) for name in names)
+    before = held()
+    related = K.related_cases(table, block=20)
+    assert re.search(r"Exchange hashpartitioning\(identity#\d+, i#\d+, j#\d+", plan(related))
+    got = {r.case_id: (r.similar_count, [(int(x.case_id), x.score) for x in r.related]) for r in related.collect()}
+    assert held() - before < 10 * 8 * sum(len(case[3]) for case in cases)
+    sets = {n: set(text) for n, _, _, text in cases}
+    for n, _, _, _ in cases:
+        near = sorted((-score, at, str(m)) for m, _, at, _ in cases if m != n
+                      and (score := round(100 * len(sets[n] & sets[m]) / len(sets[n] | sets[m]))) >= 20)
+        assert got[n] == (len(near), [(int(m), -score) for score, _, m in near[:5]])
+
+
+def test_near_pairs_are_those_of_a_full_comparison(monkeypatch):
+    from docketry.functions import overlap
+    for name, small in (("STRIP", 7), ("PAIRS", 40), ("ENTRIES", 90), ("FOLDS", (4, 8))):
+        monkeypatch.setattr(overlap, name, small)
+    rng = np.random.default_rng(3)
+
+    def block(n):
+        sets = sorted((rng.choice(60, rng.choice([0, 1, 3, 12, 30]), replace=False) - 30 for _ in range(n)), key=len)
+        sizes = np.array([len(s) for s in sets])
+        made = overlap.block_of(np.concatenate(sets), sizes)
+        assert (overlap.unpack(*overlap.pack(made[2], sizes), sizes) == made[2]).all()
+        return [set(s.tolist()) for s in sets], made
+
+    (left, a), (right, b) = block(40), block(33)
+    for threshold in (0, 1, 20, 100):
+        score = lambda x, y: round(100 * len(x & y) / max(1, len(x | y)))
+        flat = lambda pairs: sorted((l, r, s) for part in pairs for l, r, s in zip(*(side.tolist() for side in part)))
+        want = [(l, r, score(x, y)) for l, x in enumerate(left) for r, y in enumerate(right) if score(x, y) >= threshold]
+        assert flat(overlap.near_pairs(a, b, threshold)) == want
+        want = [(l, r, score(x, y)) for l, x in enumerate(left) for r, y in enumerate(left) if l < r and score(x, y) >= threshold]
+        assert flat(overlap.near_pairs(a, None, threshold)) == want
+    assert not list(overlap.near_pairs(overlap.NONE, None, 20)) and not list(overlap.near_pairs(a, overlap.NONE, 20))
+
+
 def test_identity(frame):
     schema = "f map<string,struct<value:string,confidence:double>>"
     rows = frame([({"business-name": ("  ACME  Ltd\t", 1.0)},), ({"applicant-name": (" ", 1.0), "supplier-name": ("X", 1.0)},), ({},)], schema)
